@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoscope.llm import tokenize
+from lithoscope.llm import leakage, tokenize
 from lithoscope.session import table
 
 
@@ -10,9 +10,37 @@ def p7_ids(spark, d):
     return tokenize.encode_corpus(table(spark, d, "documents"), tokenize.default_vocabulary())
 
 
+def p8_leaks(spark, d):
+    return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    return p8_leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_clean(spark, d):
+    docs = table(spark, d, "documents")
+    return leakage.without_leaks(docs, p8_leaks(spark, d)).select("doc_id", "n_chars")
+
+
+_P8_LEAKS = """
+WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+ig AS (SELECT DISTINCT item_id, least(13, len(w)) AS n,
+              unnest([array_to_string(w[i:i + least(13, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(13, len(w)) + 2)]) AS g
+       FROM iw WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM ig),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+dg AS (SELECT doc_id, n, unnest([array_to_string(w[i:i + n - 1], ' ') FOR i IN range(1, greatest(1, len(w) - n + 2))]) AS g FROM dw, sizes),
+hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
+"""
+
+
 def queries() -> dict:
-    return {"p7_ids": p7_ids}
+    return {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "p8_found": _P8_LEAKS + "SELECT doc_id, item_id FROM hit",
+        "p8_clean": _P8_LEAKS + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
+    }
