@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithoscope.llm import leakage, tokenize
+from lithoscope.llm import leakage, prose, tokenize
 from lithoscope.session import table
 
 
@@ -23,6 +23,14 @@ def p8_clean(spark, d):
     return leakage.without_leaks(docs, p8_leaks(spark, d)).select("doc_id", "n_chars")
 
 
+def p9_quality(spark, d):
+    return prose.quality(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p9_found(spark, d):
+    return prose.not_prose(p9_quality(spark, d))
+
+
 _P8_LEAKS = """
 WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, least(13, len(w)) AS n,
@@ -36,7 +44,8 @@ hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean}
+    return {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
+            "p9_found": p9_found, "p9_quality": p9_quality}
 
 
 def oracle_sql() -> dict:
