@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from lithoscope.llm import leakage, prose, tokenize
+from pyspark.sql import functions as F
+
+from lithoscope.llm import leakage, neardup, prose, tokenize
 from lithoscope.session import table
 
 
+def p3_pairs(spark, d):
+    parts = [("code_blocks", "content"), ("symbols", "snippet")]
+    out = [neardup.similar_pairs(table(spark, d, t), "content_hash", c).withColumn("src_table", F.lit(t)) for t, c in parts]
+    return out[0].unionByName(out[1])
+
+
+def p3_found(spark, d):
+    return p3_pairs(spark, d).select("src_table", "hash_a", "hash_b")
+
+
 def p7_ids(spark, d):
     return tokenize.encode_corpus(table(spark, d, "documents"), tokenize.default_vocabulary())
 
@@ -44,7 +56,7 @@ hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
 
 
 def queries() -> dict:
-    return {"p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
+    return {"p3_found": p3_found, "p3_pairs": p3_pairs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
             "p9_found": p9_found, "p9_quality": p9_quality}
 
 
