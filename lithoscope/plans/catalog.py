@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lithoscope.plans import integrity
 from lithoscope.session import need, table
 
 
@@ -11,9 +12,12 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return need(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.length("text").alias("n"))
 
 
+MODULES = (integrity,)
+
+
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
