@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lithoscope.llm import leakage, neardup, prose, tokenize
+from lithoscope.llm import leakage, neardup, prose, sources, tokenize
 from lithoscope.session import table
 
 
+def p1_paths(spark, d):
+    return sources.classify_paths(*(table(spark, d, t) for t in ("file_paths", "symbols", "code_blocks")))
+
+
+def p1_found(spark, d):
+    return p1_paths(spark, d).where("foreign").select("path")
+
+
 def p3_pairs(spark, d):
     parts = [("code_blocks", "content"), ("symbols", "snippet")]
     out = [neardup.similar_pairs(table(spark, d, t), "content_hash", c).withColumn("src_table", F.lit(t)) for t, c in parts]
@@ -56,7 +64,7 @@ hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_pairs": p3_pairs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
+    return {"p1_found": p1_found, "p1_paths": p1_paths, "p3_found": p3_found, "p3_pairs": p3_pairs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
             "p9_found": p9_found, "p9_quality": p9_quality}
 
 
