@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lithoscope.llm import leakage, neardup, prose, sources, tokenize
+from lithoscope.llm import conversations, leakage, neardup, prose, sources, splitting, tokenize
 from lithoscope.session import table
 
 
@@ -26,6 +26,28 @@ def p3_found(spark, d):
     return p3_pairs(spark, d).select("src_table", "hash_a", "hash_b")
 
 
+def _kept(spark, d):
+    path = f"{d}/transcript_rows.parquet"
+    return conversations.drain(spark, path, table(spark, d, "transcript_rows").schema)
+
+
+def p4_found(spark, d):
+    return conversations.judge(_kept(spark, d)).where("broken").select("session_id")
+
+
+def p4_conversations(spark, d):
+    kept = _kept(spark, d)
+    return conversations.conversations(kept, conversations.judge(kept))
+
+
+def p5_pieces(spark, d):
+    return splitting.split_oversized(table(spark, d, "code_blocks"))
+
+
+def p5_found(spark, d):
+    return p5_pieces(spark, d).select("id").distinct()
+
+
 def p7_ids(spark, d):
     return tokenize.encode_corpus(table(spark, d, "documents"), tokenize.default_vocabulary())
 
@@ -51,6 +73,23 @@ def p9_found(spark, d):
     return prose.not_prose(p9_quality(spark, d))
 
 
+_P4_FOUND = """
+WITH kept AS (SELECT * FROM transcript_rows WHERE session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, uuid ORDER BY row_id) = 1),
+body AS (
+  SELECT *, lower(trim(type)) AS role,
+    CASE WHEN message IS NULL THEN content
+         WHEN NOT json_valid(message) THEN NULL
+         WHEN json_type(json_extract(CASE WHEN json_valid(message) THEN message ELSE '{}' END, '$.content')) = 'VARCHAR' THEN json_extract_string(CASE WHEN json_valid(message) THEN message ELSE '{}' END, '$.content')
+         WHEN json_type(json_extract(CASE WHEN json_valid(message) THEN message ELSE '{}' END, '$.content')) = 'ARRAY'
+         THEN array_to_string([json_extract_string(b, '$.text') FOR b IN CAST(json_extract(CASE WHEN json_valid(message) THEN message ELSE '{}' END, '$.content') AS JSON[]) IF json_extract_string(b, '$.type') = 'text'], ' ')
+    END AS text FROM kept),
+turns AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY recorded_at, row_id) AS up, row_number() OVER (PARTITION BY session_id ORDER BY recorded_at DESC, row_id DESC) AS down
+  FROM body WHERE role IN ('user', 'assistant') AND regexp_matches(text, '[^\\s]')),
+good AS (SELECT session_id FROM turns GROUP BY session_id HAVING max(CASE WHEN up = 1 THEN role END) = 'user' AND max(CASE WHEN down = 1 THEN role END) = 'assistant'),
+torn AS (SELECT DISTINCT session_id FROM kept k WHERE parent_uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM kept x WHERE x.session_id = k.session_id AND x.uuid = k.parent_uuid))
+SELECT DISTINCT session_id FROM kept WHERE session_id NOT IN (SELECT session_id FROM good) OR session_id IN (SELECT session_id FROM torn)
+"""
+
 _P8_LEAKS = """
 WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, least(13, len(w)) AS n,
@@ -64,12 +103,15 @@ hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_paths": p1_paths, "p3_found": p3_found, "p3_pairs": p3_pairs, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
+    return {"p1_found": p1_found, "p1_paths": p1_paths, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_conversations": p4_conversations,
+            "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
             "p9_found": p9_found, "p9_quality": p9_quality}
 
 
 def oracle_sql() -> dict:
     return {
+        "p4_found": _P4_FOUND,
+        "p5_found": "SELECT DISTINCT id FROM code_blocks WHERE length(content) > 2000",
         "p8_found": _P8_LEAKS + "SELECT doc_id, item_id FROM hit",
         "p8_clean": _P8_LEAKS + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     }
