@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lithoscope.llm import conversations, leakage, neardup, prose, sources, splitting, tokenize
+from lithoscope.llm import conversations, leakage, neardup, neighbours, prose, sources, splitting, tokenize
 from lithoscope.session import table
 
 
@@ -48,6 +48,16 @@ def p5_found(spark, d):
     return p5_pieces(spark, d).select("id").distinct()
 
 
+def p6_neighbours(spark, d):
+    parts = [("block_embeddings", "vec_id"), ("knowledge_embeddings", "id")]
+    out = [neighbours.nearest(table(spark, d, t), key).withColumn("src_table", F.lit(t)) for t, key in parts]
+    return out[0].unionByName(out[1])
+
+
+def p6_found(spark, d):
+    return neighbours.neighbour_pairs(p6_neighbours(spark, d))
+
+
 def p7_ids(spark, d):
     return tokenize.encode_corpus(table(spark, d, "documents"), tokenize.default_vocabulary())
 
@@ -90,6 +100,16 @@ torn AS (SELECT DISTINCT session_id FROM kept k WHERE parent_uuid IS NOT NULL AN
 SELECT DISTINCT session_id FROM kept WHERE session_id NOT IN (SELECT session_id FROM good) OR session_id IN (SELECT session_id FROM torn)
 """
 
+_P6_FOUND = """
+WITH v AS (
+  SELECT DISTINCT 'b' AS t, vec_id AS id, model, CAST(vector AS DOUBLE[]) AS v FROM block_embeddings WHERE len(vector) = CASE model WHEN 'codevec-s' THEN 64 ELSE 48 END
+  UNION ALL SELECT DISTINCT 'k', id, model, CAST(vector AS DOUBLE[]) FROM knowledge_embeddings WHERE len(vector) = 64),
+u AS (SELECT * FROM v WHERE list_inner_product(v, v) > 0),
+near AS (SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.t = b.t AND a.model = b.model AND a.id != b.id),
+top AS (SELECT id, other FROM near WHERE s >= 0.85 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, other) <= 5)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM top
+"""
+
 _P8_LEAKS = """
 WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
 ig AS (SELECT DISTINCT item_id, least(13, len(w)) AS n,
@@ -104,7 +124,7 @@ hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g))
 
 def queries() -> dict:
     return {"p1_found": p1_found, "p1_paths": p1_paths, "p3_found": p3_found, "p3_pairs": p3_pairs, "p4_found": p4_found, "p4_conversations": p4_conversations,
-            "p5_found": p5_found, "p5_pieces": p5_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
+            "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean,
             "p9_found": p9_found, "p9_quality": p9_quality}
 
 
@@ -112,6 +132,7 @@ def oracle_sql() -> dict:
     return {
         "p4_found": _P4_FOUND,
         "p5_found": "SELECT DISTINCT id FROM code_blocks WHERE length(content) > 2000",
+        "p6_found": _P6_FOUND,
         "p8_found": _P8_LEAKS + "SELECT doc_id, item_id FROM hit",
         "p8_clean": _P8_LEAKS + "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)",
     }
