@@ -5,12 +5,12 @@ smallest hash of their shingles), and the matrix holds, for each group, the unio
 of its members' tokens. A text opens only groups whose union overlaps it enough:
 
 * Prefix rows. Under one global order of the tokens (rare ones first), two sets of
-  similarity t share a token among the first |x| - ceil(t |x|) + 1 of each. The
-  matrix therefore holds the unions of these prefixes, and a text looks up only
-  its own prefix: one shuffle, by token.
-* Opening. A qualifying group's members come out with their sizes; a member
-  whose size alone rules the similarity out is not compared.
-* An exact check compares the full sets of what is left.
+  similarity t share their first k common tokens within the first
+  |x| - ceil(t |x|) + k of each. The matrix therefore holds the unions of these
+  prefixes, and a text looks up only its own prefix: one shuffle, by token.
+* Bound. Fewer than k shared tokens with a group's row rule out all its members.
+* Opening. The members of a qualifying group come out with their full sets, and an
+  exact check compares those whose sizes leave room for the similarity.
 
 The order of tokens comes from a count sketch of fixed size over all texts. Tokens
 that are frequent by the sketch go through a salted join, the others through a
@@ -124,19 +124,29 @@ def token_sketch(texts: DataFrame, size: int, least_words: int) -> np.ndarray:
     return out.reshape(2, cells)
 
 
-def token_sets(texts: DataFrame, sketch, size: int, least_words: int, t: float, hot_level: int) -> DataFrame:
-    """`hash, id, n, grp, tokens (rare first), hot, cut`: one row per text that takes part.
+def groups_of(owner: np.ndarray, token: np.ndarray, t: float):
+    """Of flat sets: where each begins, its size, and its group.
 
-    `id` is a hash of the key; two keys of one id would only add candidates.
+    The group is the smallest hash of the set together with its size class, so that
+    all members of a group have sizes within a factor t.
     """
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    n = np.diff(np.append(first, len(owner)))
+    band = np.floor(np.log(n) / -math.log(t)).astype(np.uint64)
+    return first, n, mix(np.minimum.reduceat(mix(token), first) + band).view(np.int64).astype(np.int32)
 
-    def run(batches):
-        import xxhash
 
+def prefixes(texts: DataFrame, sketch, size: int, least_words: int, t: float, hot_level: int, shared: int) -> DataFrame:
+    """`id, n, grp, tokens, hot` of each text that takes part: its size, group and prefix.
+
+    Tokens and groups are cut to 32 bits here: a clash only adds candidates.
+    """
+
+    def run(batches):
         hashes, levels, seen = WordHashes(), sketch.value, set()
         for pdf in batches:
-            keys, body = pdf["hash"].tolist(), pdf["text"].tolist()
-            for i, k in enumerate(keys):  # map-side combine of exact copies
+            ids, body = pdf["id"].tolist(), pdf["text"].tolist()
+            for i, k in enumerate(ids):  # map-side combine of exact copies
                 if k in seen:
                     body[i] = None
                 elif len(seen) < 500_000:
@@ -146,20 +156,32 @@ def token_sets(texts: DataFrame, sketch, size: int, least_words: int, t: float,
                 continue
             cells = slots(token)
             level = np.minimum(levels[0][cells[0]], levels[1][cells[1]]).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            n = np.diff(np.append(first, len(owner)))
-            band = np.floor(np.log(n) / -math.log(t)).astype(np.uint64)
-            group = mix(np.minimum.reduceat(mix(token), first) + band).view(np.int64)
+            first, n, group = groups_of(owner, token, t)
             order = np.lexsort((token, level, owner))
-            token, level = token[order].view(np.int64), level[order]
+            short, level = token[order].astype(np.uint32).view(np.int32), level[order]
             rows = []
             for d, g, lo, k in zip(docs.tolist(), group.tolist(), first.tolist(), n.tolist()):
-                cut = k - math.ceil(t * k - 1e-9) + 1
-                number = xxhash.xxh3_64_intdigest(keys[d]) - (1 << 63)
-                rows.append((keys[d], number, k, g, token[lo : lo + k], (level[lo : lo + cut] >= hot_level).tolist(), cut))
-            yield pd.DataFrame(rows, columns=["hash", "id", "n", "grp", "tokens", "hot", "cut"])
+                cut = min(lo + k, lo + k - math.ceil(t * k - 1e-9) + shared)
+                rows.append((ids[d], k, g, short[lo:cut], (level[lo:cut] >= hot_level).tolist()))
+            yield pd.DataFrame(rows, columns=["id", "n", "grp", "tokens", "hot"])
+
+    return texts.select("id", "text").mapInPandas(run, "id bigint, n int, grp int, tokens array<int>, hot array<boolean>")
+
 
-    return texts.mapInPandas(run, "hash string, id bigint, n int, grp bigint, tokens array<bigint>, hot array<boolean>, cut int")
+def full_sets(texts: DataFrame, size: int, least_words: int, t: float) -> DataFrame:
+    """`id, hash, n, grp, tokens` of texts(id, hash, text): the whole sets, for the exact check."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for pdf in batches:
+            docs, owner, token = shingles(pdf["text"].tolist(), size, least_words, hashes)
+            if not len(docs):
+                continue
+            first, n, group = groups_of(owner, token, t)
+            parts = np.split(token.view(np.int64), first[1:])
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[docs], "hash": pdf["hash"].to_numpy()[docs], "n": n, "grp": group, "tokens": parts})
+
+    return texts.mapInPandas(run, "id bigint, hash string, n int, grp int, tokens array<bigint>")
 
 
 def _qualifying(rows: DataFrame, t: float, key: list[str], matrix: DataFrame) -> DataFrame:
@@ -177,11 +199,12 @@ def _qualifying(rows: DataFrame, t: float, key: list[str], matrix: DataFrame) ->
     )
 
 
-def similar_pairs(texts: DataFrame, key: str, text: str, t: float = 0.6, size: int = 3, least_words: int = 30, hot: int = 4096, salts: int = 16) -> DataFrame:
+def similar_pairs(texts: DataFrame, key: str, text: str, t: float = 0.6, size: int = 3, least_words: int = 30, hot: int = 4096, salts: int = 16, shared: int = 6) -> DataFrame:
     """`hash_a, hash_b, similarity` (hash_a < hash_b) of different keys whose texts are at least `t` alike.
 
     Alike is the Jaccard similarity of the sets of all runs of `size` consecutive
     words (longest runs of [A-Za-z0-9_], lower-cased). Equal keys are equal texts.
+    A text opens a group if `shared` of its prefix tokens are in the group's row.
     `hot` is the estimated count from which a token's join is salted `salts`-fold.
     Defined results: null keys, null texts and texts of fewer than `least_words`
     words take no part; repeated rows count once; texts of any length are read
@@ -189,19 +212,23 @@ def similar_pairs(texts: DataFrame, key: str, text: str, t: float = 0.6, size: i
     """
     spark = texts.sparkSession
     texts = texts.select(F.col(f"`{key}`").cast("string").alias("hash"), F.col(f"`{text}`").alias("text")).where("hash is not null and text is not null")
+    texts = texts.select(F.xxhash64("hash").alias("id"), "hash", "text")
     sketch = spark.sparkContext.broadcast(token_sketch(texts.select("text"), size, least_words))
-    docs = materialise(token_sets(texts, sketch, size, least_words, t, round(8 * math.log2(1 + hot))), "token-sets")
+    docs = materialise(prefixes(texts, sketch, size, least_words, t, round(8 * math.log2(1 + hot)), shared), "prefixes")
 
-    x = F.explode(F.arrays_zip(F.slice("tokens", 1, F.col("cut")).alias("token"), F.col("hot").alias("hot")))
+    x = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("hot").alias("hot")))
     rows = docs.select("id", "n", "grp", x.alias("x")).select("id", "n", "grp", F.col("x.token").alias("token"), F.col("x.hot").alias("hot"))
+    rows = rows.where("id is not null and n is not null and grp is not null and token is not null")
     sums = (F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("id").alias("first"), F.max("id").alias("last"))
     # both sides of the plain join read one shuffle of the rows by token
     plain = rows.where(~F.col("hot")).drop("hot").repartition("token")
     opened = _qualifying(plain, t, ["token"], plain.groupBy("token", "grp").agg(*sums))
     warm = rows.where("hot").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     wide = rows.where("hot").groupBy("token", "grp").agg(*sums).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    opened = opened.unionByName(_qualifying(warm, t, ["token", "salt"], wide)).distinct()
-    return _verify(spark, opened, docs, t)
+    opened = opened.unionByName(_qualifying(warm, t, ["token", "salt"], wide))
+    enough = F.least(F.lit(shared), F.greatest(F.lit(1), F.ceil(F.col("n") * (t * t))))
+    opened = opened.groupBy("id", "n", "own", "grp").agg(F.count("*").alias("c")).where(F.col("c") >= enough).drop("c")
+    return _verify(materialise(opened, "opened"), docs, texts, t, size, least_words)
 
 
 def _marks(ids: DataFrame, bits: int = 23) -> DataFrame:
@@ -214,26 +241,25 @@ def _marked(docs: DataFrame, marks: DataFrame, bits: int = 23) -> DataFrame:
     cell = F.pmod(F.col("id"), F.lit(1 << bits))
     d = docs.withColumn("bucket", F.bitmap_bucket_number(cell)).withColumn("at", F.bitmap_bit_position(cell))
     byte = F.conv(F.hex(F.expr("substring(map, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return d.join(F.broadcast(marks), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).drop("bucket", "at", "map")
+    return d.join(F.broadcast(marks), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select("id", "hash", "text")
 
 
-def _verify(spark, opened: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    members = docs.select("grp", F.col("id").alias("other"), F.col("n").alias("m"))
-    pairs = (
-        opened.join(members, "grp")
-        .where(((F.col("own") < F.col("grp")) | (F.col("id") < F.col("other"))) & (F.col("id") != F.col("other")))
-        .where((F.col("m") >= F.col("n") * t) & (F.col("n") >= F.col("m") * t))
-        .select("id", "other")
+def _verify(opened: DataFrame, docs: DataFrame, texts: DataFrame, t: float, size: int, least_words: int) -> DataFrame:
+    """Compare each text with the members of the groups that it opens.
+
+    Only texts that ask or are asked are read into sets again. Sets move once per
+    opened group, and pairs are compared where they meet.
+    """
+    members = docs.select("id", "grp").join(opened.select("grp").distinct(), "grp", "left_semi").select("id")
+    sets = materialise(full_sets(_marked(texts, _marks(opened.select("id").unionByName(members))), size, least_words, t), "sets")
+    asks = opened.join(sets.select("id", F.col("hash").alias("ha"), F.col("tokens").alias("a")), "id")
+    both = asks.join(sets.select("grp", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hash").alias("hb"), F.col("tokens").alias("b")), "grp").where(
+        ((F.col("own") < F.col("grp")) | (F.col("id") < F.col("other"))) & (F.col("ha") != F.col("hb")) & (F.col("m") >= F.col("n") * t) & (F.col("n") >= F.col("m") * t)
     )
-    pairs = materialise(pairs.distinct(), "pairs")
-    # only the sets of texts that may be in a pair are moved
-    sets = _marked(docs.select("id", "hash", "tokens"), _marks(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id")))))
-    both = pairs.join(sets, "id").withColumnsRenamed({"tokens": "a", "hash": "ha"}).join(sets.select(F.col("id").alias("other"), F.col("hash").alias("hb"), F.col("tokens").alias("b")), "other")
-    shared = F.size(F.array_intersect("a", "b"))
-    likeness = shared / (F.size("a") + F.size("b") - shared)
+    common = F.size(F.array_intersect("a", "b"))
+    likeness = common / (F.col("n") + F.col("m") - common)
     return (
-        both.where("ha != hb")
-        .select(F.least("ha", "hb").alias("hash_a"), F.greatest("ha", "hb").alias("hash_b"), likeness.alias("similarity"))
+        both.select(F.least("ha", "hb").alias("hash_a"), F.greatest("ha", "hb").alias("hash_b"), likeness.alias("similarity"))
         .where(F.col("similarity") >= t - 1e-12)
         .distinct()
     )
