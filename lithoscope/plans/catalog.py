@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lithoscope.plans import integrity, lookup, quality
+from lithoscope.plans import integrity, lookup, quality, upkeep
 from lithoscope.session import need, table
 
 
@@ -12,7 +12,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return need(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.length("text").alias("n"))
 
 
-MODULES = (integrity, quality, lookup)
+MODULES = (integrity, quality, lookup, upkeep)
 
 
 def queries() -> dict:
