@@ -1,7 +1,7 @@
 """Problem 4: conversations from single message rows, by keyed streaming state.
 
-Rows stream in by arrival. State is kept per session and shard of a session (so
-that one session's rows are spread over tasks): it buffers the rows, early or late,
+Rows stream in by arrival. State is kept per session, and per shard of a session
+that is known to be large, so that its rows are spread over tasks: it buffers the rows, early or late,
 and keeps the row of the smallest id of each uuid. When the event-time watermark
 passes a session's last row by `idle`, its shards are emitted and their state
 dropped; what is still open when the input ends is read from the state store.
@@ -50,15 +50,23 @@ def _text(message: str, content: str) -> Column:
     return F.pandas_udf(_texts, "string")(message, content)
 
 
-def prepared(rows: DataFrame, shards: int) -> DataFrame:
-    """Rows with role and text, and the key of their state."""
+def large_sessions(rows: DataFrame, shard_rows: int = 5000) -> DataFrame:
+    """`session_id, shards` of the sessions of more than `shard_rows` rows."""
+    n = rows.where("session_id is not null").groupBy("session_id").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows)
+    return n.select("session_id", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
+
+
+def prepared(rows: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """Rows with role and text, and the key of their state; large(session_id, shards) has the sessions to be spread."""
     role = F.lower(F.regexp_replace("type", r"(?U)^\s+|\s+$", ""))
     key = F.coalesce("uuid", F.concat(F.lit("\0row "), F.col("row_id").cast("string")))
-    return need(rows, *COLUMNS).where("session_id is not null").select(
+    rows = need(rows, *COLUMNS).where("session_id is not null")
+    rows = rows.withColumn("shards", F.lit(1)) if large is None else rows.join(large, "session_id", "left")
+    return rows.select(
         "session_id", key.alias("uuid"), "row_id", "parent_uuid",
         F.when(role.isin("user", "assistant"), role).alias("role"),
         F.when(role.isin("user", "assistant"), _text("message", "content")).alias("text"),
-        F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"),
+        F.col("recorded_at").cast("timestamp").alias("recorded_at"), F.pmod(F.xxhash64(key), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"),
     )
 
 
@@ -101,9 +109,9 @@ def _keep(idle_ms: int):
     return step
 
 
-def buffered(rows: DataFrame, shards: int = 16, lateness: str = "60 days", idle_days: float = 30.0) -> DataFrame:
+def buffered(rows: DataFrame, large: DataFrame | None = None, lateness: str = "60 days", idle_days: float = 30.0) -> DataFrame:
     """Streaming: the kept rows (KEPT) of sessions that closed; a row later than `lateness` behind the newest is a new session's."""
-    got = prepared(rows, shards).withWatermark("recorded_at", lateness)
+    got = prepared(rows, large).withWatermark("recorded_at", lateness)
     return got.groupBy("session_id", "shard").applyInPandasWithState(_keep(int(idle_days * 86_400_000)), KEPT, "rows binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -114,12 +122,12 @@ def drain(spark: SparkSession, path: str, schema: StructType, **options) -> Data
     checkpoint are in the shared folder.
     """
     out, checkpoint = scratch_path(spark, "kept"), scratch_path(spark, "kept-state")
-    reader = spark.readStream.schema(schema)
+    whole, reader = path, spark.readStream.schema(schema)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile():  # a stream reads folders
         reader, path = reader.option("pathGlobFilter", hadoop.getName()), hadoop.getParent().toString()
-    stream = reader.parquet(path)
-    query = buffered(stream, **options).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    large = materialise(large_sessions(spark.read.schema(schema).parquet(whole)), "large-sessions")
+    query = buffered(reader.parquet(path), large, **options).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     closed = spark.read.schema(KEPT).parquet(out)
 
@@ -137,7 +145,7 @@ def drain(spark: SparkSession, path: str, schema: StructType, **options) -> Data
 
 def batch_kept(rows: DataFrame) -> DataFrame:
     """The same rows without a stream, for comparison in tests."""
-    p = prepared(rows, 1)
+    p = prepared(rows)
     first = F.min_by(F.struct("row_id", "parent_uuid", "role", "text", "recorded_at"), "row_id").alias("r")
     return p.groupBy("session_id", "uuid").agg(first).select("session_id", "uuid", "r.*").select(*[c.split()[0] for c in KEPT.split(", ")])
 
