@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from lithoscope.plans import integrity, lookup, quality, upkeep
-from lithoscope.session import need, table
+from lithoscope.plans import integrity, lookup, quality, streams, upkeep
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return need(table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.length("text").alias("n"))
+    """Hybrid search: three ranked legs, fused."""
+    return lookup.hybrid_search(spark, d)
 
 
-MODULES = (integrity, quality, lookup, upkeep)
+MODULES = (integrity, quality, lookup, upkeep, streams)
 
 
 def queries() -> dict:

@@ -268,4 +268,5 @@ SQL = {
     "reset_findings": f"{VIEWS}, {_F} SELECT CAST(rule_id AS BIGINT) AS rule_id, count(*) AS n FROM f WHERE NOT (rule_id IN (2, 3) AND symbol_id IN (SELECT id FROM sym JOIN paths USING (file_id) WHERE path ILIKE '%/srv/code/quartzline/%')) GROUP BY ALL",
     "register_rules": "SELECT * FROM (VALUES ('style', 'naming', 'info'), ('style', 'size', 'error'), ('bugs', 'leak', 'error'), ('bugs', 'race', 'error'), ('docs', 'missing', 'info')) t(analyzer, rule_name, severity)",
     "embedding_text": f"{VIEWS}, h AS (SELECT file_id, min(path) AS path FROM paths GROUP BY file_id), e AS (SELECT callee_id AS id, 0 AS side, caller_id AS other FROM refs UNION ALL SELECT caller_id, 1, callee_id FROM refs), n AS (SELECT e.id, side, other, s.name FROM e JOIN sym s ON s.id = other QUALIFY row_number() OVER (PARTITION BY e.id, side ORDER BY other) <= 10), l AS (SELECT id, string_agg(name, ', ' ORDER BY other) FILTER (side = 0) AS r, string_agg(name, ', ' ORDER BY other) FILTER (side = 1) AS e FROM n GROUP BY id) SELECT b.id, md5(substr(concat_ws(chr(10), s.kind || ' ' || s.name, 'file: ' || h.path, CASE WHEN coalesce(s.description, '') != '' THEN 'description: ' || s.description END, CASE WHEN l.r != '' THEN 'called by: ' || l.r END, CASE WHEN l.e != '' THEN 'calls: ' || l.e END, b.content), 1, 8000)) AS text_md5 FROM blocks b JOIN sym s ON s.id = b.symbol_id JOIN h USING (file_id) LEFT JOIN l ON l.id = s.id",
+    "scalar_functions": f"{VIEWS}, s AS (SELECT *, replace(path, '\\', '/') AS p FROM sym JOIN paths USING (file_id)) SELECT id, path, CASE WHEN p LIKE '%/%' THEN regexp_replace(p, '/[^/]*$', '') ELSE '' END AS dir, regexp_extract(p, '([^/]*)$', 1) AS base, lower(regexp_extract(p, '[^./](\\.[^./]*)$', 1)) AS ext, CASE WHEN coalesce(trim(params), '') = '' THEN 0 ELSE CAST(1 + length(regexp_replace(regexp_replace(regexp_replace(params, '\\([^()\\[\\]{{}}<>]*\\)|\\[[^()\\[\\]{{}}<>]*\\]|<[^()\\[\\]{{}}<>]*>', '', 'g'), '\\([^()\\[\\]{{}}<>]*\\)|\\[[^()\\[\\]{{}}<>]*\\]|<[^()\\[\\]{{}}<>]*>', '', 'g'), '[^,]', '', 'g')) AS INT) END AS n_params, CASE WHEN length(name) <= 12 THEN name ELSE substr(name, 1, 9) || '...' END AS short, substr(sha256(snippet), 1, 16) AS hash, translate(params, '{{}}', '()') AS braces, {_ETA.format(x='(line * 97)')} AS eta, CASE WHEN line * 977 < 86400 THEN 'today' ELSE line * 977 // 86400 || 'd old' END AS age, round(1.0::DOUBLE / (61 + line), 9) AS rrf FROM s",
 }
