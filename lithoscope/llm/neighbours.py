@@ -156,7 +156,7 @@ def model_sizes(vectors: DataFrame, vec_col: str, model_col: str, max_models: in
     return {r["model"]: r["size"] for r in rows}
 
 
-def nearest(vectors: DataFrame, id_col: str, vec_col: str = "vector", model_col: str = "model", k: int = 5, least: float = 0.85, shard_rows: int = 4096, sample_rows: int = 20_000, query_block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str, vec_col: str = "vector", model_col: str = "model", k: int = 5, least: float = 0.85, shard_rows: int = 4096, sample_rows: int = 20_000, query_block: int = 8192) -> DataFrame:
     """`model, id, other, similarity, rank`: up to `k` nearest others of each vector, with cosine of at least `least`.
 
     Ties go to the smaller id. Shards hold about `shard_rows` vectors; their centres
