@@ -81,7 +81,7 @@ def count_params(params: ColumnOrName) -> Column:
 
 def parse_branch(refs: ColumnOrName) -> Column:
     """The branch among the decorations of a commit: what HEAD points at, else the first local one."""
-    parts = F.transform(F.split(_c(refs), ","), F.trim)
+    parts = F.transform(F.split(_c(refs), ","), lambda x: F.trim(x))
     head = F.try_element_at(F.filter(parts, lambda x: x.startswith("HEAD -> ")), F.lit(1))
     local = F.try_element_at(F.filter(parts, lambda x: (x != "") & (x != "HEAD") & ~x.startswith("origin/")), F.lit(1))
     return F.coalesce(F.substring(head, 9, 1 << 20), local, F.lit(""))

@@ -9,6 +9,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lithoscope.functions.text import like, rrf
 from lithoscope.functions.vectors import cosine
@@ -130,7 +131,7 @@ def reranked(hits: DataFrame, rerank: Callable[[pd.DataFrame], list[int]]) -> Da
     except Exception:  # noqa: BLE001 - any failure of the model keeps the order
         first = []
     order = first + [i for i in range(len(rows)) if i not in set(first)]
-    return hits.sparkSession.createDataFrame(rows.iloc[order].assign(position=range(len(rows))), hits.schema.add("position", "int")) if len(rows) else hits.withColumn("position", F.lit(0))
+    return hits.sparkSession.createDataFrame(rows.iloc[order].assign(position=range(len(rows))), StructType([*hits.schema.fields, StructField("position", IntegerType())])) if len(rows) else hits.withColumn("position", F.lit(0))
 
 
 def compact_hit() -> Column:

@@ -7,7 +7,7 @@ from dataclasses import fields, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lithoscope.functions.text import basename, parse_branch
+from lithoscope.functions.text import parse_branch
 from lithoscope.sources.ignore import ignored_paths
 
 
@@ -24,11 +24,42 @@ def scan_tree(spark: SparkSession, root: str, glob: str = "*", max_bytes: int =
     return df.select(path.alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), F.when(small, F.sha1("content")).otherwise(F.sha1(F.concat_ws("\0", "path", "length", "modificationTime"))).alias("hash"), F.when(small, F.col("content")).alias("content"))
 
 
-def without_ignored(files: DataFrame) -> DataFrame:
-    """A scan without what its own `.gitignore` files ignore, and without nested work trees (directories with a `.git` file)."""
-    rules = files.where(basename("path") == ".gitignore").select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.explode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line"))
+def side_files(files: DataFrame, name: str) -> DataFrame:
+    """`dir, content` of the files called `name` beside or above a scan's files.
+
+    Hidden files aren't listed by a scan, so each directory is asked for its own, on
+    the executors; a directory in place of the file counts as none.
+    """
+    parts = F.split("path", "/")
+    dirs = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")).distinct().where("dir != ''")
+
+    def read(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        systems = {}
+        for pdf in batches:
+            rows = []
+            for d in pdf["dir"]:
+                scheme = d.partition("://")[0] if "://" in d else ""
+                try:
+                    if scheme not in systems:
+                        systems[scheme] = fs.FileSystem.from_uri(d if scheme else f"file://{d}")[0]
+                    info = systems[scheme].get_file_info(f"{d.partition('://')[2] if scheme else d}/{name}")
+                    if info.type == fs.FileType.File:
+                        rows.append((d, systems[scheme].open_input_file(info.path).read()))
+                except (OSError, ValueError):
+                    continue
+            yield pd.DataFrame(rows, columns=["dir", "content"])
+
+    return dirs.mapInPandas(read, "dir string, content binary")
+
+
+def without_ignored(files: DataFrame, ignore_name: str = ".gitignore") -> DataFrame:
+    """A scan without what the tree's ignore files ignore, and without nested work trees (directories with a `.git` file)."""
+    rules = side_files(files, ignore_name).select("dir", F.explode(F.split(F.decode("content", "UTF-8"), "\r?\n")).alias("line"))
     out = files.join(ignored_paths(files.select("path"), rules), "path", "left_anti")
-    trees = files.where(basename("path") == ".git").select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"))
+    trees = side_files(files, ".git").select("dir")
     parts = F.split("path", "/")
     inside = out.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")).join(trees, "dir", "left_semi").select("path").distinct()
     return out.join(inside, "path", "left_anti")
