@@ -113,8 +113,8 @@ def pair_counts(codes: np.ndarray, size: int) -> np.ndarray:
     return np.bincount(a[ok].astype(np.int64) * size + b[ok], minlength=size * size)
 
 
-def association(documents: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """Pointwise mutual information of neighbouring words, counted over all documents.
+def association(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of neighbouring words over all documents, and the counts by chance, as flat tables.
 
     The table has (common words + 1) squared cells whatever the corpus; each task
     sends its own table, in sparse form, and Spark adds them up.
@@ -137,7 +137,7 @@ def association(documents: DataFrame, lexicon: Lexicon) -> np.ndarray:
     total = max(n.sum(), 1)
     row, col = n.sum(1, keepdims=True), n.sum(0, keepdims=True)
     expected = row * col / total
-    return np.log((n + 0.5) / (expected + 0.5))
+    return n.ravel(), expected.ravel()
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -170,8 +170,12 @@ def _segments(words: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def describe(text: str | None, lexicon: Lexicon, pmi: np.ndarray, least_association: float) -> tuple:
-    """The figures of one text; see `quality`."""
+def describe(text: str | None, lexicon: Lexicon, pairs: tuple[np.ndarray, np.ndarray], least_association: float) -> tuple:
+    """The figures of one text; see `quality`.
+
+    The association of two words is the logarithm of their count over that by chance;
+    the text's own pairs don't count, so that it can't speak for itself.
+    """
     t = clean(text)
     if not t.strip():
         return (0, 0.0, 0.0, 0.0, 0.0, None, 0.0, None, 0.0)
@@ -206,7 +210,10 @@ def describe(text: str | None, lexicon: Lexicon, pmi: np.ndarray, least_associat
     ok = (a >= 0) & (b >= 0) & ((a > 0) | (b > 0))
     at = window[seg[line[:-1]]]
     w = int(window[-1]) + 1
-    total, count = np.bincount(at[ok], pmi[a[ok], b[ok]], w), np.bincount(at[ok], minlength=w)
+    cell = a[ok].astype(np.int64) * (len(lexicon.words) + 1) + b[ok]
+    _, same, own = np.unique(cell, return_inverse=True, return_counts=True)
+    joint = np.log((np.maximum(pairs[0][cell] - own[same], 0) + 0.5) / (pairs[1][cell] + 0.5))
+    total, count = np.bincount(at[ok], joint, w), np.bincount(at[ok], minlength=w)
     joined = total / np.maximum(count, 1)
     prose &= (joined >= least_association)[window]
     share = float(seg_len[prose].sum() / max(seg_len.sum(), 1))
@@ -249,9 +256,9 @@ def quality(documents: DataFrame, common_words: DataFrame, least_association: fl
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, association(docs, lexicon)))
 
     def run(batches):
-        lex, pmi = shared.value
+        lex, pairs = shared.value
         for pdf in batches:
-            got = [describe(t, lex, pmi, least_association) for t in pdf["text"]]
+            got = [describe(t, lex, pairs, least_association) for t in pdf["text"]]
             out = pd.DataFrame(got, columns=[c.split()[0] for c in SCHEMA.split(", ")][1:])
             out.insert(0, "doc_id", pdf["doc_id"])
             yield out
