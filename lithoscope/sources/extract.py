@@ -63,39 +63,78 @@ def count_params(params: str) -> int:
     return n + 1
 
 
+def settle_calls(found: list[Found], sites: dict[int, list[tuple[str, str]]], receivers: dict[int, tuple[str, str]], fields: dict[tuple[str, str], str]) -> list[Found]:
+    """Give each function its callees' full names, as far as the file shows them.
+
+    sites: per function (by its place in `found`) the (object, name) of its calls. In
+    order: an object whose declared type is known; the receiver of a Go method, or
+    `self` and `this`; a bare name of the own class; the only symbol of the file with
+    that short name; else the name as it is written. A function isn't its own callee.
+    """
+    known = {f.name for f in found}
+    by_short: dict[str, set[str]] = {}
+    for f in found:
+        if f.kind in ("function", "method"):
+            by_short.setdefault(f.name.rsplit(".", 1)[-1], set()).add(f.name)
+
+    def full(i: int, obj: str, short: str) -> str:
+        own = found[i].name.rpartition(".")[0]
+        if obj:
+            declared = fields.get((own.rsplit(".", 1)[-1], obj))
+            if declared:
+                return next(iter(sorted(n for n in by_short.get(short, ()) if f".{n}".endswith(f".{declared}.{short}"))), f"{declared}.{short}")
+            var, kind = receivers.get(i, ("", ""))
+            if obj in ("self", "this") or (var and obj == var):
+                own_name = f"{kind or own}.{short}"
+                if own_name in known:
+                    return own_name
+        elif own and f"{own}.{short}" in known:
+            return f"{own}.{short}"
+        same = by_short.get(short, set())
+        return next(iter(same)) if len(same) == 1 else short
+
+    for i, calls in sites.items():
+        found[i].calls = sorted({full(i, o, c) for o, c in calls} - {found[i].name})
+    return found
+
+
 @extractor("py")
 def python_symbols(path: str, text: str) -> list[Found]:
+    """Names are prefixed by the module, which is the file's base name."""
     tree = ast.parse(text)
     lines = text.split("\n")
+    module = re.sub(r"\.py$", "", path.replace("\\", "/").rsplit("/", 1)[-1])
     out: list[Found] = []
+    sites: dict[int, list[tuple[str, str]]] = {}
 
     def calls(node):
-        names = []
         for n in ast.walk(node):
             if isinstance(n, ast.Call):
                 f = n.func
-                names.append(f.id if isinstance(f, ast.Name) else f.attr if isinstance(f, ast.Attribute) else None)
-        return sorted({n for n in names if n})
+                if isinstance(f, ast.Name):
+                    yield "", f.id
+                elif isinstance(f, ast.Attribute):
+                    yield (f.value.id if isinstance(f.value, ast.Name) else "?"), f.attr
 
-    def visit(body, scope, in_class):
+    def visit(body, scope, in_class, in_function):
         for n in body:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                name = ".".join([*scope, n.name])
                 is_class = isinstance(n, ast.ClassDef)
-                params = "" if is_class else ast.unparse(n.args)
-                tags = {"visibility": "private" if n.name.startswith("_") and not n.name.startswith("__") else "public"}
+                tags = {"namespace": module, "visibility": "private" if n.name.startswith("_") and not n.name.endswith("__") else "public"}
                 if any(isinstance(d, ast.Name) and d.id == "staticmethod" for d in n.decorator_list):
                     tags["is_static"] = "true"
                 first = min([n.lineno, *(d.lineno for d in n.decorator_list)])
-                out.append(Found(name, "class" if is_class else "method" if in_class else "function", n.lineno, n.end_lineno, "\n".join(lines[first - 1 : n.end_lineno]), params, len(scope), ast.get_docstring(n), tags, [] if is_class else calls(n)))
-                visit(n.body, [*scope, n.name], is_class)
+                out.append(Found(".".join([module, *scope, n.name]), "class" if is_class else "method" if in_class else "function", n.lineno, n.end_lineno, "\n".join(lines[first - 1 : n.end_lineno]), "" if is_class else ast.unparse(n.args), len(scope), ast.get_docstring(n), tags))
+                if not is_class and not in_function:  # calls of nested functions are the outermost one's
+                    sites[len(out) - 1] = list(calls(n))
+                visit(n.body, [*scope, n.name], is_class, in_function or not is_class)
             elif isinstance(n, (ast.Assign, ast.AnnAssign)) and (not scope or in_class):
                 for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
                     if isinstance(t, ast.Name):
-                        out.append(Found(".".join([*scope, t.id]), "field" if in_class else "variable", n.lineno, n.end_lineno, "\n".join(lines[n.lineno - 1 : n.end_lineno]), depth=len(scope)))
+                        out.append(Found(".".join([module, *scope, t.id]), "field" if in_class else "variable", n.lineno, n.end_lineno, "\n".join(lines[n.lineno - 1 : n.end_lineno]), depth=len(scope), tags={"namespace": module}))
 
-    visit(tree.body, [], False)
-    return out
+    visit(tree.body, [], False, False)
+    return settle_calls(out, sites, {}, {})
 
 
 _HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`", re.S)
@@ -105,12 +144,14 @@ _ARGS = r"\((?P<params>[^(){};]*(?:\([^(){};]*\)[^(){};]*)*)\)"
 _DECLARATIONS = {
     "go": [(rf"^func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*{_ARGS}[^{{\n]*\{{", "function"), (r"^type\s+(?P<name>\w+)\s+struct\s*\{", "struct"), (r"^type\s+(?P<name>\w+)\s+interface\s*\{", "interface"), (r"^type\s+(?P<name>\w+)\s+\w", "type"), (r"^(?:var|const)\s+(?P<name>\w+)", "variable")],
     "js": [(rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<name>[\w$]+)\s*{_ARGS}[^{{;\n]*\{{", "function"), (r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)[^{;]*\{", "class"), (r"^[ \t]*(?:export\s+)?interface\s+(?P<name>[\w$]+)[^{;]*\{", "interface"), (rf"^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(?P<name>[\w$]+)\s*{_ARGS}[^{{;\n=]*\{{", "method"), (r"^(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)", "variable")],
-    "c": [(rf"^(?!\s*(?:typedef|return)\b)[A-Za-z_][\w\s*&:<>,]*?[\s*&](?P<name>[\w:~]+)\s*{_ARGS}[^{{;]*\{{", "function"), (r"^[ \t]*(?:typedef\s+)?struct\s+(?P<name>\w+)\s*\{", "struct"), (r"^[ \t]*enum\s+(?:class\s+)?(?P<name>\w+)[^{;]*\{", "enum"), (r"^[ \t]*class\s+(?P<name>\w+)[^{;]*\{", "class")],
-    "cs": [(r"^[ \t]*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*class\s+(?P<name>\w+)[^{;]*\{", "class"), (r"^[ \t]*(?:(?:public|private|protected|internal|readonly|partial)\s+)*struct\s+(?P<name>\w+)[^{;]*\{", "struct"), (r"^[ \t]*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(?P<name>\w+)[^{;]*\{", "interface"), (r"^[ \t]*(?:(?:public|private|protected|internal)\s+)*enum\s+(?P<name>\w+)[^{;]*\{", "enum"), (rf"^[ \t]*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract)\s+)+[\w<>\[\],.? ]+?\s(?P<name>\w+)\s*{_ARGS}\s*\{{", "method")],
+    "c": [(r"^[ \t]*namespace\s+(?P<name>[\w:]+)\s*\{", "namespace"), (rf"^(?!\s*(?:typedef|return)\b)[A-Za-z_][\w\s*&:<>,]*?[\s*&](?P<name>[\w:~]+)\s*{_ARGS}[^{{;]*\{{", "function"), (r"^[ \t]*(?:typedef\s+)?struct\s+(?P<name>\w+)\s*\{", "struct"), (r"^[ \t]*enum\s+(?:class\s+)?(?P<name>\w+)[^{;]*\{", "enum"), (r"^[ \t]*class\s+(?P<name>\w+)[^{;]*\{", "class")],
+    "cs": [(r"^[ \t]*namespace\s+(?P<name>[\w.]+)\s*[{;]", "namespace"), (r"^[ \t]*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*class\s+(?P<name>\w+)[^{;]*\{", "class"), (r"^[ \t]*(?:(?:public|private|protected|internal|readonly|partial)\s+)*struct\s+(?P<name>\w+)[^{;]*\{", "struct"), (r"^[ \t]*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(?P<name>\w+)[^{;]*\{", "interface"), (r"^[ \t]*(?:(?:public|private|protected|internal)\s+)*enum\s+(?P<name>\w+)[^{;]*\{", "enum"), (rf"^[ \t]*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract)\s+)+[\w<>\[\],.? ]+?\s(?P<name>\w+)\s*{_ARGS}\s*\{{", "method")],
 }
 _DECLARATIONS["cpp"] = _DECLARATIONS["c"]
 _COMPILED = {k: [(re.compile(p, re.M), kind) for p, kind in v] for k, v in _DECLARATIONS.items()}
-_CALL = re.compile(r"([A-Za-z_$][\w$]*)\s*\(")
+_CALL = re.compile(r"(?:\b([A-Za-z_$][\w$]*)\s*(?:\.|->|::)\s*)?\b([A-Za-z_$][\w$]*)\s*\(")
+_FIELD = re.compile(r"^[ \t]+(?:(?:public|private|protected|internal|readonly|static|const)\s+)*([A-Z]\w*)(?:<[^;=\n]*>)?\s*[*&]?\s+[*&]?(\w+)\s*[;=]", re.M)
+_RECEIVER = re.compile(r"^func\s+\(\s*(\w+)\s")
 
 
 def _blank(text: str) -> str:
@@ -140,28 +181,40 @@ def lexed_symbols(path: str, text: str, lang: str) -> list[Found]:
             owner = (m.groupdict().get("owner") or "") if lang == "go" else ""
             end = _closing(code, m.end() - 1) if m[0].endswith("{") else (code.find("\n", m.end()) if code.find("\n", m.end()) >= 0 else len(code))
             spans.setdefault(line(at), (at, end, "method" if owner else kind, f"{owner}.{name}" if owner else name, (m.groupdict().get("params") or "").strip(), text[at : m.end()]) )  # noqa: E501
-    out, open_ = [], []
+    package = re.search(r"^package\s+(\w+)", code, re.M) if lang == "go" else None
+    out: list[Found] = []
+    open_: list[tuple[int, str, str]] = []
+    sites, receivers, fields = {}, {}, {}
     for ln in sorted(spans):
         at, end, kind, name, params, head = spans[ln]
         while open_ and open_[-1][0] <= at:
             open_.pop()
+        spaces = [n.replace("::", ".") for _, n, k in open_ if k == "namespace"] or ([package[1]] if package else [])
+        if kind == "namespace":
+            open_.append((end if code[at:end].rstrip().endswith("}") else len(code), name, kind))
+            continue
         holders = [n for _, n, k in open_ if k in ("class", "struct", "interface", "enum")]
         if holders and kind == "function":
             kind = "method"
-        tags = {}
+        tags = {"namespace": ".".join(spaces)} if spaces else {}
         if re.search(r"\bstatic\b", head):
             tags["is_static"] = "true"
-        m = re.search(r"\b(public|private|protected|internal)\b", head)
-        if m:
-            tags["visibility"] = m[1]
+        shown = re.findall(r"\b(?:public|private|protected|internal)\b", head.partition("(")[0])
+        if shown:
+            tags["visibility"] = " ".join(dict.fromkeys(shown))
         elif lang == "go":
             tags["visibility"] = "public" if name.split(".")[-1][:1].isupper() else "private"
-        body = code[at:end]
-        called = sorted({c for c in _CALL.findall(body.partition("{")[2]) if c not in _WORDS}) if kind in ("function", "method") else []
-        out.append(Found(".".join([*holders, name]), kind, ln, line(max(at, end - 1)), text[at:end], params, len(open_), None, tags, called))
+        out.append(Found(".".join([*spaces, *holders, name]), kind, ln, line(max(at, end - 1)), text[at:end], params, sum(k != "namespace" for *_, k in open_), None, tags))
+        if kind in ("function", "method") and not any(k in ("function", "method") for *_, k in open_):
+            sites[len(out) - 1] = [(o or "", c) for o, c in _CALL.findall(code[at:end].partition("{")[2]) if c not in _WORDS]
+            m = _RECEIVER.match(head)
+            if m:
+                receivers[len(out) - 1] = (m[1], out[-1].name.rpartition(".")[0])
+        if kind in ("class", "struct"):
+            fields |= {(name, f): t for t, f in _FIELD.findall(code[at:end]) if t not in _WORDS}
         if kind in ("class", "struct", "interface", "enum", "function", "method"):
             open_.append((end, name, kind))
-    return out
+    return settle_calls(out, sites, receivers, fields)
 
 
 for _lang in _COMPILED:

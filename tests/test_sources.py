@@ -34,11 +34,11 @@ def test_scan_respects_ignore_files_and_nested_trees(spark, tmp_path):
 def test_extractors(spark):
     py = b'class A:\n    X = 1\n    @staticmethod\n    def m(a, b=(1, 2)):\n        """Doc."""\n        return helper(a).go()\n\ndef f():\n    pass\nY = 2\n'
     got = {s.name: s for s in extract("p/a.py", py)}
-    assert {n: s.kind for n, s in got.items()} == {"A": "class", "A.X": "field", "A.m": "method", "f": "function", "Y": "variable"}
-    assert got["A.m"].calls == ["go", "helper"] and got["A.m"].tags["is_static"] == "true" and got["A.m"].description == "Doc." and got["A.m"].depth == 1
+    assert {n: s.kind for n, s in got.items()} == {"a.A": "class", "a.A.X": "field", "a.A.m": "method", "a.f": "function", "a.Y": "variable"}
+    assert got["a.A.m"].calls == ["go", "helper"] and got["a.A.m"].tags["is_static"] == "true" and got["a.A.m"].description == "Doc." and got["a.A.m"].depth == 1
     go = b"package p\n// func no() {\nfunc (s *Srv) Run(a int, b string) error {\n\ts.log(a)\n\treturn nil\n}\ntype Srv struct {\n\tx int\n}\n"
     got = {s.name: (s.kind, s.line, s.end_line, s.calls) for s in extract("a.go", go)}
-    assert got == {"Srv.Run": ("method", 3, 6, ["log"]), "Srv": ("struct", 7, 9, [])}
+    assert got == {"p.Srv.Run": ("method", 3, 6, ["log"]), "p.Srv": ("struct", 7, 9, [])}
     cs = b"public class Box {\n  private static int Add(int a, List<int, int> b) {\n    return Sum(a);\n  }\n}\n"
     got = {s.name: (s.kind, s.tags, s.calls) for s in extract("a.cs", cs)}
     assert got["Box.Add"] == ("method", {"is_static": "true", "visibility": "private"}, ["Sum"])
@@ -52,7 +52,22 @@ def test_extractors(spark):
     assert [(s.name, s.kind) for s in extract("ci.yml", y)] == [("build", "job"), ("key", "config-key")]
     assert extract("a.py", b"def (") == [] and extract("a.bin", b"") == [] and extract("a.py", None) == []
     df = extract_symbols(spark.createDataFrame([("a.go", bytearray(go)), ("b.txt", bytearray(b"x")), ("c.py", None)], "path string, content binary"))
-    assert {(r["name"], r["param_count"]) for r in df.collect()} == {("Srv.Run", 2), ("Srv", 0)}
+    assert {(r["name"], r["param_count"]) for r in df.collect()} == {("p.Srv.Run", 2), ("p.Srv", 0)}
+
+
+def test_callees_get_full_names():
+    calls = lambda path, text: {s.name: s.calls for s in extract(path, text.encode()) if s.kind in ("function", "method")}
+    go = "package app\n\ntype Alpha struct{}\ntype Beta struct{}\n\nfunc (a *Alpha) Run() { a.Work() }\nfunc (b *Beta) Run() { b.Work(); Free() }\n\nfunc (a *Alpha) Work() {}\nfunc (b *Beta) Work() {}\nfunc Free() {}\n"
+    got = calls("x.go", go)
+    assert got["app.Alpha.Run"] == ["app.Alpha.Work"] and got["app.Beta.Run"] == ["app.Beta.Work", "app.Free"]
+    cs = "namespace N.M {\npublic class A {\n  private EngineA _e;\n  public void Update() { }\n  public void Run() { Update(); _e.Go(); }\n}\npublic class B {\n  private EngineB _e;\n  public void Update() { }\n  public void Run() { Update(); _e.Go(); }\n}\npublic class EngineA {\n  public void Go() { }\n}\npublic class EngineB {\n  public void Go() { }\n}\n}\n"
+    got = calls("x.cs", cs)
+    assert got["N.M.A.Run"] == ["N.M.A.Update", "N.M.EngineA.Go"] and got["N.M.B.Run"] == ["N.M.B.Update", "N.M.EngineB.Go"]
+    py = "class S:\n    def a(self):\n        self.b()\n        def inner():\n            free()\n    def b(self):\n        return b\ndef free():\n    free()\n"
+    got = calls("m.py", py)
+    assert got == {"m.S.a": ["m.S.b", "m.free"], "m.S.a.inner": [], "m.S.b": [], "m.free": []}
+    js = "class K {\n  go() {\n    this.stop();\n  }\n  stop() {\n  }\n}\n"
+    assert calls("x.js", js)["K.go"] == ["K.stop"]
 
 
 def test_git_and_roots(spark):
