@@ -37,6 +37,10 @@ PROFILES = {
 }
 NAMES = tuple(PROFILES)
 PROSE = ("prose", "terse_prose")
+#: Characters with which a line of sentences ends.
+ENDS = frozenset(".!?:;…。！？\"”'")
+#: Texts that are worked out together: at most so many, and about so many characters.
+BATCH_TEXTS, BATCH_CHARS = 256, 500_000
 #: Least words of a segment, and of the window over which association is averaged.
 SEGMENT_WORDS, WINDOW_WORDS = 12, 40
 #: Largest shares of symbols among the characters, and of numbers among the words, of a prose segment.
@@ -120,13 +124,14 @@ def association(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.
     sends its own table, in sparse form, and Spark adds them up.
     """
     size = len(lexicon.words) + 1
+    end = np.array([-8], np.int16)
 
     def run(batches):
         total = np.zeros(size * size, np.int64)
         for pdf in batches:
-            for t in pdf["text"]:
-                if t:
-                    total += pair_counts(lexicon.codes(clean(t)), size)
+            parts = [x for t in pdf["text"] if t for x in (lexicon.codes(t), end)]
+            if parts:
+                total += pair_counts(np.concatenate(parts), size)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
@@ -157,79 +162,116 @@ _CHAR_PROFILES = np.array([v[1] for v in PROFILES.values()])
 _IS_PROSE = np.array([n in PROSE for n in NAMES])
 
 
-def _segments(words: np.ndarray, least: int) -> np.ndarray:
-    """Number of each line's segment: lines are added until `least` words are there."""
-    out, k, have = np.zeros(len(words), np.int64), 0, 0
-    for i, n in enumerate(words.tolist()):
-        if have >= least:
-            k, have = k + 1, 0
+def _segments(words: np.ndarray, begins: np.ndarray, least: int) -> np.ndarray:
+    """Number of each line's segment: within a text, lines are added until `least` words are there.
+
+    `begins` marks the first line of each text; too short a rest joins the segment
+    in front.
+    """
+    out, k, have, first, start = np.zeros(len(words), np.int64), -1, 0, -1, 0
+    for i, (n, new) in enumerate(zip(words.tolist(), begins.tolist())):
+        if new:
+            if have < least and k > first:
+                out[start:i] -= 1
+                k -= 1
+            k, have, start = k + 1, 0, i
+            first = k
+        elif have >= least:
+            k, have, start = k + 1, 0, i
         out[i] = k
         have += n
-    if have < least and k:  # too short a rest joins the segment in front
-        out[out == k] = k - 1
+    if have < least and k > first:
+        out[start:] -= 1
     return out
 
 
-def describe(text: str | None, lexicon: Lexicon, pairs: tuple[np.ndarray, np.ndarray], least_association: float) -> tuple:
-    """The figures of one text; see `quality`.
+def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(index, values[:, j], n) for j in range(values.shape[1])], 1)
+
+
+def describe(texts: list[str | None], lexicon: Lexicon, pairs: tuple[np.ndarray, np.ndarray], least_association: float) -> list[tuple]:
+    """The figures of some texts, worked out together; see `quality`.
 
     The association of two words is the logarithm of their count over that by chance;
-    the text's own pairs don't count, so that it can't speak for itself.
+    a text's own pairs don't count, so that it can't speak for itself.
     """
-    t = clean(text)
-    if not t.strip():
-        return (0, 0.0, 0.0, 0.0, 0.0, None, 0.0, None, 0.0)
-    codes = lexicon.codes(t)
-    breaks = codes == -9
-    line_of = np.cumsum(breaks)
-    lines = t.split("\n")
+    cleaned = [clean(t) for t in texts]
+    used = [i for i, t in enumerate(cleaned) if t.strip()]
+    out: list[tuple] = [(0, 0.0, 0.0, 0.0, 0.0, None, 0.0, None, 0.0)] * len(texts)
+    if not used:
+        return out
+    body = [cleaned[i] for i in used]
+    docs = len(body)
+    whole = "\n".join(body)
+    lines = whole.split("\n")
+    doc_of_line = np.repeat(np.arange(docs), [t.count("\n") + 1 for t in body])
     n_lines = len(lines)
+    begins = np.concatenate([[True], doc_of_line[1:] != doc_of_line[:-1]])
     length = np.array([len(x) for x in lines])
-    word, line = codes[~breaks], line_of[~breaks]
+
+    codes = lexicon.codes(whole)
+    breaks = codes == -9
+    word, line = codes[~breaks].astype(np.int64), np.cumsum(breaks)[~breaks]
+    doc = doc_of_line[line]
     kind = np.where(word > 0, 0, np.where(word == 0, 1, np.where(word == -1, 2, 3)))
     kinds = np.bincount(line * 4 + kind, minlength=n_lines * 4).reshape(n_lines, 4)
-    cp = np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)
+    cp = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
     cls = _CLASSES[np.where(cp < 0x3100, cp, 0x61)]
     tight = ((cp[:-1] == 0x3B) | (cp[:-1] == 0x2C)) & (cls[1:] != 2)  # a separator, not a stop
     cls[:-1][tight] = 4
-    chars = np.bincount(np.repeat(np.arange(n_lines), length + (np.arange(n_lines) < n_lines - 1)) * 5 + cls, minlength=n_lines * 5).reshape(n_lines, 5)
+    cls[np.cumsum([len(t) + 1 for t in body])[:-1] - 1] = 5  # the line ends between texts
+    chars = np.bincount(np.repeat(np.arange(n_lines), length + (np.arange(n_lines) < n_lines - 1)) * 6 + cls, minlength=n_lines * 6).reshape(n_lines, 6)[:, :5]
 
-    seg = _segments(kinds.sum(1), SEGMENT_WORDS)
+    seg = _segments(kinds.sum(1), begins, SEGMENT_WORDS)
     k = int(seg[-1]) + 1
-    seg_kinds, seg_chars, seg_len = np.zeros((k, 4)), np.zeros((k, 5)), np.zeros(k)
-    np.add.at(seg_kinds, seg, kinds), np.add.at(seg_chars, seg, chars), np.add.at(seg_len, seg, length)
+    seg_kinds, seg_chars, seg_len = _sums(seg, kinds, k), _sums(seg, chars, k), np.bincount(seg, length, k)
+    seg_doc = np.zeros(k, np.int64)
+    seg_doc[seg] = doc_of_line
     p = seg_kinds / np.maximum(seg_kinds.sum(1, keepdims=True), 1)
     q = seg_chars / np.maximum(seg_chars.sum(1, keepdims=True), 1)
-    distance = divergence(p, _WORD_PROFILES) + divergence(q, _CHAR_PROFILES)
-    nearest = distance.argmin(1)
+    nearest = (divergence(p, _WORD_PROFILES) + divergence(q, _CHAR_PROFILES)).argmin(1)
     prose = _IS_PROSE[nearest] & (seg_kinds.sum(1) > 0) & (q[:, 4] <= MOST_SYMBOLS) & (p[:, 2] <= MOST_NUMBERS)
 
     # association of neighbours, over windows of whole segments
-    window = _segments(seg_kinds.sum(1).astype(np.int64), WINDOW_WORDS)
+    window = _segments(seg_kinds.sum(1).astype(np.int64), np.concatenate([[True], seg_doc[1:] != seg_doc[:-1]]), WINDOW_WORDS)
     a, b = word[:-1], word[1:]
-    ok = (a >= 0) & (b >= 0) & ((a > 0) | (b > 0))
-    at = window[seg[line[:-1]]]
+    ok = (a >= 0) & (b >= 0) & ((a > 0) | (b > 0)) & (doc[1:] == doc[:-1])
+    at = window[seg[line[:-1]]][ok]
     w = int(window[-1]) + 1
-    cell = a[ok].astype(np.int64) * (len(lexicon.words) + 1) + b[ok]
-    _, same, own = np.unique(cell, return_inverse=True, return_counts=True)
+    size = len(lexicon.words) + 1
+    cell = a[ok] * size + b[ok]
+    _, same, own = np.unique(doc[:-1][ok] * (size * size) + cell, return_inverse=True, return_counts=True)
     joint = np.log((np.maximum(pairs[0][cell] - own[same], 0) + 0.5) / (pairs[1][cell] + 0.5))
-    total, count = np.bincount(at[ok], joint, w), np.bincount(at[ok], minlength=w)
-    joined = total / np.maximum(count, 1)
-    prose &= (joined >= least_association)[window]
-    share = float(seg_len[prose].sum() / max(seg_len.sum(), 1))
-
-    weights = np.bincount(nearest, seg_len, len(NAMES))
-    profile = NAMES[int(weights.argmax())] if share <= 0.5 or not prose.any() else NAMES[int(np.bincount(nearest[prose], seg_len[prose], len(NAMES)).argmax())]
-    if share < 0.5 and profile in PROSE:
-        profile = "word_salad"
-    n_words = len(word)
-    stripped = [x.rstrip() for x in lines if x.strip()]
-    ended = sum(x[-1] in ".!?:;…。！？\"”'" for x in stripped) / len(stripped)
-    common = float((word > 0).mean()) if n_words else 0.0
-    by_lang = lexicon.member[:, np.maximum(word, 0)].sum(1) if n_words and len(lexicon.langs) else np.zeros(1)
-    lang = lexicon.langs[int(by_lang.argmax())] if by_lang.max() > 0 else None
-    mean_len = float(chars[:, :2].sum() / n_words) if n_words else 0.0
-    return (n_words, mean_len, float(chars[:, 4].sum() / len(t)), ended, common, lang, share, profile, float(total.sum() / max(count.sum(), 1)))
+    total, count = np.bincount(at, joint, w), np.bincount(at, minlength=w)
+    prose &= (total / np.maximum(count, 1) >= least_association)[window]
+
+    per = lambda index, values=None: np.bincount(index, values, docs)
+    chars_of = per(seg_doc, seg_len)
+    share = per(seg_doc, seg_len * prose) / np.maximum(chars_of, 1)
+    shapes = np.bincount(seg_doc * len(NAMES) + nearest, seg_len, docs * len(NAMES)).reshape(docs, -1)
+    good = np.bincount((seg_doc * len(NAMES) + nearest)[prose], seg_len[prose], docs * len(NAMES)).reshape(docs, -1)
+    n_words = per(doc)
+    common = per(doc, word > 0) / np.maximum(n_words, 1)
+    letters, symbols = per(doc_of_line, chars[:, 0] + chars[:, 1]), per(doc_of_line, chars[:, 4])
+    known = np.maximum(word, 0)
+    by_lang = np.stack([per(doc, m[known]) for m in lexicon.member]) if len(lexicon.langs) else np.zeros((1, docs))
+    held, ended = np.zeros(docs), np.zeros(docs)
+    for d, x in zip(doc_of_line.tolist(), lines):
+        x = x.rstrip()
+        if x:
+            held[d] += 1
+            ended[d] += x[-1] in ENDS
+    window_doc = np.zeros(w, np.int64)
+    window_doc[window] = seg_doc
+    joined = per(window_doc, total) / np.maximum(per(window_doc, count), 1)
+    for d, i in enumerate(used):
+        profile = NAMES[int((good if share[d] > 0.5 else shapes)[d].argmax())]
+        if share[d] < 0.5 and profile in PROSE:
+            profile = "word_salad"
+        lang = lexicon.langs[int(by_lang[:, d].argmax())] if by_lang[:, d].max() > 0 else None
+        n = int(n_words[d])
+        out[i] = (n, float(letters[d] / n) if n else 0.0, float(symbols[d] / len(body[d])), float(ended[d] / max(held[d], 1)), float(common[d]), lang, float(share[d]), profile, float(joined[d]))
+    return out
 
 
 SCHEMA = "doc_id bigint, n_words int, mean_word_length double, symbol_ratio double, ended_lines double, common_share double, common_lang string, prose_share double, profile string, association double"
@@ -258,7 +300,14 @@ def quality(documents: DataFrame, common_words: DataFrame, least_association: fl
     def run(batches):
         lex, pairs = shared.value
         for pdf in batches:
-            got = [describe(t, lex, pairs, least_association) for t in pdf["text"]]
+            got, part, chars = [], [], 0
+            for t in [*pdf["text"], None]:
+                if part and (len(part) >= BATCH_TEXTS or chars >= BATCH_CHARS):
+                    got += describe(part, lex, pairs, least_association)
+                    part, chars = [], 0
+                part.append(t)
+                chars += len(t or "")
+            got += describe(part[:-1], lex, pairs, least_association) if len(part) > 1 else []
             out = pd.DataFrame(got, columns=[c.split()[0] for c in SCHEMA.split(", ")][1:])
             out.insert(0, "doc_id", pdf["doc_id"])
             yield out
