@@ -76,39 +76,70 @@ def dominant_model(embeddings: DataFrame) -> DataFrame:
     return n.orderBy(F.desc("n"), "model").limit(1).select("model")
 
 
-def semantic_pairs(items: DataFrame, distance: float, k: int = 20, block: int = 512) -> DataFrame:
+def semantic_pairs(items: DataFrame, distance: float, k: int = 20, block: int = 512, max_pivots: int = 1000) -> DataFrame:
     """`a, b, distance`: the `k` nearest others of each item(id, v) within a cosine distance.
 
-    Exact, in blocks: matrix products of a block of items with a block of others. The
-    blocks are the join keys, so no task holds more than two blocks, and each block
-    keeps only its own top k.
+    Exact. Items go to blocks around pivots (a bounded sample of the items); two
+    blocks are compared, by one matrix product, only if the angle between their
+    pivots leaves room for a pair that is near enough (the triangle inequality). A
+    task holds two blocks and keeps their own top k. Null and all-zero vectors have
+    no neighbours.
     """
-    n = items.count()
-    blocks = max(1, -(-n // block))
-    placed = materialise(items.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")), "items")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = placed.select("id", "v", F.col("b").alias("i"), every.alias("j"))
-    right = placed.select("id", "v", F.col("b").alias("j"), every.alias("i"))
-
-    def compare(a, b):
-        import numpy as np
-        import pandas as pd
+    import numpy as np
+    import pandas as pd
 
+    n = items.count()
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    live = materialise(items.where("id is not null and v is not null").select("id", "v").where(norm > 0), "items")
+    pivots = max(1, min(max_pivots, -(-n // block)))
+    sample = live.select("v").where(F.rand(5) < min(1.0, 20 * pivots / max(n, 1))).limit(pivots).collect() or live.select("v").limit(1).collect()
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    centres = unit(np.array([r["v"] for r in sample], float)) if sample else np.zeros((0, 1))
+    angle = lambda c: np.arccos(np.clip(c, -1, 1))
+    shared = live.sparkSession.sparkContext.broadcast(centres)
+
+    def place(batches):
+        for pdf in batches:
+            if len(pdf):
+                a = angle(unit(np.stack(pdf["v"].to_numpy()).astype(float)) @ shared.value.T)
+                near = a.argmin(1)
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "pivot": near, "angle": a[np.arange(len(a)), near]})
+
+    placed = materialise(live.mapInPandas(place, "id bigint, v array<double>, pivot int, angle double"), "placed")
+    info = {r["pivot"]: (r["n"], r["far"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()}
+    reach = float(np.arccos(np.clip(1 - distance, -1, 1))) + 1e-6
+    apart = angle(centres @ centres.T) if len(centres) else np.zeros((0, 0))
+    parts = {p: -(-n_ // block) for p, (n_, _) in info.items()}
+    mates = {p: [q for q in info if apart[p, q] <= reach + info[p][1] + info[q][1]] for p in info}
+    plan = live.sparkSession.sparkContext.broadcast((parts, mates))
+
+    def route(batches):
+        parts, mates = plan.value
+        for pdf in batches:
+            for p, g in pdf.groupby("pivot"):
+                sub = np.array([(int(i) * 2654435761 >> 7) % parts[p] for i in g["id"]])
+                for q in mates[p]:
+                    for t in range(parts[q]):
+                        own, other = p * 1_000_000 + sub, q * 1_000_000 + t
+                        yield pd.DataFrame({"x": np.minimum(own, other), "y": np.maximum(own, other), "id": g["id"], "v": g["v"], "home": own})
+
+    routed = placed.mapInPandas(route, "x bigint, y bigint, id bigint, v array<double>, home bigint")
+
+    def compare(key, a, b):
         none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         if a.empty or b.empty:
             return none
-        x, y = (np.stack(t["v"].to_numpy()).astype(float) for t in (a, b))
-        nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            d = 1 - (x @ y.T) / np.outer(nx, ny)
-        d = np.where(np.isnan(d), np.inf, d)
+        x, y = (unit(np.stack(t["v"].to_numpy())) for t in (a, b))
+        d = 1 - x @ y.T
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
         d[ia[:, None] == ib[None, :]] = np.inf
         r, c = np.nonzero(d < distance)
-        out = pd.DataFrame({"a": ia[r], "b": ib[c], "distance": d[r, c]}).sort_values(["a", "distance", "b"])
-        return out.groupby("a").head(k)
+        both = pd.DataFrame({"a": ia[r], "b": ib[c], "distance": d[r, c]})
+        if key[0] != key[1]:
+            both = pd.concat([both, both.rename(columns={"a": "b", "b": "a"})[["a", "b", "distance"]]])
+        return both.sort_values(["a", "distance", "b"]).groupby("a").head(k)
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, "a bigint, b bigint, distance double")
+    found = routed.where("home = x").groupBy("x", "y").cogroup(routed.where("home = y").groupBy("x", "y")).applyInPandas(compare, "a bigint, b bigint, distance double")
     w = Window.partitionBy("a").orderBy("distance", "b")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 

@@ -83,15 +83,22 @@ def sliding_rate(events: DataFrame, key: str, second: Column, window: int = 60)
 def debounce(events: DataFrame, key: str, ts: str, event: str, gap_seconds: float) -> DataFrame:
     """`flush, key, event`: bursts of events with no gap of `gap_seconds` give one flush; of each key the last event stays.
 
-    Bursts are global: a gap is one in the events of all keys. Events are first put on
-    whole seconds, so the ordered pass sees each second once, not each event.
+    Bursts are global: a gap is one in the events of all keys. The order is worked out
+    over whole seconds within each day, and the days are stitched by one row each, so
+    that no task orders all events.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     e = events.select(F.col(key).alias("key"), us.alias("us"), F.col(event).alias("event"), F.floor(us / 1_000_000).alias("sec"))
-    sec = e.groupBy("sec").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
-    w = Window.orderBy("sec")
-    burst = sec.withColumn("new", (F.coalesce(F.col("lo") - F.lag("hi").over(w), F.lit(1 << 60)) > int(gap_seconds * 1e6)).cast("int")).withColumn("flush", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.join(burst.select("sec", "flush"), "sec").groupBy("flush", "key").agg(F.max_by("event", F.struct("us", "event")).alias("event"))
+    sec = e.groupBy("sec").agg(F.min("us").alias("lo"), F.max("us").alias("hi")).withColumn("day", F.floor(F.col("sec") / 86_400))
+    gap = F.lit(int(gap_seconds * 1e6))
+    w = Window.partitionBy("day").orderBy("sec")
+    inside = sec.withColumn("new", F.coalesce(F.col("lo") - F.lag("hi").over(w) > gap, F.lit(False)).cast("int")).withColumn("within", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    days = inside.groupBy("day").agg(F.min("lo").alias("first"), F.max("hi").alias("last"), F.sum("new").alias("n"))
+    d = Window.orderBy("day")  # one row a day
+    days = days.withColumn("opens", F.coalesce(F.col("first") - F.lag("last").over(d) > gap, F.lit(True)).cast("int"))
+    front = F.sum(F.col("opens") + F.col("n")).over(d.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    burst = inside.select("sec", "day", "within").join(days.select("day", front.alias("front")), "day").select("sec", (F.col("front") + F.col("within")).alias("flush"))
+    return e.join(burst, "sec").groupBy("flush", "key").agg(F.max_by("event", F.struct("us", "event")).alias("event"))
 
 
 def latest_status(heartbeats: DataFrame, name: str = "daemon", ts: str = "ts") -> DataFrame:

@@ -35,10 +35,12 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), MARKED, FOLDED), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def postings(docs: DataFrame, key: str, *columns: str) -> DataFrame:
-    """`term, doc, tf, len`: the inverted index of docs' columns taken together."""
+def postings(docs: DataFrame, key: str, *columns: str, only: list[str] | None = None) -> DataFrame:
+    """`term, doc, tf, len`: the inverted index of docs' columns taken together; `only`: of these terms."""
     words = F.concat(*[F.coalesce(terms(F.col(c)), F.array().cast("array<string>")) for c in columns])
     d = docs.select(F.col(key).alias("doc"), words.alias("w")).withColumn("len", F.size("w"))
+    if only is not None:
+        d = d.withColumn("w", F.filter("w", lambda x: x.isin(only) if only else F.lit(False)))
     return d.select("doc", "len", F.explode("w").alias("term")).groupBy("term", "doc", "len").agg(F.count("*").alias("tf"))
 
 
@@ -51,11 +53,11 @@ def doc_stats(docs: DataFrame, *columns: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, columns: list[str], query: str, strict: bool = False) -> DataFrame:
     """`doc, score` of the documents that hold all terms of the query, higher is better.
 
-    Terms that don't occur in the query are dropped before the shuffle, so the index
-    is never moved whole.
+    Terms that don't occur in the query are dropped before the words become rows, so
+    the index is never built or moved whole.
     """
     q = query_terms(query, strict)
-    p = postings(docs, key, *columns).where(F.col("term").isin(q)) if q else postings(docs, key, *columns).where("false")
+    p = postings(docs, key, *columns, only=q)
     stats = doc_stats(docs, *columns)
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     x = p.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row per term, one row
