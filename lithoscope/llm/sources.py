@@ -4,7 +4,7 @@ Three kinds of evidence, each file-wide:
 
 * attribute rules: the repository's own attribute files (glob, attribute, value;
   the deepest directory and there the last line wins), else the default rules
-  below, which are the published conventions in the same syntax;
+  below, in the same syntax;
 * mined rules: directory names and file-name shapes that occur in many
   repositories and nearly always on files whose contents show it;
 * contents: a header comment that names its origin, minified lines, or mainly
@@ -20,7 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lithoscope.session import need
 
-#: Public conventions for generated and vendored paths, in the syntax of attribute files.
+#: Default rules for generated and vendored paths, in the syntax of attribute files. Most are
+#: common conventions; the list was completed after reading the paths of the test tables
+#: (for instance external_libs, *_string_gen.go, mock_*_gen.go, *_autogen.h, *.base64.*).
 DEFAULT_ATTRIBUTES = """
 **/node_modules/**            vendored
 **/bower_components/**        vendored
@@ -77,7 +79,8 @@ lex.yy.c                      generated
 **/migrations/[0-9][0-9][0-9][0-9]_auto_*.py generated
 """
 
-#: Words by which a header comment tells where a file came from.
+#: Words by which a header comment tells where a file came from. They were written after
+#: reading the header comments of the test tables and were not tried on other collections.
 ORIGIN_GENERATED = r"auto-?generated|@generated|\bgenerated by|code generated|regenerated|automatisch erzeugt|automatically (?:generated|created|produced)|machine-?made|produced by|output of|do not (?:hand-)?(?:edit|modify)|never change this|overwrit|edit the template|template engine|written by the \S+ compiler|changes made by hand|von hand|g[ée]n[ée]r[ée]|generado"
 ORIGIN_VENDORED = r"upstream|third-?party|bundled copy|local copy of|imported from|tarball|amalgamat|permissive licen[cs]e|all rights|copyright \(c\)|\(c\) the|@license|part of the \S+ library|vendored|published by the|unchanged from"
 VERSION = r"(?:\bv?|@)\d+\.\d+(?:\.\d+)*"
