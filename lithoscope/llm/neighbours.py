@@ -6,6 +6,9 @@ pruning with a relaxed distance keeps edges of different directions, so that few
 edges lead everywhere. Every vector then runs a beam search in the graph of each
 shard that can hold a near enough vector; the searches' results are merged.
 
+Equal vectors are one point of the graphs and one query: a class, named by its
+smallest id. The classes found are turned into ids afterwards, own class first.
+
 Which shards can is exact: by the triangle inequality on angles, a vector within
 the angle acos(least) of the query can only lie in a shard whose centre is at most
 that angle plus the shard's radius away.
@@ -163,7 +166,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str = "vector", model_col:
     come from a sample of at most `sample_rows` vectors per model, and every vector
     is indexed and queried. A crowded shard is cut into graphs of `shard_rows`
     vectors, all of which are searched. Found similarities are computed exactly; the
-    recall of the searches is measured in the tests.
+    recall of the searches is measured in the tests. Ties are exact: equal vectors
+    are indexed once, and a search whose beam ends within a tie looks at its whole graph.
 
     Defined results: null, all-zero and wrong-length vectors (the right length of a
     model is its most frequent one), vectors with null or NaN numbers, and null ids
@@ -172,7 +176,10 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str = "vector", model_col:
     """
     spark = vectors.sparkSession
     dims = model_sizes(vectors, vec_col, model_col)
-    rows = materialise(usable(vectors, id_col, vec_col, model_col, dims), "vectors")
+    every = materialise(usable(vectors, id_col, vec_col, model_col, dims), "vectors")
+    classes = every.groupBy("model", "v").agg(F.min("id").alias("id"))
+    rows = materialise(classes.select("model", "id", "v"), "classes")
+    owned = materialise(every.join(rows.withColumnRenamed("id", "class"), ["model", "v"]).select("model", "class", "id"), "members")
     counts = {r["model"]: r["n"] for r in rows.groupBy("model").agg(F.count("*").alias("n")).collect()}
     plans = {}
     for model, n in counts.items():
@@ -229,7 +236,23 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str = "vector", model_col:
     asks = routed.where("not member").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-max(counts.values(), default=1) // query_block)))))
     found = asks.groupBy("model", "graph", "block").cogroup(_spread(index, counts, query_block).groupBy("model", "graph", "block")).applyInPandas(_search(k, least), "model string, id bigint, other bigint, similarity double")
     order = Window.partitionBy("model", "id").orderBy(F.desc("similarity"), "other")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _expand(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), owned, k)
+
+
+def _expand(found: DataFrame, owned: DataFrame, k: int) -> DataFrame:
+    """The ids' nearest from the classes' nearest: found(model, id, other, similarity), owned(model, class, id).
+
+    The k + 1 smallest ids of a class are enough: an id of any other place has k
+    before it at the same similarity. One list per class serves all its members.
+    """
+    smallest = Window.partitionBy("model", "class").orderBy("id")
+    first = owned.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k + 1)
+    own = first.select("model", "class", F.struct(F.lit(0).alias("far"), F.lit(-1.0).alias("minus"), F.col("id").alias("other")).alias("entry"))
+    near = found.select("model", F.col("id").alias("asks"), F.col("other").alias("class"), "similarity").join(first, ["model", "class"])
+    near = near.select("model", F.col("asks").alias("class"), F.struct(F.lit(1).alias("far"), (-F.col("similarity")).alias("minus"), F.col("id").alias("other")).alias("entry"))
+    lists = own.unionByName(near).groupBy("model", "class").agg(F.slice(F.sort_array(F.collect_list("entry")), 1, k + 1).alias("entries"))
+    got = owned.join(lists, ["model", "class"]).select("model", "id", F.posexplode(F.slice(F.filter("entries", lambda x: x["other"] != F.col("id")), 1, k)).alias("at", "entry"))
+    return got.select("model", "id", F.col("entry.other").alias("other"), (-F.col("entry.minus")).alias("similarity"), (F.col("at") + 1).alias("rank"))
 
 
 def _spread(index: DataFrame, counts: dict, query_block: int) -> DataFrame:
@@ -246,6 +269,21 @@ def _index(batches):
             yield pd.DataFrame({"model": [model], "graph": [graph], "ids": [[m["id"] for m in members]], "vectors": [x.tobytes()], "edges": [edges.astype(np.int32).tobytes()], "entry": [entry.tolist()]})
 
 
+def _ties(q: np.ndarray, exact: np.ndarray, rows: np.ndarray, ids: np.ndarray, qid: np.ndarray, k: int):
+    """(rows, places) of the k nearest of some queries among all vectors of a graph, ties to the smaller id."""
+    s = q[rows] @ exact.T
+    s[ids == qid[rows][:, None]] = -np.inf
+    k = min(k, s.shape[1])
+    last = -np.partition(-s, k - 1, 1)[:, k - 1]
+    row, place = np.nonzero((s >= last[:, None] - 1e-9) & np.isfinite(s))
+    value = np.minimum(np.einsum("ij,ij->i", q[rows[row]], exact[place]), 1.0)
+    order = np.lexsort((ids[place], -value, row))
+    row, place = row[order], place[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return rows[row[keep]], place[keep]
+
+
 def _search(k: int, least: float):
     columns = ["model", "id", "other", "similarity"]
 
@@ -259,12 +297,18 @@ def _search(k: int, least: float):
         x = exact.astype(np.float32)
         q = np.stack(asks["v"].to_numpy())
         qid = asks["id"].to_numpy()
-        place, sim = beam_search(x, edges, q.astype(np.float32), np.asarray(g["entry"], np.int64), BEAM)
-        row, col = np.nonzero((place >= 0) & (sim >= least - 1e-4))
-        other = place[row, col]
+        place, sim = beam_search(x, edges, q.astype(np.float32), np.asarray(g["entry"], np.int64), max(BEAM, 2 * (k + 1)))
+        # a beam that ends within a tie with the last place wanted: look at the whole graph
+        tied = np.isfinite(sim[:, -1]) & (sim[:, k] >= least - 1e-4) & (sim[:, -1] >= sim[:, k] - 1e-5)
+        row, col = np.nonzero((place >= 0) & (sim >= least - 1e-4) & ~tied[:, None])
+        parts = [(row, place[row, col])]
+        again = np.flatnonzero(tied)
+        for a in range(0, len(again), 256):
+            parts.append(_ties(q, exact, again[a : a + 256], ids, qid, k))
+        row, other = (np.concatenate(c) for c in zip(*parts))
         keep = ids[other] != qid[row]
         row, other = row[keep], other[keep]
-        value = np.einsum("ij,ij->i", q[row], exact[other])
+        value = np.minimum(np.einsum("ij,ij->i", q[row], exact[other]), 1.0)
         out = pd.DataFrame({"model": g["model"], "id": qid[row], "other": ids[other], "similarity": value})
         out = out[out["similarity"] >= least - 1e-9].sort_values(["id", "similarity", "other"], ascending=[True, False, True])
         return out.groupby("id").head(k)[columns]

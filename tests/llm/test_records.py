@@ -166,3 +166,24 @@ def test_nearest_against_all_pairs(spark):
     pairs = {tuple(r) for r in neighbours.neighbour_pairs(spark.createDataFrame([(1, 2), (2, 1), (5, 3)], "id bigint, other bigint")).collect()}
     assert pairs == {(1, 2), (3, 5)}
     assert neighbours.nearest(df.where("false"), "id").count() == 0
+
+
+def test_nearest_of_many_equal_vectors(spark):
+    """700 copies (some doubled in length) among 1,400 vectors, and 100 different vectors that all tie for one."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 128))
+    x = np.concatenate([np.repeat(base, 20, 0) + 0.2 * rng.normal(size=(600, 128)), np.repeat(base[:1], 700, 0), np.eye(128)[:1], 0.9 * np.repeat(np.eye(128)[:1], 99, 0) + np.sqrt(0.19) * np.eye(128)[1:100]])
+    x[700:1000] *= 2
+    ids = rng.permutation(5 * len(x))[: len(x)].tolist()
+    rows = [(i, "m", [float(np.float32(c)) for c in v]) for i, v in zip(ids, x)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "id bigint, model string, vector array<float>"), "id", shard_rows=500).toPandas()
+    m = np.array([r[2] for r in rows])
+    s = np.round((m @ m.T) / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1)), 9)
+    np.fill_diagonal(s, -9)
+    by_id = np.array(ids)
+    want = {i: by_id[[j for j in np.lexsort((by_id, -s[n])) if s[n, j] >= 0.85][:5]].tolist() for n, i in enumerate(ids)}
+    lists = got.sort_values(["id", "rank"]).groupby("id")["other"].agg(list).to_dict()
+    exact = [*ids[600:1300], ids[1300]]
+    assert len(want[ids[1300]]) == 5 and sum(lists.get(i, []) == want[i] for i in exact) == len(exact)
+    assert sum(len(set(lists.get(i, [])) & set(w)) for i, w in want.items()) >= 0.99 * sum(map(len, want.values()))
+    assert (got.groupby("id")["rank"].agg(list).map(lambda r: r == list(range(1, len(r) + 1)))).all() and not got.duplicated(["id", "other"]).any()
