@@ -118,9 +118,10 @@ def pair_counts(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def association(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of neighbouring words over all documents, and the counts by chance, as flat tables.
+    """Counts of neighbouring words over all different texts, and the counts by chance, as flat tables.
 
-    The table has (common words + 1) squared cells whatever the corpus; each task
+    A text counts once however many rows repeat it, so that copies don't speak for
+    each other; copies collapse before the texts are shuffled. The table has (common words + 1) squared cells whatever the corpus; each task
     sends its own table, in sparse form, and Spark adds them up.
     """
     size = len(lexicon.words) + 1
@@ -135,7 +136,7 @@ def association(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
-    got = need(documents, "text").mapInPandas(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = need(documents, "text").where("text is not null").distinct().mapInPandas(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros(size * size)
     n[got["cell"].to_numpy(np.int64)] = got["n"]
     n = n.reshape(size, size)
@@ -282,9 +283,9 @@ def quality(documents: DataFrame, common_words: DataFrame, least_association: fl
 
     `prose_share` is the share of characters in segments of running sentences;
     `profile` the structural profile of most characters (`word_salad`: common words
-    that aren't joined as in sentences). Two narrow passes over the whole corpus,
-    the first of which counts pairs of neighbouring words in a table of fixed size;
-    no shuffle of texts. `common_words` may have up to `max_words` words.
+    that aren't joined as in sentences). Two passes over the whole corpus, the first
+    of which counts pairs of neighbouring words of the different texts (one shuffle of
+    texts) in a table of fixed size. `common_words` may have up to `max_words` words.
 
     Defined results: null, empty and blank texts have 0 words, `prose_share` 0 and
     a null profile; mixed line ends count as one; texts are read whole; repeated

@@ -158,6 +158,18 @@ def test_prose_is_told_from_the_rest(spark):
     assert prose.quality(spark.createDataFrame(docs[:3], "doc_id bigint, text string, p string"), common.where("false")).count() == 3
 
 
+def test_copies_do_not_speak_for_each_other(spark):
+    r = random.Random(8)
+    nouns, verbs = "cat dog house tree river stone bird road".split(), "sees likes finds takes holds".split()
+    sentence = lambda: f"The {r.choice(nouns)} {r.choice(verbs)} a {r.choice(nouns)} of the {r.choice(nouns)} and it is not in the {r.choice(nouns)}, which was on the {r.choice(nouns)}."
+    docs = [(i, "\n".join(sentence() for _ in range(6))) for i in range(60)]
+    salad = " ".join(r.choice([w for _, w in COMMON[:30]] if r.random() < 0.55 else nouns) for _ in range(60))
+    common = spark.createDataFrame(COMMON, "lang string, word string")
+    once, often = (prose.quality(spark.createDataFrame(docs + [(1000 + i, salad) for i in range(n)], "doc_id bigint, text string"), common) for n in (1, 400))
+    assert sorted(once.collect()) == sorted(often.where("doc_id <= 1000").collect())
+    assert {x["doc_id"] for x in prose.not_prose(often).collect()} == set(range(1000, 1400))
+
+
 def test_divergence():
     p = np.array([[0.5, 0.5, 0.0]])
     assert abs(prose.divergence(p, p)[0, 0]) < 1e-12 and abs(prose.divergence(p, np.array([[0.0, 0.0, 1.0]]))[0, 0] - 1) < 1e-12
