@@ -86,6 +86,18 @@ ORIGIN_VENDORED = r"upstream|third-?party|bundled copy|local copy of|imported fr
 VERSION = r"(?:\bv?|@)\d+\.\d+(?:\.\d+)*"
 _ORIGIN = {k: re.compile(rf"(?:{v}).{{0,160}}?{VERSION}|{VERSION}.{{0,160}}?(?:{v})", re.I) for k, v in (("generated", ORIGIN_GENERATED), ("vendored", ORIGIN_VENDORED))}
 _CANONICAL = re.compile(r"(?:^|\W)(?:code generated by .{1,80}do not edit|@generated\b(?! (?:banner|files|marker)))|<auto-generated", re.I)
+#: Sentences that by themselves say what a file is, without a version: only in the comment at the head of a
+#: block, at the start of a line. Weaker words (above) need a version near them.
+_DONT = r"(?:please )?do not (?:hand-?)?(?:edit|modify|change|touch)\b"
+_AUTO = r"(?:auto(?:matically)?[- ]?|machine[- ]?)"
+_WHOLE = {
+    "generated": rf"this (?:source )?(?:file|class|module|code) (?:is|was|has been) (?:{_AUTO}(?:generated|created|produced)\b|generated (?:by|from|with|using)\b)"
+    rf"|{_AUTO}generated (?:by|from|with|using) \w"
+    rf"|(?:{_AUTO})?(?:generated|created|produced)\b[^.;!]{{0,120}}[.,;:!(–—-]+ ?{_DONT}"
+    rf"|{_DONT}(?: (?:by hand|manually|directly|this file))* ?[.,;:!(–—-]+ ?(?:this (?:file|code) (?:is|was) )?(?:{_AUTO})?generated (?:by|from|file|code|automatically)\b",
+    "vendored": r"(?:this (?:file|module|code) is )?(?:an? )?(?:bundled|vendored|verbatim|unmodified) copy of (?!(?:the|our|an?|its|all)\b)[\w.@/+-]+(?: [\w.@/+-]+){0,3} ?[,;:(–—-].{0,80}licen[cs]ed?\b",
+}
+_STANDALONE = {k: re.compile(r"^(?:(?:warning|note|notice|attention|caution)\W+)?(?:" + v.replace(" ?", r"\s*").replace(" ", r"\s+") + ")", re.I | re.M) for k, v in _WHOLE.items()}
 _COMMENT = re.compile(r"^\s*(?://+|#+!?|/\*+!?|\*+/?|--+|;+|<!--+|'{3})\s*(.*?)\s*(?:\*+/|--+>)?\s*$")
 
 _LITERAL = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|[-+]?\b(?:0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?)[uUlLfF]*\b|\b(?:true|false|null|None|nil|True|False)\b')
@@ -182,12 +194,29 @@ def comment_runs(lines: list[str]):
         yield " ".join(x for x in run if x)
 
 
+def head_comment(lines: list[str]) -> str:
+    """The comment lines before the first line of code."""
+    out, inside = [], False
+    for line in lines:
+        m = _COMMENT.match(line)
+        if inside:
+            out.append(line.strip().removesuffix("*/").strip("*/#!- "))
+            inside = "*/" not in line
+        elif m and not line.lstrip().startswith("#include"):
+            out.append(m.group(1).strip("*/#!- "))
+            inside = line.lstrip().startswith("/*") and "*/" not in line
+        elif line.strip():
+            break
+    return "\n".join(out)
+
+
 def block_evidence(text: str | None) -> tuple[int, int, int, bool, bool]:
     """chars, chars of minified lines, chars of data lines, generated header, vendored header."""
     if not text:
         return 0, 0, 0, False, False
     lines = text.splitlines()
-    generated = vendored = False
+    head = head_comment(lines)
+    generated, vendored = (bool(_STANDALONE[k].search(head)) for k in ("generated", "vendored"))
     for c in comment_runs(lines):
         generated |= bool(_ORIGIN["generated"].search(c) or _CANONICAL.search(c))
         vendored |= bool(_ORIGIN["vendored"].search(c))

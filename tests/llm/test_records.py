@@ -40,6 +40,16 @@ def test_contents():
     assert e("# " + "word " * 400)[1] == 0
 
 
+def test_headers_without_a_version():
+    e = lambda t: sources.block_evidence(t)[3:]
+    for t in ("// Automatically generated file, do not edit\nint x;", "#!/usr/bin/env python\n# WARNING: this file was automatically\n# generated from schema.yml\nx = 1", "/*\n Do not edit by hand! Generated from x.tmpl\n*/\nint x;", "// (c) Acme\n\n// This file is auto-generated.\nx();"):
+        assert e(t) == (True, False), t
+    for t in ("/* Bundled copy of zippy, MIT license */\nint x;", "# Vendored copy of tiny http (BSD licence)\nx = 1"):
+        assert e(t) == (False, True), t
+    for t in ("# writes the DO NOT EDIT banner of generated files", "# Emits the banner that marks output of the generator.", "// Compares our parser with the upstream release notes.", "# Rules on how third-party notices are shown to the user.", "# skips vendored copies and minified bundles", "x = 1\n# Automatically generated file, do not edit", "# Bundled copy of the licence is shown", "# This class was created to parse dates", "# Do not edit generated files here"):
+        assert e(t + "\ny = 2") == (False, False), t
+
+
 def test_classify_paths(spark):
     paths = [("/a/src/x.py", 1, None), ("/a/node_modules/k/x.py", 2, None), ("/a/src/copy.py", 2, None), ("K:\\a\\src\\y.min.js", None, None), ("/a/src/data.c", 3, None), ("/a/src/z.py", 99, None), (None, 1, None), ("/a/src/x.py", 1, None), ("/a/codegen/vendors/gen_min.py", 4, None)]
     blocks = [(1, 10, 0, "def f():\n    return 1", None), (2, 20, 0, None, None), (3, 30, 0, "T = {\n" + '  "abc", 1, 2,\n' * 50 + "}", None), (4, 40, 0, "", None), (5, None, 0, "x", None)]
