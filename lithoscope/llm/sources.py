@@ -246,16 +246,19 @@ def block_evidence(text: str | None) -> tuple[int, int, int, bool, bool]:
 def content_evidence(symbols: DataFrame, code_blocks: DataFrame, dense_share: float = 0.5, data_share: float = 0.5, least_data: int = 150) -> DataFrame:
     """`file_id, generated, vendored, minified, data` of each file that has blocks.
 
-    The texts are read once, in a narrow pass; only figures are shuffled.
+    The texts are read once, in a narrow pass; only figures are shuffled. A block
+    counts once per id and content, however many rows repeat it.
     """
 
     def run(batches):
         for pdf in batches:
             out = pd.DataFrame([block_evidence(t) for t in pdf["content"]], columns=["chars", "dense", "literal", "generated", "vendored"])
             out.insert(0, "symbol_id", pdf["symbol_id"].astype("Int64"))
+            out.insert(1, "block", pdf["block"])
             yield out
 
-    figures = need(code_blocks, "symbol_id", "content").where("symbol_id is not null").mapInPandas(run, "symbol_id bigint, chars bigint, dense bigint, literal bigint, generated boolean, vendored boolean")
+    texts = need(code_blocks, "id", "symbol_id", "content").where("symbol_id is not null").withColumn("block", F.xxhash64("id", "content"))
+    figures = texts.mapInPandas(run, "symbol_id bigint, block bigint, chars bigint, dense bigint, literal bigint, generated boolean, vendored boolean").distinct()
     figures = figures.groupBy("symbol_id").agg(*(F.sum(c).alias(c) for c in ("chars", "dense", "literal")), *(F.max(c).alias(c) for c in ("generated", "vendored")))
     owner = need(symbols, "id", "file_id").where("id is not null and file_id is not null").distinct()
     per_file = figures.join(owner, F.col("symbol_id") == F.col("id")).groupBy("file_id").agg(*(F.sum(c).alias(c) for c in ("chars", "dense", "literal")), *(F.max(c).alias(c) for c in ("generated", "vendored")))

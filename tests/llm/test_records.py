@@ -62,6 +62,16 @@ def test_classify_paths(spark):
     assert run([]) == {}
 
 
+def test_repeated_blocks_count_once(spark):
+    data, code = "T = {\n" + '  "abc", 1, 2,\n' * 20 + "}", "\n".join(f"total_{c} = first_name + second_name" for c in "abcdefghij")
+    blocks = [(1, 10, 0, data, None), (2, 10, 1, code, None), *[(3, 20, 0, data, None), (4, 20, 0, data, None), (5, 20, 1, code, None)], *[(6, 30, 0, data, None), (6, 30, 0, data + "\n" + data, None), (7, 30, 1, code, None)]]
+    symbols = spark.createDataFrame([(10, 1), (20, 2), (30, 3)], "id bigint, file_id bigint")
+    for repeats in (1, 5):
+        rows = blocks + blocks[:1] * (repeats - 1)
+        got = {r["file_id"]: r["data"] for r in sources.content_evidence(symbols, spark.createDataFrame(rows, BLOCK)).collect()}
+        assert got == {1: False, 2: True, 3: True}  # other ids or contents are no repeats
+
+
 def test_mined_shapes(spark):
     rows = [(i, f"r{i % 6}", f"srv/code/r{i % 6}/odd/x{i}.py", True) for i in range(30)] + [(100 + i, f"r{i % 6}", f"srv/code/r{i % 6}/own/x{i}.py", i == 0) for i in range(30)]
     got = {r["shape"] for r in sources.mined_shapes(spark.createDataFrame(rows, "file_id bigint, root string, unified string, shown boolean")).collect()}
