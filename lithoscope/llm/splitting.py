@@ -103,20 +103,23 @@ def split_oversized(blocks: DataFrame, limit: int = 2000, overlap: int = 200, ra
     without the repeated part the pieces are the text.
 
     Defined results: null and short texts give no pieces; repeated rows give one
-    set of pieces; rows of one id and different texts are split separately; a text
-    without any boundary is cut at the limit; other columns are ignored.
+    set of pieces (a null start line is line 1); rows of one id and different texts
+    are split separately, and so are those of null ids; a text without any boundary
+    is cut at the limit; other columns are ignored.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
     src = need(blocks, "id", "content", "start_line").where(F.char_length("content") > limit)
-    src = src.withColumn("text", F.sha2("content", 256)).dropDuplicates(["id", "text", "start_line"])
+    src = src.withColumns({"text": F.sha2("content", 256), "line": F.coalesce("start_line", F.lit(1)), "known": F.col("id").isNotNull(), "id": F.coalesce("id", F.lit(0)).cast("bigint")})
+    key = ["known", "id", "text", "line"]  # none of them is null, for the joins
+    src = src.dropDuplicates(key)
     size = F.char_length("content")
     n = F.ceil(size / F.lit(range_chars)).cast("int")
-    ranges = src.select("id", "text", F.coalesce("start_line", F.lit(1)).alias("line"), "content", size.alias("total"), F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
+    ranges = src.select(*key, "content", size.alias("total"), F.explode(F.sequence(F.lit(0), n - 1)).alias("part"))
     at = F.col("part") * range_chars
     halo = F.least(at, F.lit(HALO))
     ranges = ranges.select(
-        "id", "text", "line", "total", "part",
+        *key, "total", "part",
         F.substring("content", at - halo + 1, halo).alias("before"),
         F.substring("content", at + 1, F.lit(range_chars)).alias("body"),
         F.substring("content", at + range_chars + 1, F.lit(HALO)).alias("after"),
@@ -125,12 +128,12 @@ def split_oversized(blocks: DataFrame, limit: int = 2000, overlap: int = 200, ra
     def tables(batches):
         for pdf in batches:
             rows = []
-            for i, t, ln, total, part, a, b, c in pdf.itertuples(index=False):
+            for known, i, t, ln, total, part, a, b, c in pdf.itertuples(index=False):
                 got = thin(boundaries(a or "", b, c or ""), len(b), max(1, overlap // 4))
-                rows.append((i, t, ln, total, part, len(b), b.count("\n"), [p for p, _ in got], [k for _, k in got]))
-            yield pd.DataFrame(rows, columns=["id", "text", "line", "total", "part", "n", "newlines", "places", "kinds"])
+                rows.append((known, i, t, ln, total, part, len(b), b.count("\n"), [p for p, _ in got], [k for _, k in got]))
+            yield pd.DataFrame(rows, columns=[*key, "total", "part", "n", "newlines", "places", "kinds"])
 
-    table = ranges.mapInPandas(tables, "id bigint, text string, line int, total bigint, part int, n bigint, newlines bigint, places array<int>, kinds array<int>")
+    table = ranges.mapInPandas(tables, "known boolean, id bigint, text string, line int, total bigint, part int, n bigint, newlines bigint, places array<int>, kinds array<int>")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
@@ -141,12 +144,11 @@ def split_oversized(blocks: DataFrame, limit: int = 2000, overlap: int = 200, ra
         rows = []
         for k, (lo, hi) in enumerate(choose_cuts(places, kinds, int(first["total"]), limit, overlap)):
             for part in range(lo // range_chars, (hi - 1) // range_chars + 1):
-                rows.append((first["id"], first["text"], first["line"], k, lo, hi, part))
-        return pd.DataFrame(rows, columns=["id", "text", "line", "k", "lo", "hi", "part"])
+                rows.append((first["known"], first["id"], first["text"], first["line"], k, lo, hi, part))
+        return pd.DataFrame(rows, columns=[*key, "k", "lo", "hi", "part"])
 
     # a group is one text's table: one row of a few numbers per range, never its characters
-    key = ["id", "text", "line"]
-    cuts = table.groupBy(*key).applyInPandas(cut, "id bigint, text string, line int, k int, lo bigint, hi bigint, part int")
+    cuts = table.groupBy(*key).applyInPandas(cut, "known boolean, id bigint, text string, line int, k int, lo bigint, hi bigint, part int")
     lines = table.select(*key, "part", F.coalesce(F.sum("newlines").over(_before(key)), F.lit(0)).alias("newlines_before"))
     slices = cuts.join(ranges.select(*key, "part", "body").join(lines, [*key, "part"]), [*key, "part"])
     start = F.greatest(F.col("lo") - F.col("part") * range_chars, F.lit(0)).cast("int")
@@ -157,7 +159,7 @@ def split_oversized(blocks: DataFrame, limit: int = 2000, overlap: int = 200, ra
     got = slices.select(*key, "k", "lo", "hi", "part", text.alias("s"), in_front.alias("in_front"))
     # a piece touches at most two ranges where the limit is below their size
     whole = got.groupBy(*key, "k", "lo", "hi").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]), "").alias("content"), F.min_by("in_front", "part").alias("in_front"))
-    return whole.select("id", F.col("k").alias("block_index"), "content", (F.col("line") + F.col("in_front")).cast("int").alias("start_line"), F.col("lo").alias("start_char"), F.col("hi").alias("end_char"))
+    return whole.select(F.when(F.col("known"), F.col("id")).alias("id"), F.col("k").alias("block_index"), "content", (F.col("line") + F.col("in_front")).cast("int").alias("start_line"), F.col("lo").alias("start_char"), F.col("hi").alias("end_char"))
 
 
 def _before(key):

@@ -132,6 +132,19 @@ def test_pieces_rebuild_the_text(spark, range_chars):
     assert splitting.split_oversized(spark.createDataFrame([], BLOCKS)).count() == 0
 
 
+def test_pieces_of_null_ids_and_lines(spark):
+    r = random.Random(6)
+    a, b = ("\n".join("x" * r.randint(0, 80) for _ in range(60)) for _ in range(2))
+    rows = [(1, a, None, "c", 1), (1, a, 1, "c", 2), (1, a, 7, "c", 2), (None, a, None, "c", 1), (None, a, 1, "c", 1), (None, b, 4, "c", 1), (0, a, 1, "c", 1)]
+    for range_chars in (130, 65536):
+        split = lambda x: [tuple(p) for p in splitting.split_oversized(spark.createDataFrame(x, BLOCKS), limit=100, overlap=20, range_chars=range_chars).collect()]
+        got = split(rows)
+        base = {t: [p[1:] for p in split([(5, t, 1, "c", 1)])] for t in (a, b)}
+        moved = lambda i, t, by: [(i, k, c, n + by, *at) for k, c, n, *at in base[t]]
+        want = [*moved(1, a, 0), *moved(1, a, 6), *moved(None, a, 0), *moved(None, b, 3), *moved(0, a, 0)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 COMMON = [("en", w) for w in "the a of to and in is it that was for on with as at by from this be are not or which we have had they were an each has its".split()] + [("de", w) for w in "der die das und ist nicht ein".split()]
 
 
