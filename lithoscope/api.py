@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lithoscope.operators import analysis, browse, clones, incremental, lint, queues, search
 from lithoscope.plans.index import CodeIndex
 
+#: Rules in one prompt; more rules mean more prompts per symbol.
+RULES_PER_PROMPT = 1000
+
 
 class Engine:
     """Queries over a code index folder. `embed` turns a text into a vector; without it search is full-text only."""
@@ -27,10 +31,10 @@ class Engine:
 
     def browse(self, directory: str = "", symbols: bool = False) -> DataFrame:
         ix = self._in(directory)
-        return browse.symbol_tree(ix).orderBy("path", "line") if symbols else browse.file_list(ix).orderBy("path")
+        return browse.symbol_tree(ix).orderBy("path", "line", "name", "kind", "end_line") if symbols else browse.file_list(ix).orderBy("path")
 
     def detail(self, name: str, path: str = "") -> DataFrame:
-        return browse.detail(self.index, name, path).orderBy("path", "line")
+        return browse.detail(self.index, name, path).orderBy("path", "line", "id")
 
     def show(self, target: str, start: int = 1, end: int = 1 << 30, max_lines: int = 200) -> DataFrame:
         """Lines of a symbol by name, else of the symbols of the file that a path means."""
@@ -57,10 +61,12 @@ class Engine:
         return browse.findings_report(self._in(directory), findings, rules, **filters)
 
     def analyze(self, findings: DataFrame, rules: DataFrame, model: Callable[[str], str], directory: str = "", min_lines: int = 0, limit: int = 0, min_confidence: float = 0.5) -> DataFrame:
-        """New findings on symbols that have none of the rules' yet, merged into the old ones."""
+        """New findings on symbols that have none of the rules' yet, merged into the old ones. All rules are asked about."""
         asked = analysis.pending_symbols(self._in(directory), findings, rules, min_lines, limit)
-        listed = [(r["rule_name"], r["severity"]) for r in rules.select("rule_name", "severity").limit(1000).collect()]
-        answers = analysis.ask(asked.select(F.col("id").alias("symbol_id"), analysis.symbol_prompt(listed).alias("prompt")), "symbol_id", model)
+        listed = [(r["rule_name"], r["severity"]) for r in rules.select("rule_name", "severity").orderBy("rule_name", "severity").collect()]
+        blocks = [listed[a : a + RULES_PER_PROMPT] for a in range(0, max(len(listed), 1), RULES_PER_PROMPT)]
+        prompts = [asked.select(F.col("id").alias("symbol_id"), analysis.symbol_prompt(b).alias("prompt")) for b in blocks]
+        answers = analysis.ask(reduce(DataFrame.unionByName, prompts), "symbol_id", model)
         return analysis.merge_findings(findings, analysis.parse_findings(answers, "symbol_id", rules, min_confidence).withColumn("stale", F.lit(False)))
 
     def summary(self, directory: str = "") -> DataFrame:
@@ -89,14 +95,21 @@ TOOLS = ("search", "browse", "detail", "deps", "show", "tags", "summary")
 
 
 def call_tool(engine: Engine, request: dict, max_rows: int = 200) -> dict:
-    """Answer one JSON-RPC 2.0 request: `tools/list`, or `tools/call` with a tool's name and arguments."""
+    """Answer one JSON-RPC 2.0 request: `tools/list`, or `tools/call` with a tool's name and arguments.
+
+    A reply has at most `max_rows` rows, from the parameter `offset` (0) on; `truncated`
+    says whether more follow, which a call with a larger offset gives.
+    """
     reply = {"jsonrpc": "2.0", "id": request.get("id")}
     try:
         if request.get("method") == "tools/list":
             return reply | {"result": {"tools": [{"name": t} for t in TOOLS]}}
         if request.get("method") != "tools/call" or request["params"]["name"] not in TOOLS:
             return reply | {"error": {"code": -32601, "message": "unknown method or tool"}}
-        rows = getattr(engine, request["params"]["name"])(**request["params"].get("arguments", {})).limit(max_rows).collect()
-        return reply | {"result": {"rows": [r.asDict(recursive=True) for r in rows]}}
+        offset = request["params"].get("offset", 0)
+        if type(offset) is not int or offset < 0:
+            return reply | {"error": {"code": -32602, "message": "offset must be a whole number from 0 on"}}
+        rows = getattr(engine, request["params"]["name"])(**request["params"].get("arguments", {})).offset(offset).limit(max_rows + 1).collect()
+        return reply | {"result": {"rows": [r.asDict(recursive=True) for r in rows[:max_rows]], "offset": offset, "truncated": len(rows) > max_rows}}
     except (TypeError, KeyError) as e:
         return reply | {"error": {"code": -32602, "message": str(e)}}

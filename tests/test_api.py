@@ -47,3 +47,25 @@ def test_engine_verbs(spark, small):
     old = spark.createDataFrame([], "symbol_id bigint, rule_id bigint, message string, confidence double, stale boolean")
     new = e.analyze(old, rules, lambda p: '[{"rule": "leak", "message": "m", "confidence": 0.9}]', limit=3)
     assert new.count() == 3 and e.findings(new, rules).count() >= 3
+
+
+def test_many_rules_are_all_asked_about(spark, small):
+    rules = spark.createDataFrame([(i, "a", f"r{i:04}", "error") for i in range(2500)], "rule_id bigint, analyzer string, rule_name string, severity string")
+    old = spark.createDataFrame([], "symbol_id bigint, rule_id bigint, message string, confidence double, stale boolean")
+
+    def model(prompt):
+        return "[" + ", ".join('{"rule": "%s", "message": "m", "confidence": 0.9}' % r for r in ("r0000", "r1500", "r2499") if f"- {r}:" in prompt) + "]"
+
+    new = Engine(spark, small).analyze(old, rules, model, limit=2).collect()
+    assert len(new) == 6 and {r["rule_id"] for r in new} == {0, 1500, 2499}
+
+
+def test_cut_replies_say_so_and_go_on(spark):
+    from types import SimpleNamespace
+
+    engine = SimpleNamespace(tags=lambda: spark.range(450).orderBy("id"))
+    ask = lambda **x: call_tool(engine, {"id": 1, "method": "tools/call", "params": {"name": "tags", **x}})
+    replies = [ask()["result"]] + [ask(offset=n)["result"] for n in (200, 400, 450)]
+    assert [r["truncated"] for r in replies] == [True, True, False, False] and [r["offset"] for r in replies] == [0, 200, 400, 450]
+    assert [x["id"] for r in replies for x in r["rows"]] == list(range(450))
+    assert ask(offset=-1)["error"]["code"] == ask(offset="x")["error"]["code"] == -32602
