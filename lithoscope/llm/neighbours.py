@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lithoscope.session import materialise
 
 #: Edges per vector, candidates per search while building and afterwards, relaxation of the pruning distance.
-DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 40, 24, 1.2
+DEGREE, BUILD_BEAM, BEAM, ALPHA = 24, 40, 32, 1.2
+#: Bytes of the vectors of one shard. A graph's cost per vector grows with the logarithm of its size,
+#: copies cost a multiple: shards are as large as a task holds with ease.
+SHARD_BYTES = 32 << 20
 #: Bytes of centres that one step of cutting sends to the tasks; more centres mean more steps.
 CENTRE_BYTES = 64 << 20
 #: Most centres that one shard is cut by, and most times that a shard is cut again.
@@ -174,13 +177,19 @@ def centres(sample: np.ndarray, k: int, seed: int = 7, rounds: int = 6) -> np.nd
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, model_col: str, dims: dict[str, int]) -> DataFrame:
     """`model, id, v`: each vector that takes part once, in unit length."""
-    v = F.transform(vec_col, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    rows = vectors.select(F.col(f"`{model_col}`").alias("model"), F.col(f"`{id_col}`").cast("bigint").alias("id"), v.alias("v")).where("model is not null and id is not null and v is not null")
-    size = F.create_map(*[F.lit(x) for kv in dims.items() for x in kv]) if dims else None
-    rows = rows.where(F.size("v") == size[F.col("model")]) if size is not None else rows.limit(0)
-    rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).withColumn("norm", norm).where("norm > 0")
-    return rows.select("model", "id", F.transform("v", lambda x: x / F.col("norm")).alias("v")).dropDuplicates(["model", "id"])
+
+    def run(batches):
+        for pdf in batches:
+            n = pdf["v"].map(len)
+            for model, g in pdf[n == pdf["model"].map(dims)].groupby("model"):
+                v = np.stack(g["v"].to_numpy()).astype(np.float64)  # null numbers are NaN here
+                norm = np.sqrt((v * v).sum(1))
+                ok = np.isfinite(norm) & (norm > 0)
+                if ok.any():
+                    yield pd.DataFrame({"model": model, "id": g["id"].to_numpy()[ok], "v": list(v[ok] / norm[ok, None])})
+
+    rows = vectors.select(F.col(f"`{model_col}`").alias("model"), F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v")).where("model is not null and id is not null and v is not null")
+    return rows.mapInPandas(run, "model string, id bigint, v array<double>").dropDuplicates(["model", "id"])
 
 
 def model_sizes(vectors: DataFrame, vec_col: str, model_col: str, max_models: int = 1000) -> dict[str, int]:
@@ -192,8 +201,8 @@ def model_sizes(vectors: DataFrame, vec_col: str, model_col: str, max_models: in
     return {r["model"]: r["size"] for r in rows}
 
 
-def shards(rows: DataFrame, shard_rows: int, copies: int, least: float, sample_rows: int) -> DataFrame:
-    """`model, cell, id, v`: rows(model, id, v) in overlapping shards of about `shard_rows` vectors.
+def shards(rows: DataFrame, shard_rows: int | None, copies: int, least: float, sample_rows: int) -> DataFrame:
+    """`model, cell, id, v`: rows(model, id, v) in overlapping shards of about `shard_rows` vectors (else SHARD_BYTES).
 
     A model of more vectors is cut: centres are fitted to a sample of at most about
     `sample_rows` of its vectors, and each vector goes to its `copies` nearest ones
@@ -206,10 +215,11 @@ def shards(rows: DataFrame, shard_rows: int, copies: int, least: float, sample_r
     theta = 2 * float(np.arccos(least))
     while True:
         size = live.groupBy("model", "cell").agg(F.count("*").alias("n"), F.first(F.size("v")).alias("dims"))
+        limit = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(1024), F.floor(SHARD_BYTES / (8 * F.col("dims"))))
         depth = F.size(F.split("cell", "/"))
         per = F.when(F.col("cell") == "", copies).otherwise(2)
-        k = F.least(F.lit(MOST_CENTRES), F.greatest(3 * per, F.ceil(F.col("n") * per / shard_rows))).cast("int")
-        crowded = size.where((F.col("n") > shard_rows) & (depth <= MOST_CUTS)).select("model", "cell", "n", per.cast("int").alias("per"), k.alias("k"), (k * F.col("dims") * 4).cast("bigint").alias("bytes"))
+        k = F.least(F.lit(MOST_CENTRES), F.greatest(3 * per, F.ceil(F.col("n") * per / limit))).cast("int")
+        crowded = size.where((F.col("n") > limit) & (depth <= MOST_CUTS)).select("model", "cell", "n", per.cast("int").alias("per"), k.alias("k"), (k * F.col("dims") * 4).cast("bigint").alias("bytes"))
         room = F.sum("bytes").over(Window.orderBy("model", "cell").rowsBetween(Window.unboundedPreceding, -1))
         todo = crowded.withColumn("room", F.coalesce(room, F.lit(0))).where(F.col("room") < CENTRE_BYTES).limit(CENTRE_BYTES // 256).collect()
         if not todo:
@@ -247,11 +257,11 @@ def shards(rows: DataFrame, shard_rows: int, copies: int, least: float, sample_r
         live = materialise(live.mapInPandas(place, live.schema), "shards")
 
 
-def nearest(vectors: DataFrame, id_col: str, vec_col: str = "vector", model_col: str = "model", k: int = 5, least: float = 0.85, shard_rows: int = 16_384, copies: int = 3, sample_rows: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str, vec_col: str = "vector", model_col: str = "model", k: int = 5, least: float = 0.85, shard_rows: int | None = None, copies: int = 3, sample_rows: int = 20_000) -> DataFrame:
     """`model, id, other, similarity, rank`: up to `k` nearest others of each vector, with cosine of at least `least`.
 
-    Ties go to the smaller id. A model of up to `shard_rows` different vectors is one
-    graph; larger ones are cut into overlapping shards (see `shards`). Every vector is
+    Ties go to the smaller id. A model of up to `shard_rows` different vectors (SHARD_BYTES,
+    where it isn't given) is one graph; larger ones are cut into overlapping shards (see `shards`). Every vector is
     indexed and queried. Found similarities are computed exactly; the recall of the
     searches is measured in the tests. Ties are exact within a shard: equal vectors are
     indexed once, and a search whose beam ends within a tie looks at its whole graph.
