@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Paths of the steps that this driver has written.
+_SCRATCH: list[str] = []
+
 
 def build_session(cores: int | str = "*", app: str = "lithoscope", **conf: str) -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
@@ -41,12 +46,20 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, local mode) a folder of this machine is made.
+    Only in local mode (tests) and where that is unset a folder of this machine is made,
+    which is removed at the end. On a cluster executors couldn't read each other's part
+    of such a folder, so there an unset folder is an error.
     """
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not got:
         jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        got = jsc.get() if jsc.isDefined() else tempfile.mkdtemp(prefix="lithoscope-")
+        if jsc.isDefined():
+            got = jsc.get()
+        elif spark.sparkContext.master.startswith("local"):
+            got = tempfile.mkdtemp(prefix="lithoscope-")
+            atexit.register(shutil.rmtree, got, ignore_errors=True)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(got)
     return got
@@ -54,7 +67,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder."""
-    return os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{tag}-{uuid.uuid4().hex[:12]}")
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the written steps of this driver, once their results aren't needed any more; how many there were."""
+    n, conf = len(_SCRATCH), spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def materialise(df: DataFrame, tag: str = "step") -> DataFrame:

@@ -21,7 +21,6 @@ from lithoscope.functions.text import slashes
 class IgnoreRule:
     kind: str  # exact, suffix, prefix, contains or regexp
     value: str
-    regex: str  # over the lower-cased target
     dir_only: bool
     has_slash: bool
 
@@ -41,16 +40,26 @@ def parse_rule(line: str) -> IgnoreRule | None:
     plain = "*" not in inner and "?" not in glob and "[" not in glob
     match (glob.count("*"), glob[:1] == "*", glob[-1:] == "*"):
         case (0, _, _) if plain:
-            kind, value, rx = "exact", glob, f"^{re.escape(glob)}$"
+            kind, value = "exact", glob
         case (1, True, _) if plain:
-            kind, value, rx = "suffix", inner, f"{re.escape(inner)}$"
+            kind, value = "suffix", inner
         case (1, _, True) if plain:
-            kind, value, rx = "prefix", inner, f"^{re.escape(inner)}"
+            kind, value = "prefix", inner
         case (2, True, True) if plain and inner:
-            kind, value, rx = "contains", inner, re.escape(inner)
+            kind, value = "contains", inner
         case _:
-            kind, value, rx = "regexp", glob, glob_to_regex(glob)
-    return IgnoreRule(kind, value, rx, dir_only, "/" in glob)
+            kind, value = "regexp", glob_to_regex(glob)
+    return IgnoreRule(kind, value, dir_only, "/" in glob)
+
+
+#: How a lower-cased target meets the value of a rule, by its kind: only the last needs a regular expression.
+MEETS = {
+    "exact": lambda target, value: target == value,
+    "suffix": lambda target, value: target.endswith(value),
+    "prefix": lambda target, value: target.startswith(value),
+    "contains": lambda target, value: value in target,
+    "regexp": lambda target, value: re.search(value, target) is not None,
+}
 
 
 def parse_rules(text: str) -> list[IgnoreRule]:
@@ -62,7 +71,7 @@ def is_ignored(rel: str, rules: list[IgnoreRule], is_dir: bool = False) -> bool:
     parts = rel.replace("\\", "/").lower().split("/")
     for r in rules:
         ends = range(1, len(parts)) if r.dir_only and not is_dir else [len(parts)]
-        if any(re.search(r.regex, "/".join(parts[:k]) if r.has_slash else parts[k - 1]) for k in ends):
+        if any(MEETS[r.kind]("/".join(parts[:k]) if r.has_slash else parts[k - 1], r.value) for k in ends):
             return True
     return False
 
@@ -82,10 +91,10 @@ def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
             for d, line in zip(pdf["dir"], pdf["line"]):
                 r = parse_rule(line or "")
                 if r:
-                    rows.append((d.replace("\\", "/").rstrip("/"), r.regex, r.dir_only, r.has_slash))
-            yield pd.DataFrame(rows, columns=["dir", "rx", "dir_only", "has_slash"])
+                    rows.append((d.replace("\\", "/").rstrip("/"), r.kind, r.value, r.dir_only, r.has_slash))
+            yield pd.DataFrame(rows, columns=["dir", "kind", "value", "dir_only", "has_slash"])
 
-    table = rules.select("dir", "line").mapInPandas(compile_, "dir string, rx string, dir_only boolean, has_slash boolean")
+    table = rules.select("dir", "line").mapInPandas(compile_, "dir string, kind string, value string, dir_only boolean, has_slash boolean")
     parts = F.split(F.lower(slashes("path")), "/")
     up = paths.select("path", F.split(slashes("path"), "/").alias("raw"), parts.alias("parts"), F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("k"))
     up = up.withColumn("dir", F.array_join(F.slice("raw", 1, F.col("k")), "/"))
@@ -93,4 +102,5 @@ def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
     last = F.size("rest")
     ends = F.when(F.col("dir_only"), F.when(last > 1, F.sequence(F.lit(1), last - 1)).otherwise(F.array().cast("array<int>"))).otherwise(F.array(last))
     target = F.explode(F.transform(ends, lambda e: F.when(F.col("has_slash"), F.array_join(F.slice("rest", 1, e), "/")).otherwise(F.element_at("rest", e))))
-    return j.select("path", "rx", target.alias("target")).where(F.expr("target rlike rx")).select("path").distinct()
+    meets = "case kind when 'exact' then target = value when 'suffix' then endswith(target, value) when 'prefix' then startswith(target, value) when 'contains' then contains(target, value) else target rlike value end"
+    return j.select("path", "kind", "value", target.alias("target")).where(F.expr(meets)).select("path").distinct()

@@ -57,12 +57,23 @@ def test_extractors(spark):
 
 def test_callees_get_full_names():
     calls = lambda path, text: {s.name: s.calls for s in extract(path, text.encode()) if s.kind in ("function", "method")}
-    go = "package app\n\ntype Alpha struct{}\ntype Beta struct{}\n\nfunc (a *Alpha) Run() { a.Work() }\nfunc (b *Beta) Run() { b.Work(); Free() }\n\nfunc (a *Alpha) Work() {}\nfunc (b *Beta) Work() {}\nfunc Free() {}\n"
-    got = calls("x.go", go)
-    assert got["app.Alpha.Run"] == ["app.Alpha.Work"] and got["app.Beta.Run"] == ["app.Beta.Work", "app.Free"]
-    cs = "namespace N.M {\npublic class A {\n  private EngineA _e;\n  public void Update() { }\n  public void Run() { Update(); _e.Go(); }\n}\npublic class B {\n  private EngineB _e;\n  public void Update() { }\n  public void Run() { Update(); _e.Go(); }\n}\npublic class EngineA {\n  public void Go() { }\n}\npublic class EngineB {\n  public void Go() { }\n}\n}\n"
-    got = calls("x.cs", cs)
-    assert got["N.M.A.Run"] == ["N.M.A.Update", "N.M.EngineA.Go"] and got["N.M.B.Run"] == ["N.M.B.Update", "N.M.EngineB.Go"]
+    go = (
+        "package mill\n\ntype Press struct {\n\tplates int\n}\n\ntype Ledger struct{}\n\n"
+        "func (p *Press) Squeeze(n int) int {\n\tif n > p.plates {\n\t\treturn p.Fold(n)\n\t}\n\treturn Weigh(n)\n}\n\n"
+        "func (p *Press) Fold(n int) int { return Weigh(n / 2) }\n\n"
+        "func (l Ledger) Fold(n int) int { return l.Total() + n }\n\nfunc (l Ledger) Total() int { return 0 }\n\nfunc Weigh(n int) int { return n }\n"
+    )
+    got = calls("mill.go", go)
+    assert got == {"mill.Press.Squeeze": ["mill.Press.Fold", "mill.Weigh"], "mill.Press.Fold": ["mill.Weigh"], "mill.Ledger.Fold": ["mill.Ledger.Total"], "mill.Ledger.Total": [], "mill.Weigh": []}
+    cs = (
+        "namespace Harbour.Cranes\n{\n  public class Winch\n  {\n    private Rope line = null;\n    private Motor drive;\n"
+        "    public void Lift(int load)\n    {\n      drive.Start(load);\n      line.Wind(Length(load));\n    }\n"
+        "    public int Length(int load)\n    {\n      return load * 3;\n    }\n  }\n"
+        "  public class Rope\n  {\n    public void Wind(int n)\n    {\n    }\n    public void Start(int n)\n    {\n    }\n  }\n"
+        "  public class Motor\n  {\n    public void Start(int n)\n    {\n    }\n  }\n}\n"
+    )
+    got = calls("winch.cs", cs)
+    assert got["Harbour.Cranes.Winch.Lift"] == ["Harbour.Cranes.Motor.Start", "Harbour.Cranes.Rope.Wind", "Harbour.Cranes.Winch.Length"] and got["Harbour.Cranes.Winch.Length"] == []
     py = "class S:\n    def a(self):\n        self.b()\n        def inner():\n            free()\n    def b(self):\n        return b\ndef free():\n    free()\n"
     got = calls("m.py", py)
     assert got == {"m.S.a": ["m.S.b", "m.free"], "m.S.a.inner": [], "m.S.b": [], "m.free": []}
