@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, functions as F
 
 ColumnOrName = Column | str
@@ -16,6 +18,11 @@ def collapse(s: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(s)), r"\s+", " "))
 
 
+def strip(s: ColumnOrName) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(_c(s), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def normhash(s: ColumnOrName) -> Column:
     """Hash of a text up to letter case and white space."""
     return F.sha2(collapse(s), 256)
@@ -41,6 +48,22 @@ def slashes(path: ColumnOrName) -> Column:
     return F.replace(_c(path), F.lit("\\"), F.lit("/"))
 
 
+def normalize_dir(path: str) -> str:
+    """A directory as filters take it: the resolved path where it exists on this machine, else as given; forward slashes."""
+    real = os.path.realpath(path) if path else ""
+    return (real if path and os.path.exists(real) else path).replace("\\", "/")
+
+
+def under(path: ColumnOrName, directory: str) -> Column:
+    """Whether a path holds a directory, in either slash style, as one of its parts or at its end (LIKE wildcards count)."""
+    out = None
+    for sep, other in (("/", "\\"), ("\\", "/")):
+        d = directory.replace(other, sep).rstrip(sep)
+        hit = like(path, f"%{d}{sep}%") | like(path, f"%{d}")
+        out = hit if out is None else out | hit
+    return out
+
+
 def dirname(path: ColumnOrName) -> Column:
     """Everything in front of the last slash; empty where there is none."""
     return F.when(slashes(path).contains("/"), F.regexp_replace(slashes(path), r"/[^/]*$", "")).otherwise("")
@@ -121,6 +144,13 @@ def rrf(rank: ColumnOrName, k: int = 60) -> Column:
     return F.lit(1.0) / (F.lit(k) + _c(rank) + 1)
 
 
+def fixed(x: ColumnOrName, digits: int, width: int = 0) -> Column:
+    """A number with so many digits, as C prints it: numbers that lie exactly between two go to the even one."""
+    x = _c(x)
+    exact = x * 65536 == F.floor(x * 65536)
+    return F.format_string(f"%{width or ''}.{digits}f", F.when(exact, F.bround(x, digits)).otherwise(x))
+
+
 def first_json(text: ColumnOrName, kind: str = "array") -> Column:
     """The widest JSON array (or object) in a model's answer, without code fences."""
     bare = F.regexp_replace(F.trim(_c(text)), r"^```[a-zA-Z]*\s*|\s*```$", "")

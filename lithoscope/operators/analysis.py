@@ -77,12 +77,77 @@ def register_rules(old: DataFrame, new: DataFrame) -> DataFrame:
     return o.join(new, ["analyzer", "rule_name"], "full_outer").select(F.coalesce("rule_id", F.xxhash64("analyzer", "rule_name")).alias("rule_id"), "analyzer", "rule_name", F.coalesce("severity", "old_severity").alias("severity"))
 
 
-def embedding_text(ix: CodeIndex, max_chars: int = 8000) -> DataFrame:
-    """`id, text`: what is embedded for a block: kind and name, place, description, callers, callees, content; cut to a length."""
+def embedding_text(ix: CodeIndex) -> DataFrame:
+    """`id, text`: what is embedded for a block.
+
+    The qualified name with its parameters and description (of the block itself, from
+    the second one on), the place, up to ten callers and callees by id, and the content
+    of functions and methods. Nothing is cut: the embedder halves what is too long.
+    """
     from lithoscope.operators.browse import neighbours
 
     n = neighbours(ix, 10).groupBy(F.col("id").alias("symbol_id")).pivot("side", ["caller", "callee"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("other", "name"))), lambda x: x["name"]), ", "))
-    s = ix.symbols.join(ix.scope.groupBy("file_id").agg(F.min("path").alias("path")), "file_id").select(F.col("id").alias("symbol_id"), "kind", "name", "path", F.col("description").alias("d"))
-    labelled = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), F.col(c)))
-    text = F.concat_ws("\n", F.concat("kind", F.lit(" "), "name"), F.concat(F.lit("file: "), "path"), labelled("description: ", "d"), labelled("called by: ", "caller"), labelled("calls: ", "callee"), "content")
-    return ix.blocks.join(s, "symbol_id").join(n, "symbol_id", "left").select("id", F.substring(text, 1, max_chars).alias("text"))
+    s = ix.symbols.join(ix.scope.groupBy("file_id").agg(F.min("path").alias("path")), "file_id").select(F.col("id").alias("symbol_id"), "kind", "name", "params", "path", F.col("description").alias("symbol_description"))
+    shown = lambda before, c, after="": F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+    about = F.when(F.col("block_index") == 0, F.col("symbol_description")).otherwise(F.col("description"))
+    code = F.when(F.col("kind").isin("function", "method"), F.col("content"))
+    text = F.concat("name", shown("(", F.col("params"), ")"), shown(": ", about), F.lit("\nin "), "path", shown("\ncallers: ", F.col("caller")), shown("\ncallees: ", F.col("callee")), shown("\n\n", code))
+    return ix.blocks.join(s, "symbol_id").join(n, "symbol_id", "left").select("id", text.alias("text"))
+
+
+def hash_vector(size: int = 8) -> Callable[[str], list[float]]:
+    """A deterministic embedder for tests: `size` numbers in [-1, 1) from a text's SHA-256."""
+    import hashlib
+
+    return lambda text: [b / 128 - 1 for b in hashlib.sha256(text.encode("utf-8", "replace")).digest()[:size]]
+
+
+def embed_texts(texts: DataFrame, key: str, text: str, model: Callable[[str], list[float]]) -> DataFrame:
+    """`key, vector, error`: a model's vectors of texts, in batches; a text that is too long is halved, a failure is told."""
+    from lithoscope.sources.chunk import embed_halving
+
+    def one(t):
+        try:
+            return list(map(float, embed_halving(model, t or ""))), None
+        except Exception as e:  # noqa: BLE001 - one text must not end the job
+            return None, str(e)
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(k, *one(t)) for k, t in zip(pdf[key], pdf[text])], columns=[key, "vector", "error"])
+
+    return texts.select(key, text).mapInPandas(run, f"`{key}` {texts.schema[key].dataType.simpleString()}, vector array<float>, error string")
+
+
+def embed_blocks(ix: CodeIndex, embeddings: DataFrame, name: str, model: Callable[[str], list[float]]) -> DataFrame:
+    """`content_hash, model, vector, error`: vectors of the contents that have none of the model `name` yet.
+
+    A content that several blocks hold is embedded once, with the text of its smallest block.
+    """
+    known = embeddings.where((F.col("model") == name) & F.col("vector").isNotNull()).select("content_hash")
+    missing = ix.blocks.where("content_hash is not null").join(known, "content_hash", "left_anti").select("id", "content_hash")
+    texts = embedding_text(ix).join(missing, "id").groupBy("content_hash").agg(F.min_by("text", "id").alias("text"))
+    return embed_texts(texts, "content_hash", "text", model).select("content_hash", F.lit(name).alias("model"), "vector", "error")
+
+
+def description_prompts(ix: CodeIndex, template: str, max_chars: int = 6000) -> DataFrame:
+    """`id, prompt`: questions about the blocks without a description; braces of the values are made harmless.
+
+    The template names {kind}, {name}, {path} and {context}; the context is the block,
+    cut to `max_chars`.
+    """
+    s = ix.symbols.join(ix.scope.groupBy("file_id").agg(F.min("path").alias("path")), "file_id").select(F.col("id").alias("symbol_id"), "kind", "name", "path")
+    rows = ix.blocks.where("description is null").join(s, "symbol_id")
+    prompt = F.lit(template)
+    for c, value in (("kind", F.col("kind")), ("name", F.col("name")), ("path", F.col("path")), ("context", truncate(F.coalesce("content", F.lit("")), max_chars))):
+        prompt = F.replace(prompt, F.lit("{" + c + "}"), neutral_braces(value))
+    return rows.select("id", prompt.alias("prompt"))
+
+
+def apply_descriptions(blocks: DataFrame, symbols: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and symbols with answers(id, answer) in place of missing descriptions; a first block's is its symbol's too."""
+    a = answers.where("answer is not null and answer != ''").groupBy("id").agg(F.min("answer").alias("answer"))
+    new = blocks.join(a, "id", "left").withColumn("_new", F.when(F.col("description").isNull(), F.col("answer")))
+    first = new.where("block_index = 0 and _new is not null").groupBy("symbol_id").agg(F.min_by("_new", "id").alias("said"))
+    s = symbols.join(first.withColumnRenamed("symbol_id", "id"), "id", "left").withColumn("description", F.coalesce("said", "description"))
+    return new.withColumn("description", F.coalesce("description", "_new")).select(*blocks.columns), s.select(*symbols.columns)

@@ -82,6 +82,24 @@ def line_slice(texts: DataFrame, key: str, text: str, start: Column, end: Column
     return lines.withColumn("line_no", F.col("pos") + 1).where("line_no between start and stop").select(key, "line_no", "line")
 
 
+def numbered_slice(texts: DataFrame, key: str, path: str, text: str, start: int = 1, end: int = 0, max_lines: int = 200) -> DataFrame:
+    """`key, shown`: a header with the lines shown and their number, then the lines, numbered; empty for an empty text.
+
+    An end in front of the start means the last line; lines above `max_lines` are left
+    out, and the header says how many.
+    """
+    first = max(1, start)
+    lines = F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
+    n = texts.select(key, F.col(path).alias("path"), F.col(text).alias("text"), lines.alias("lines")).withColumn("total", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size("lines")))
+    wanted = F.least(F.lit(end), F.col("total")) if end >= first else F.col("total")
+    n = n.withColumn("wanted", F.when(wanted < first, F.col("total")).otherwise(wanted)).withColumn("last", F.least(F.col("wanted"), F.lit(first + max_lines - 1)))
+    width = F.length(F.col("last").cast("string"))
+    body = F.transform(F.slice("lines", first, F.greatest(F.col("last") - first + 1, F.lit(0))), lambda x, i: F.concat(F.lpad((i + first).cast("string"), width, " "), F.lit("  "), x))
+    rest = F.when(F.col("wanted") > F.col("last"), F.concat(F.lit(" [truncated; "), (F.col("wanted") - F.col("last")).cast("string"), F.lit(" more lines omitted]"))).otherwise("")
+    head = F.concat("path", F.lit(f" (lines {first}-"), F.col("last").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(")"), rest)
+    return n.select(key, F.when(F.col("total") == 0, "").otherwise(F.concat(head, F.lit("\n"), F.array_join(body, "\n"))).alias("shown"))
+
+
 def tag_list(ix: CodeIndex) -> DataFrame:
     s = ix.symbols.join(ix.scope.select("file_id").distinct(), "file_id", "left_semi")
     return ix.tags.join(s.select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select("key", "value").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lithoscope.functions.text import like, normhash
@@ -76,18 +78,28 @@ def dominant_model(embeddings: DataFrame) -> DataFrame:
     return n.orderBy(F.desc("n"), "model").limit(1).select("model")
 
 
-def semantic_pairs(items: DataFrame, distance: float, k: int = 20, block: int = 512, max_pivots: int = 1000) -> DataFrame:
-    """`a, b, distance`: the `k` nearest others of each item(id, v) within a cosine distance.
+def semantic_pairs(items: DataFrame, distance: float, k: int = 20, block: int = 2048, max_pivots: int = 1000, by_id: bool = False) -> DataFrame:
+    """`a, b, distance`: the `k` nearest others of each item(id, v) within a cosine distance; `by_id`: the k smallest ids.
+
+    Vectors of the most frequent length take part (of each model, where items have one).
 
     Exact. Items go to blocks around pivots (a bounded sample of the items); two
     blocks are compared, by one matrix product, only if the angle between their
     pivots leaves room for a pair that is near enough (the triangle inequality). A
     task holds two blocks and keeps their own top k. Null and all-zero vectors have
-    no neighbours.
+    no neighbours. Where the angles leave room everywhere, as they do for wide clusters
+    in many dimensions, this is a comparison of all blocks.
     """
     import numpy as np
     import pandas as pd
 
+    if "model" in items.columns:
+        models = [r["model"] for r in items.where("model is not null").select("model").distinct().orderBy("model").limit(1001).collect()]
+        if len(models) > 1000:
+            raise ValueError("more than 1000 models")
+        parts = [semantic_pairs(items.where(F.col("model") == m).select("id", "v"), distance, k, block, max_pivots, by_id) for m in models]
+        return reduce(DataFrame.unionByName, parts) if parts else items.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("distance")).limit(0)
+    items = items.join(F.broadcast(items.where("v is not null").agg(F.mode(F.size("v"), True).alias("_size"))), F.size("v") == F.col("_size")).select("id", "v")
     n = items.count()
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     live = materialise(items.where("id is not null and v is not null").select("id", "v").where(norm > 0), "items")
@@ -125,22 +137,29 @@ def semantic_pairs(items: DataFrame, distance: float, k: int = 20, block: int =
 
     routed = placed.mapInPandas(route, "x bigint, y bigint, id bigint, v array<double>, home bigint")
 
+    order_in = ["a", "b"] if by_id else ["a", "distance", "b"]
+
     def compare(key, a, b):
         none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         if a.empty or b.empty:
             return none
         x, y = (unit(np.stack(t["v"].to_numpy())) for t in (a, b))
-        d = 1 - x @ y.T
         ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
-        d[ia[:, None] == ib[None, :]] = np.inf
-        r, c = np.nonzero(d < distance)
-        both = pd.DataFrame({"a": ia[r], "b": ib[c], "distance": d[r, c]})
+        parts = [none]
+        for at in range(0, len(x), 256):
+            d = 1 - x[at : at + 256] @ y.T
+            d[ia[at : at + 256, None] == ib[None, :]] = np.inf
+            r, c = np.nonzero(d < distance)
+            parts.append(pd.DataFrame({"a": ia[at + r], "b": ib[c], "distance": d[r, c]}))
+        both = pd.concat([p for p in parts if len(p)] or [none])
         if key[0] != key[1]:
             both = pd.concat([both, both.rename(columns={"a": "b", "b": "a"})[["a", "b", "distance"]]])
-        return both.sort_values(["a", "distance", "b"]).groupby("a").head(k)
+        return both.sort_values(order_in).groupby("a").head(k)
 
-    found = routed.where("home = x").groupBy("x", "y").cogroup(routed.where("home = y").groupBy("x", "y")).applyInPandas(compare, "a bigint, b bigint, distance double")
-    w = Window.partitionBy("a").orderBy("distance", "b")
+    # new columns on either side: a self-cogroup below a union mixes them up otherwise
+    left, right = (routed.where(F.col("home") == F.col(c)).select(*[F.expr(n).alias(n) for n in routed.columns]) for c in "xy")
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(compare, "a bigint, b bigint, distance double")
+    w = Window.partitionBy("a").orderBy(*order_in[1:])
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 

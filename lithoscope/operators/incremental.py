@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lithoscope.functions.text import like, slashes
+from lithoscope.functions.text import slashes, under
 
 
 def symbol_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -69,6 +71,29 @@ def in_folders(paths: DataFrame, roots: DataFrame) -> DataFrame:
     return up.join(roots.select(F.regexp_replace(slashes("dir"), "/+$", "").alias("dir")).distinct(), "dir", "left_semi").select("path").distinct()
 
 
+def purge_reasons(paths: DataFrame, roots: DataFrame | None = None, present: DataFrame | None = None, worktrees: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """`path, reason`: indexed paths that should go: `explicit`, `missing`, `worktree` or `ignored`, the first that holds.
+
+    roots(dir) and worktrees(dir) are directories; present(path) is what there is;
+    rules(dir, line) are lines of ignore files.
+    """
+    from lithoscope.sources.ignore import ignored_paths
+
+    p = paths.select("path").distinct()
+    parts = []
+    if roots is not None:
+        parts.append(in_folders(p, roots).withColumn("rank", F.lit(0)))
+    if present is not None:
+        parts.append(p.join(present.select("path").distinct(), "path", "left_anti").withColumn("rank", F.lit(1)))
+    if worktrees is not None:
+        parts.append(in_folders(p, worktrees).withColumn("rank", F.lit(2)))
+    if rules is not None:
+        parts.append(ignored_paths(p, rules).withColumn("rank", F.lit(3)))
+    every = reduce(DataFrame.unionByName, parts) if parts else p.limit(0).withColumn("rank", F.lit(0))
+    names = F.array(*[F.lit(x) for x in ("explicit", "missing", "worktree", "ignored")])
+    return every.groupBy("path").agg(F.min("rank").alias("rank")).select("path", F.element_at(names, F.col("rank") + 1).alias("reason"))
+
+
 def folder_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """`dir, change` of two folder lists: added or removed."""
     a = new.select("dir").distinct().join(old, "dir", "left_anti").withColumn("change", F.lit("added"))
@@ -112,8 +137,7 @@ def missing_embeddings(blocks: DataFrame, embeddings: DataFrame, model: str) ->
 
 def rescan(paths: DataFrame, directory: str, exts: tuple[str, ...], priority: int) -> DataFrame:
     """`file_id, priority`: files to queue again, of a subtree and any of the extensions."""
-    d = directory.replace("\\", "/").rstrip("/")
-    p = paths.where(like("path", f"%{d}/%") | like("path", f"%{d}"))
+    p = paths.where(under("path", directory))
     if exts:
         p = p.where(F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1)).isin(*[e.lower() for e in exts]))
     return p.select("file_id").distinct().withColumn("priority", F.lit(priority))

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lithoscope.functions.text import module_of
+from lithoscope.functions.text import fixed, module_of
 from lithoscope.operators.clones import exact_clones, near_clones
 from lithoscope.operators.components import components
 from lithoscope.plans.index import CodeIndex
@@ -231,6 +231,27 @@ def suppress(found: DataFrame, suppressions: DataFrame) -> DataFrame:
     return keyed.join(hit, "key", "left_anti").drop("key")
 
 
+def confusing(ix: CodeIndex, tags: DataFrame) -> DataFrame:
+    """`path, line, name, reason`: functions that tags(symbol_id, key, value) call confusing, with the reason where there is one."""
+    of = lambda key, name: tags.where(F.col("key") == key).groupBy(F.col("symbol_id").alias("id")).agg(F.min("value").alias(name))
+    rows = ix.symbols.where(F.col("kind").isin(*CODE)).join(of("confusing", "said").where("said = 'true'"), "id", "left_semi").join(of("confusing_reason", "why"), "id", "left")
+    return rows.join(ix.scope, "file_id").select("path", "line", "name", F.coalesce("why", F.lit("")).alias("reason")).orderBy("path", "line")
+
+
+def report_text(found: DataFrame) -> DataFrame:
+    """`text`: one line per finding: place and rule in columns, how often the threshold, what was found."""
+    wide = lambda c, n: F.when(F.length(c) < n, F.rpad(c, n, " ")).otherwise(c)
+    place = F.concat("path", F.lit(":"), F.col("line").cast("string"))
+    return found.select(F.concat(F.lit("  "), wide(place, 60), F.lit(" "), wide(F.col("rule"), 22), F.lit("  "), fixed("score", 1, 5), F.lit("x  "), "display").alias("text"))
+
+
+def totals_text(found: DataFrame, symbols: DataFrame, unclear: DataFrame | None = None, directory: str = "") -> DataFrame:
+    """`text`, one row: the line below a report: symbols, findings, findings per 100 symbols, confusing symbols."""
+    d = density(found, symbols).crossJoin((found.limit(0) if unclear is None else unclear).agg(F.count("*").alias("confusing")))  # one row each
+    per100 = F.coalesce("per100", F.lit(0.0)).cast("double").cast("string")
+    return d.select(F.concat(F.lit(f"  {directory or '(all)'}  symbols="), F.col("symbols").cast("string"), F.lit(" violations="), F.col("total").cast("string"), F.lit(" per100s="), per100, F.lit(" confusing="), F.col("confusing").cast("string")).alias("text"))
+
+
 def density(found: DataFrame, symbols: DataFrame) -> DataFrame:
     """`total, symbols, per100`: findings per 100 symbols."""
     return found.agg(F.count("*").alias("total")).crossJoin(symbols.agg(F.count("*").alias("symbols"))).withColumn("per100", F.round(F.col("total") * 100 / F.nullif(F.col("symbols"), F.lit(0)), 2))

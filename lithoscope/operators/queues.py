@@ -59,27 +59,44 @@ def prune_history(history: DataFrame, now: Column, keep_seconds: int = 86_400) -
     return history.where(F.col("timestamp") >= now - keep_seconds)
 
 
-def queue_eta(history: DataFrame) -> DataFrame:
-    """`queue_name, count_now, eta`: time to empty from the last two measurements; null where the queue doesn't shrink."""
+def queue_eta(history: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+    """`queue_name, count_now, eta`: time to empty from the last two measurements, at least a second.
+
+    Where the queue doesn't shrink between them, rates(queue_name, rate), in items a
+    minute, count. An empty queue, or one without either, has no time.
+    """
     w = Window.partitionBy("queue_name").orderBy(F.desc("timestamp"))
     last = history.withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("queue_name").agg(
         F.max(F.when(F.col("r") == 1, F.col("queue_count"))).alias("count_now"), F.max(F.when(F.col("r") == 2, F.col("queue_count"))).alias("before"),
         F.max(F.when(F.col("r") == 1, F.col("timestamp"))).alias("t1"), F.max(F.when(F.col("r") == 2, F.col("timestamp"))).alias("t0"))
     rate = (F.col("before") - F.col("count_now")) / F.nullif(F.col("t1") - F.col("t0"), F.lit(0))
-    seconds = F.when(rate > 0, F.greatest(F.lit(1), F.floor(F.col("count_now") / rate)))
+    last = last.withColumn("rate", F.lit(None).cast("double")) if rates is None else last.join(rates.groupBy("queue_name").agg(F.max("rate").cast("double").alias("rate")), "queue_name", "left")
+    pace = F.when(rate > 0, rate).when(F.col("rate") > 0, F.col("rate") / 60)
+    seconds = F.when(F.col("count_now") > 0, F.greatest(F.lit(1), F.floor(F.col("count_now") / pace)))
+    seconds = F.when(pace.isNotNull(), seconds)
     return last.select("queue_name", "count_now", format_eta(seconds).alias("eta"))
 
 
 def sliding_rate(events: DataFrame, key: str, second: Column, window: int = 60) -> DataFrame:
-    """`key, second, n, rate`: events of the trailing window at each second with an event.
+    """`key, second, n, rate`: events of the trailing window, both ends included, at each second with an event.
 
     Seconds are summed first, so that the window runs over few rows per key.
     """
     per = events.groupBy(key, second.alias("second")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(key).orderBy("second").rangeBetween(-(window - 1), 0)
+    w = Window.partitionBy(key).orderBy("second").rangeBetween(-window, 0)
     return per.select(key, "second", F.sum("c").over(w).alias("n")).withColumn("rate", F.col("n") * 60.0 / window)
 
 
+def time_left(depth: Column, rate: Column) -> Column:
+    """Seconds in which a queue of a depth is empty at a rate a minute; null without a rate."""
+    return F.when(rate > 0, F.floor(depth / rate * 60))
+
+
+def oldest_pending(queue: DataFrame) -> DataFrame:
+    """The one pending row that has waited longest; ties go to the smaller id."""
+    return queue.where("status = 'pending'").orderBy("queued_at", "id").limit(1)
+
+
 def debounce(events: DataFrame, key: str, ts: str, event: str, gap_seconds: float) -> DataFrame:
     """`flush, key, event`: bursts of events with no gap of `gap_seconds` give one flush; of each key the last event stays.
 
@@ -102,7 +119,11 @@ def debounce(events: DataFrame, key: str, ts: str, event: str, gap_seconds: floa
 
 
 def latest_status(heartbeats: DataFrame, name: str = "daemon", ts: str = "ts") -> DataFrame:
-    """One row per kind of daemon (the name in front of `-`): newest row, whether any runs, newest error that isn't empty."""
-    kind = F.regexp_replace(name, "-[^-]*$", "")
+    """One row per kind of daemon (the name without its number): state, depth and rate of the newest row.
+
+    `state` is `running` where any of them runs; `last_error` is the newest that isn't empty.
+    """
+    kind = F.regexp_replace(name, r"-\d+$", "")
     err = F.nullif(F.col("error"), F.lit(""))
-    return heartbeats.groupBy(kind.alias("kind")).agg(F.max_by("state", ts).alias("state"), F.bool_or(F.col("state") == "running").alias("running"), F.max_by(err, F.when(err.isNotNull(), F.col(ts))).alias("last_error"), F.max(ts).alias("seen"))
+    zero = lambda c: F.coalesce(F.max_by(c, ts), F.lit(0)).alias(c) if c in heartbeats.columns else F.lit(0).alias(c)
+    return heartbeats.groupBy(kind.alias("kind")).agg(F.when(F.bool_or(F.col("state") == "running"), "running").otherwise(F.max_by("state", ts)).alias("state"), zero("queue_depth"), zero("rate"), F.max_by(err, F.when(err.isNotNull(), F.col(ts))).alias("last_error"), F.max(ts).alias("seen"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lithoscope.functions.text import like, rrf
+from lithoscope.functions.text import fixed, like, rrf
 from lithoscope.functions.vectors import cosine
 from lithoscope.plans.index import CodeIndex
 
@@ -99,9 +99,14 @@ def allowed(ix: CodeIndex, exts: tuple[str, ...] = (), directory: str = "", tags
     return s.join(p.groupBy("file_id").agg(F.min("path").alias("path")), "file_id").select(F.col("id").alias("doc"), "kind", "name", "line", "params", F.coalesce("end_line", "line").alias("end_line"), "path", described.alias("described"))
 
 
+#: What tells the path of a test.
+TEST_MARKS = ("/tests/", "/editmode/", "/playmode/", "/test/", "tests.cs", "test.cs")
+
+
 def multiplier() -> Column:
     """Fields and variables, and tests, count half; what has a description two and a half times."""
-    return F.when(F.col("kind").isin("field", "variable"), 0.5).otherwise(1.0) * F.when(like("path", "%test%"), 0.5).otherwise(1.0) * F.when(F.col("described"), 2.5).otherwise(1.0)
+    test = reduce(lambda a, b: a | b, [F.lower("path").contains(m) for m in TEST_MARKS])
+    return F.when(F.col("kind").isin("field", "variable"), 0.5).otherwise(1.0) * F.when(test, 0.5).otherwise(1.0) * F.when(F.col("described"), 2.5).otherwise(1.0)
 
 
 def hybrid_search(ix: CodeIndex, embeddings: DataFrame, text: str, vector: list[float] | None, n: int = 20, model: str | None = None, exts: tuple[str, ...] = (), directory: str = "", tags: dict[str, str] | None = None, min_score: float = 0.0, strict: bool = False, rerank: Callable[[pd.DataFrame], list[int]] | None = None) -> DataFrame:
@@ -141,6 +146,57 @@ def compact_hit() -> Column:
     return F.concat("kind", F.lit(" "), "name", F.when(F.coalesce("params", F.lit("")) != "", F.concat(F.lit("("), "params", F.lit(")"))).otherwise(""), F.lit("  "), "path", F.lit(":"), F.col("line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
 
 
+def signature() -> Column:
+    return F.when(F.coalesce("params", F.lit("")) != "", F.concat(F.lit("("), "params", F.lit(")"))).otherwise("")
+
+
+def verbose_hits(ix: CodeIndex, hits: DataFrame, refs: bool = False, most_lines: int = 1 << 30) -> DataFrame:
+    """`doc, place, text`: the hits in order, each with score, description and its first block, indented.
+
+    `refs` adds its callers and callees (up to ten of each, by id).
+    """
+    order = Window.orderBy(F.desc("score"), "doc")  # as many rows as were asked for
+    placed = hits.withColumn("place", F.row_number().over(order))
+    asked = hits.select("doc").distinct()
+    first = ix.blocks.where("block_index = 0").join(asked.withColumnRenamed("doc", "symbol_id"), "symbol_id", "left_semi").groupBy(F.col("symbol_id").alias("doc")).agg(F.min_by("content", "id").alias("content"))
+    about = ix.symbols.join(asked.withColumnRenamed("doc", "id"), "id", "left_semi").select(F.col("id").alias("doc"), F.col("description").alias("about"))
+    head = F.concat(F.lit("["), F.col("place").cast("string"), F.lit("] "), "kind", F.lit(" "), "name", signature(), F.lit("  "), "path", F.lit(":"), F.col("line").cast("string"), F.lit("-"), F.col("end_line").cast("string"), F.lit("  score:"), fixed("score", 3), F.when(F.coalesce("about", F.lit("")) != "", F.concat(F.lit("  "), "about")).otherwise(""))
+    lines = F.slice(F.split(F.regexp_replace("content", r"\r?\n$", ""), r"\r?\n"), 1, most_lines)
+    body = F.when(F.coalesce("content", F.lit("")) != "", F.concat(F.lit("\n  "), F.array_join(lines, "\n  "))).otherwise("")
+    out = placed.join(first, "doc", "left").join(about, "doc", "left")
+    text = F.concat(head, body)
+    if refs:
+        from lithoscope.operators.browse import neighbours
+
+        near = neighbours(ix, 10).join(asked.withColumnRenamed("doc", "id"), "id", "left_semi")
+        home = ix.symbols.select(F.col("id").alias("other"), "file_id").join(ix.paths.groupBy("file_id").agg(F.min("path").alias("at")), "file_id")
+        line = F.concat(F.when(F.col("side") == "callee", "calls: ").otherwise("calledby: "), "name", F.lit(" ("), "at", F.lit(")"))
+        listed = F.array_sort(F.collect_list(F.struct((F.col("side") == "caller").alias("after"), "other", line.alias("line"))))
+        near = near.join(home, "other").groupBy(F.col("id").alias("doc")).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("near"))
+        out = out.join(near, "doc", "left")
+        text = F.concat(text, F.when(F.col("near").isNotNull(), F.concat(F.lit("\n"), "near")).otherwise(""))
+    return out.select("doc", "place", text.alias("text"))
+
+
+def snippet_search(ix: CodeIndex, embeddings: DataFrame, text: str, vector: list[float] | None, directory: str = "", n: int = 10, model: str | None = None) -> DataFrame:
+    """`text`, one row: the n best hits in their verbose form; empty where there is none."""
+    hits = verbose_hits(ix, hybrid_search(ix, embeddings, text, vector, n, model, directory=directory))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    return hits.agg(F.array_join(lines, "\n").alias("text"))
+
+
+def random_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows at random, the same ones for the same seed: those of the smallest hashes of seed and key."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def evaluation(samples: DataFrame) -> DataFrame:
+    """`json`, one row: the figures of samples(symbol_id, rank_b, rank_c), ranks from 1 and null for not found."""
+    part = lambda c: F.struct(F.round(F.avg(F.when(F.col(c) == 1, 1.0).otherwise(0.0)), 4).alias("p_at_1"), F.round(F.avg(F.coalesce(1 / F.col(c), F.lit(0.0))), 4).alias("mrr"))
+    got = samples.agg(F.count("*").alias("n_samples"), F.sort_array(F.collect_list("symbol_id")).alias("symbol_ids"), part("rank_b").alias("method_B"), part("rank_c").alias("method_C"))
+    return got.select(F.to_json(F.struct("*")).alias("json"))
+
+
 def retrieval_metrics(ranks: DataFrame) -> DataFrame:
     """`p_at_1, mrr` of ranks(rank from 1, null: not found)."""
     return ranks.agg(F.avg(F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).alias("p_at_1"), F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))).alias("mrr"))

@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lithoscope.functions.text import dirname, like
+from lithoscope.functions.text import dirname, like, under
 from lithoscope.session import need, table
 
 
@@ -42,8 +42,7 @@ class CodeIndex:
         """`path, file_id` in the directory, without the excluded globs."""
         out = self.paths
         if self.directory:
-            d = self.directory.replace("\\", "/").rstrip("/")
-            out = out.where(like("path", f"%{d}/%") | like("path", f"%{d}"))
+            out = out.where(under("path", self.directory))
         for e in self.excludes:
             out = out.where(~like("path", e.replace("\\", "/").replace("*", "%").replace("?", "_")))
         return out
@@ -91,6 +90,14 @@ class CodeIndex:
         return self.paths.select("file_id", F.col("path").alias("callee_path"), dirname("path").alias("dir"))
 
 
+def nested(spark: SparkSession, folder: str, reach: int = 400) -> CodeIndex:
+    """An index whose containers hold the `reach` lines behind their beginning, so that they have members in the test tables."""
+    ix = CodeIndex(spark, folder)
+    wide = F.when(F.col("kind").isin("class", "struct", "interface"), F.col("line") + reach).otherwise(F.col("end_line"))
+    ix.symbols = ix.symbols.withColumn("end_line", wide)
+    return ix
+
+
 #: SQL of the views above.
 VIEWS = r"""
 WITH sym AS (SELECT DISTINCT id, file_id, name, kind, line, end_line, content_hash, params, nesting_depth, param_count, description, ext, snippet FROM symbols WHERE removed_at IS NULL),
@@ -106,3 +113,7 @@ tags AS (
 edges AS (SELECT r.caller_id, r.callee_id, a.file_id AS caller_file, b.file_id AS callee_file, a.ext AS caller_ext, b.ext AS callee_ext FROM refs r JOIN sym a ON a.id = r.caller_id JOIN sym b ON b.id = r.callee_id),
 file_edges AS (SELECT DISTINCT caller_file, callee_file FROM edges WHERE caller_file != callee_file)
 """
+#: The views of `nested`.
+NESTED = VIEWS.replace("line, end_line, content_hash, params", "line, CASE WHEN kind IN ('class', 'struct', 'interface') THEN line + 400 ELSE end_line END AS end_line, content_hash, params", 1)
+#: Whether `path` lies under a directory, in either slash style.
+UNDER = lambda d: "(path ILIKE '%{f}/%' OR path ILIKE '%{f}' OR path ILIKE '%{b}\\%' OR path ILIKE '%{b}')".format(f=d, b=d.replace("/", "\\"))

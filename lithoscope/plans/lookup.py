@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithoscope.operators import browse, search
-from lithoscope.plans.index import VIEWS, CodeIndex
+from lithoscope.plans.index import UNDER, VIEWS, CodeIndex
 
 QUERY = "queue return"
 
@@ -43,15 +43,53 @@ def retrieval_metrics(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.col("embedding").alias("v"))
     first = e.groupBy("label").agg(F.min("vec_id").alias("target"))
     t = e.join(first, e.vec_id == first.target).select("target", F.col("v").alias("tv"))
-    ranked = e.join(first, "label").where("vec_id != target").crossJoin(F.broadcast(t.withColumnRenamed("target", "other")))  # one row per label
     from lithoscope.functions.vectors import cosine
+    from lithoscope.session import bounded_broadcast
 
+    # one row per label: a stated set of targets that every vector is ranked against
+    ranked = e.join(first, "label").where("vec_id != target").crossJoin(bounded_broadcast(t.withColumnRenamed("target", "other"), 10_000))
     s = ranked.select("vec_id", "target", "other", F.round(cosine("v", "tv"), 9).alias("s"))
     mine = s.where("other = target").select("vec_id", F.col("s").alias("m"))
     rank = s.join(mine, "vec_id").groupBy("vec_id").agg((F.count(F.when((F.col("s") > F.col("m")) | ((F.col("s") == F.col("m")) & (F.col("other") < F.col("target"))), 1)) + 1).alias("rank"))
     return search.retrieval_metrics(rank).select(F.round("p_at_1", 9).alias("p_at_1"), F.round("mrr", 9).alias("mrr"))
 
 
+def hybrid_verbose(spark, d):
+    ix = CodeIndex(spark, d)
+    hits = search.hybrid_search(ix, ix.raw("block_embeddings"), "return", None, 20, exts=(".py", ".go"), directory="/src/", tags=None)
+    return search.verbose_hits(ix, hits, refs=True)
+
+
+def snippet_text(spark, d):
+    ix = CodeIndex(spark, d)
+    return search.snippet_search(ix, ix.raw("block_embeddings"), "return", None, "/src/", 10).select(F.md5("text").alias("text_md5"))
+
+
+def hybrid_reranked(spark, d):
+    ix = CodeIndex(spark, d)
+    best = lambda rows: sorted(range(len(rows)), key=lambda i: (rows["name"][i], rows["doc"][i]))[:5]
+    return search.hybrid_search(ix, ix.raw("block_embeddings"), "return", None, 20, exts=(".py", ".go"), directory="/src/", rerank=best).select("doc", "position")
+
+
+def scope_of_both_slashes(spark, d):
+    return CodeIndex(spark, d, directory="K:/code").scope
+
+
+def random_sample(spark, d):
+    return search.random_sample(CodeIndex(spark, d).symbols.where("description is not null"), "id", 25, 7).select("id", "name")
+
+
+def evaluation(spark, d):
+    s = CodeIndex(spark, d).symbols.where("id % 3 = 0")
+    return search.evaluation(s.select(F.col("id").alias("symbol_id"), F.when(F.col("line") % 5 != 0, F.col("line") % 5).alias("rank_b"), F.when(F.col("line") % 4 != 0, F.col("line") % 4).alias("rank_c")))
+
+
+def show_numbered(spark, d):
+    ix = CodeIndex(spark, d)
+    s = ix.symbols.join(ix.scope.groupBy("file_id").agg(F.min("path").alias("path")), "file_id").where("snippet is not null")
+    return browse.numbered_slice(s, "id", "path", "snippet", 3, 40, 10).select("id", F.md5("shown").alias("shown_md5"))
+
+
 def browse_files(spark, d):
     return browse.file_list(CodeIndex(spark, d, directory="/srv/code"))
 
@@ -93,7 +131,7 @@ def list_tags(spark, d):
 
 
 def tag_filter(spark, d):
-    return browse.tagged(CodeIndex(spark, d), {"is_static": "true", "visibility": "private"})
+    return browse.tagged(CodeIndex(spark, d), {"is_static": "true", "visibility": "internal"})
 
 
 def summary(spark, d):
@@ -136,7 +174,7 @@ def findings_by_severity(spark, d):
     return browse.severity_counts(findings_report(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, bm25_symbols, bm25_blocks, hybrid_search, hybrid_filtered, retrieval_metrics, browse_files, symbol_tree, callers_callees, symbol_detail, deps_graph, deps_adjacency, resolve_file, line_slice, list_tags, tag_filter, summary, recent_files, unindexed, findings_report, findings_json, findings_by_severity)}
+QUERIES = {f.__name__: f for f in (vector_topk, bm25_symbols, bm25_blocks, hybrid_search, hybrid_filtered, hybrid_verbose, hybrid_reranked, snippet_text, scope_of_both_slashes, random_sample, evaluation, show_numbered, retrieval_metrics, browse_files, symbol_tree, callers_callees, symbol_detail, deps_graph, deps_adjacency, resolve_file, line_slice, list_tags, tag_filter, summary, recent_files, unindexed, findings_report, findings_json, findings_by_severity)}
 
 
 def _terms(x):
@@ -168,7 +206,7 @@ legs AS ({legs}),
 fused AS (SELECT doc, sum(1.0::DOUBLE / (60 + r + 1)) AS score FROM legs GROUP BY doc ORDER BY score DESC, doc LIMIT 20)
 """
 _LEG = "SELECT doc, row_number() OVER (ORDER BY score DESC, doc) - 1 AS r FROM {x} SEMI JOIN okd USING (doc) WHERE score IS NOT NULL QUALIFY r < 400"
-_MULT = "(CASE WHEN kind IN ('field', 'variable') THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN path ILIKE '%test%' THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN described THEN 2.5::DOUBLE ELSE 1 END)"
+_MULT = "(CASE WHEN kind IN ('field', 'variable') THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN regexp_matches(lower(path), '/tests/|/editmode/|/playmode/|/test/|tests[.]cs|test[.]cs') THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN described THEN 2.5::DOUBLE ELSE 1 END)"
 _F = "f AS (SELECT id AS symbol_id, line % 4 AS rule_id, 'check ' || name AS message, (nesting_depth % 5) / 4.0::DOUBLE AS confidence, param_count > 2 AS stale FROM sym), r(rule_id, analyzer, rule_name, severity) AS (VALUES (0, 'style', 'naming', 'info'), (1, 'style', 'size', 'warning'), (2, 'bugs', 'leak', 'error'), (3, 'bugs', 'race', 'error'))"
 _REPORT = f"{VIEWS}, {_F} SELECT CAST(rule_id AS BIGINT) AS rule_id, rule_name, severity, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 3 END AS severity_rank, message, confidence, s.name AS symbol_name, path, line, stale FROM f JOIN r USING (rule_id) JOIN sym s ON s.id = symbol_id JOIN paths USING (file_id) WHERE confidence > 0"
 _DEPS = "deps AS (SELECT DISTINCT p.path AS caller, q.path AS callee FROM (SELECT DISTINCT caller_file, callee_file FROM edges) e JOIN paths p ON p.file_id = caller_file JOIN paths q ON q.file_id = callee_file WHERE p.path != q.path)"
@@ -189,10 +227,28 @@ SQL = {
     "resolve_file": "SELECT path FROM (SELECT DISTINCT path FROM file_paths) WHERE suffix(replace(path, '\\', '/'), '.go') ORDER BY regexp_extract(replace(path, '\\', '/'), '[^/]*$') != '.go', length(path), path LIMIT 1",
     "line_slice": f"{VIEWS}, l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM blocks WHERE content IS NOT NULL) SELECT id, CAST(line_no AS INT) AS line_no, line FROM l WHERE line_no BETWEEN 2 AND 6",
     "list_tags": f"{VIEWS} SELECT DISTINCT key, value FROM tags WHERE symbol_id IN (SELECT id FROM sym JOIN paths USING (file_id))",
-    "tag_filter": f"{VIEWS} SELECT id, name, kind FROM sym WHERE id IN (SELECT symbol_id FROM tags WHERE key = 'is_static' AND value = 'true') AND id IN (SELECT symbol_id FROM tags WHERE key = 'visibility' AND value = 'private')",
+    "tag_filter": f"{VIEWS} SELECT id, name, kind FROM sym WHERE id IN (SELECT symbol_id FROM tags WHERE key = 'is_static' AND value = 'true') AND id IN (SELECT symbol_id FROM tags WHERE key = 'visibility' AND value = 'internal')",
     "summary": f"{VIEWS}, em AS (SELECT DISTINCT symbol_id FROM blocks WHERE content_hash IN (SELECT content_hash FROM block_embeddings WHERE vector IS NOT NULL)), a AS (SELECT count(*) AS symbols, count(DISTINCT CASE WHEN id IN (SELECT symbol_id FROM em) THEN id END) AS embedded, count(*) FILTER (kind IN ('function', 'method')) AS describable, count(*) FILTER (kind IN ('function', 'method') AND description IS NOT NULL) AS described FROM sym JOIN paths USING (file_id) WHERE kind != 'heading') SELECT (SELECT count(*) FROM paths) AS files, *, CAST(floor(embedded * 100 / symbols) AS INT) AS embedded_pct, CAST(floor(described * 100 / describable) AS INT) AS described_pct FROM a",
     "recent_files": "SELECT path, max(mtime) AS mtime FROM file_paths GROUP BY path HAVING max(mtime) > 1767225600 - 604800 ORDER BY mtime DESC, path LIMIT 10",
     "unindexed": "SELECT dir FROM (VALUES ('/srv/code/quartzline'), ('/srv/code/nowhere'), ('K:/code/nothing')) t(dir) WHERE NOT EXISTS (SELECT 1 FROM file_paths WHERE starts_with(replace(path, '\\', '/'), dir || '/'))",
     "findings_report": _REPORT + " AND confidence >= 0.5",
     "findings_by_severity": f"SELECT severity, count(*) AS n FROM ({_REPORT} AND confidence >= 0.5) GROUP BY severity",
 }
+
+SQL["findings_json"] = f"SELECT json_object('rule_name', rule_name, 'severity', severity, 'message', message, 'confidence', confidence, 'symbol_name', symbol_name, 'file_path', path, 'line', line)::VARCHAR AS json FROM ({_REPORT}) WHERE severity = 'error'"
+_HITS = SQL["hybrid_filtered"].rsplit(" SELECT doc, path, kind", 1)[0].replace("LIMIT 20", "LIMIT {n}").replace("QUALIFY r < 400", "QUALIFY r < {k}")
+_HIT = f"hit AS (SELECT doc, okd.*, score * {_MULT} AS final FROM fused JOIN okd USING (doc)), placed AS (SELECT *, row_number() OVER (ORDER BY final DESC, doc) AS place FROM hit)"
+_SHOWN = r"""shown AS (SELECT p.doc, CAST(place AS INT) AS place, '[' || place || '] ' || p.kind || ' ' || p.name || CASE WHEN coalesce(p.params, '') != '' THEN '(' || p.params || ')' ELSE '' END || '  ' || p.path || ':' || p.line || '-' || p.end_line || '  score:' || printf('%.3f', final) || CASE WHEN coalesce(s.description, '') != '' THEN '  ' || s.description ELSE '' END
+  || CASE WHEN coalesce(b.content, '') != '' THEN chr(10) || '  ' || regexp_replace(regexp_replace(b.content, '\r?\n$', ''), '\r?\n', chr(10) || '  ', 'g') ELSE '' END {refs} AS text
+  FROM placed p JOIN sym s ON s.id = p.doc LEFT JOIN (SELECT symbol_id, arg_min(content, id) AS content FROM blocks WHERE block_index = 0 GROUP BY symbol_id) b ON b.symbol_id = p.doc {join})""".replace("\\\\", "\\")
+_NEAR = "near AS (SELECT id, string_agg(CASE side WHEN 0 THEN 'calls: ' ELSE 'calledby: ' END || name || ' (' || at_path || ')', chr(10) ORDER BY side, other) AS near FROM (SELECT e.id, side, other, s.name, h.path AS at_path FROM (SELECT caller_id AS id, 0 AS side, callee_id AS other FROM refs UNION ALL SELECT callee_id, 1, caller_id FROM refs) e JOIN sym s ON s.id = other LEFT JOIN (SELECT file_id, min(path) AS path FROM paths GROUP BY file_id) h ON h.file_id = s.file_id QUALIFY row_number() OVER (PARTITION BY e.id, side ORDER BY other) <= 10) WHERE at_path IS NOT NULL GROUP BY id)"
+_hits = lambda n, where=None: (_HITS if where is None else _HITS.replace("WHERE (path ILIKE '%.py' OR path ILIKE '%.go') AND path ILIKE '%/src/%'", where)).replace("{n}", str(n)).replace("{k}", str(20 * n))
+SQL |= {
+    "hybrid_verbose": _hits(20) + f", {_HIT}, {_NEAR}, " + _SHOWN.replace("{refs}", "|| CASE WHEN near IS NOT NULL THEN chr(10) || near ELSE '' END").replace("{join}", "LEFT JOIN near ON near.id = p.doc") + " SELECT * FROM shown",
+    "snippet_text": _hits(10, "WHERE path ILIKE '%/src/%'") + f", {_HIT}, " + _SHOWN.replace("{refs}", "").replace("{join}", "") + " SELECT md5(string_agg(text, chr(10) ORDER BY place)) AS text_md5 FROM shown",
+    "hybrid_reranked": _hits(20) + f", {_HIT}, o AS (SELECT *, row_number() OVER (ORDER BY name, doc) AS k FROM placed) SELECT doc, CAST(row_number() OVER (ORDER BY CASE WHEN k <= 5 THEN k ELSE 1000 + place END) - 1 AS INT) AS position FROM o",
+    "scope_of_both_slashes": f"{VIEWS} SELECT path, file_id FROM paths WHERE {UNDER('K:/code')}",
+    "random_sample": f"{VIEWS} SELECT id, name FROM sym WHERE description IS NOT NULL ORDER BY md5('7:' || id), id LIMIT 25",
+    "evaluation": f"{VIEWS}, s AS (SELECT id, nullif(line % 5, 0) AS b, nullif(line % 4, 0) AS c FROM sym WHERE id % 3 = 0), a AS (SELECT count(*) AS n, '[' || string_agg(id::VARCHAR, ',' ORDER BY id) || ']' AS ids, round(avg(CASE WHEN b = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS b1, round(avg(coalesce(1.0::DOUBLE / b, 0)), 4) AS b2, round(avg(CASE WHEN c = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS c1, round(avg(coalesce(1.0::DOUBLE / c, 0)), 4) AS c2 FROM s) SELECT '{{\"n_samples\":' || n || ',\"symbol_ids\":' || ids || ',\"method_B\":{{\"p_at_1\":' || b1 || ',\"mrr\":' || b2 || '}},\"method_C\":{{\"p_at_1\":' || c1 || ',\"mrr\":' || c2 || '}}}}' AS json FROM a",
+    "show_numbered": f"{VIEWS}, h AS (SELECT file_id, min(path) AS path FROM paths GROUP BY file_id), t AS (SELECT id, path, string_split_regex(regexp_replace(snippet, '\\r?\\n$', ''), '\\r?\\n') AS l, snippet FROM sym JOIN h USING (file_id) WHERE snippet IS NOT NULL), n AS (SELECT *, CASE WHEN snippet = '' THEN 0 ELSE len(l) END AS total FROM t), w AS (SELECT *, CASE WHEN least(40, total) < 3 THEN total ELSE least(40, total) END AS wanted FROM n), z AS (SELECT *, least(wanted, 12) AS last FROM w), b AS (SELECT *, [lpad(i::VARCHAR, CAST(length(last::VARCHAR) AS INT), ' ') || '  ' || l[i] FOR i IN range(3, last + 1)] AS body FROM z) SELECT id, md5(CASE WHEN total = 0 THEN '' ELSE path || ' (lines 3-' || last || '/' || total || ')' || CASE WHEN wanted > last THEN ' [truncated; ' || (wanted - last) || ' more lines omitted]' ELSE '' END || chr(10) || array_to_string(body, chr(10)) END) AS shown_md5 FROM b",
+}

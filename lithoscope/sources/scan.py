@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tomllib
 from dataclasses import fields, is_dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lithoscope.functions.text import parse_branch
@@ -12,16 +15,40 @@ from lithoscope.sources.ignore import ignored_paths
 
 
 def scan_tree(spark: SparkSession, root: str, glob: str = "*", max_bytes: int = 50_000_000, streaming: bool = False) -> DataFrame:
-    """`path, mtime, size, hash, content` of all files under a root; `hash` is the SHA-1 of the bytes.
+    """`path, mtime, size, hash, content` of all files under a root; `hash` is the SHA-1 of the bytes, whatever the size.
 
-    Files above `max_bytes` come without content and with a hash of their path, size
-    and time, so that no task has to hold them. As a stream, new and changed files.
+    Files above `max_bytes` come without content: their bytes are read in pieces by the
+    executors, so that no task has to hold them. As a stream, new and changed files.
     """
+    def digest(paths: pd.Series) -> pd.Series:
+        def one(p):
+            if p is None:
+                return None
+            h = hashlib.sha1(usedforsecurity=False)
+            with open_input(p) as f:
+                while piece := f.read(1 << 20):
+                    h.update(piece)
+            return h.hexdigest()
+
+        return paths.map(one)
+
     reader = (spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary") if streaming else spark.read).format("binaryFile")
     df = reader.option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    path = F.regexp_replace("path", "^file:/+", "/")
-    small = F.col("length") <= max_bytes
-    return df.select(path.alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), F.when(small, F.sha1("content")).otherwise(F.sha1(F.concat_ws("\0", "path", "length", "modificationTime"))).alias("hash"), F.when(small, F.col("content")).alias("content"))
+    plain = [F.regexp_replace("path", "^file:/+", "/").alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size")]
+    small = df.where(F.col("length") <= max_bytes).select(*plain, F.sha1("content").alias("hash"), "content")
+    large = df.where(F.col("length") > max_bytes).select(*plain, F.pandas_udf(digest, "string")("path").alias("hash"), F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
+
+
+def open_input(path: str):
+    """A file of any storage that Arrow knows, as a stream of bytes."""
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        system, name = fs.FileSystem.from_uri("file://" + re.sub("^file:/+", "/", path) if path.startswith("file:") else path)
+    else:
+        system, name = fs.LocalFileSystem(), path
+    return system.open_input_stream(name)
 
 
 def side_files(files: DataFrame, name: str) -> DataFrame:
@@ -34,7 +61,6 @@ def side_files(files: DataFrame, name: str) -> DataFrame:
     dirs = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("dir")).distinct().where("dir != ''")
 
     def read(batches):
-        import pandas as pd
         from pyarrow import fs
 
         systems = {}
@@ -112,7 +138,6 @@ def suppression_table(files: DataFrame) -> DataFrame:
     """`dir, rule` of suppression files(path, content): TOML with a list `suppress`."""
 
     def read(batches):
-        import pandas as pd
 
         for pdf in batches:
             rows = []

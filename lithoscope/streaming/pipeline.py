@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException, ArithmeticException, IllegalArgumentException, NumberFormatException, PythonException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lithoscope.functions.text import dirname
 from lithoscope.session import scratch_path
 
 
@@ -25,16 +27,38 @@ def as_upserts(events: DataFrame) -> DataFrame:
     return events.select("ts", F.explode(both).alias("e")).select("ts", "e.path", "e.event")
 
 
+def snapshot_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """`path, event` between two snapshots (path, hash): create, modify or remove. A file stream tells no removals."""
+    a, b = old.groupBy("path").agg(F.max("hash").alias("was")), new.groupBy("path").agg(F.max("hash").alias("now"))
+    both = a.withColumn("had", F.lit(True)).join(b.withColumn("has", F.lit(True)), "path", "full_outer")
+    event = F.when(F.col("had").isNull(), "create").when(F.col("has").isNull(), "remove").when(~F.col("was").eqNullSafe(F.col("now")), "modify")
+    return both.select("path", event.alias("event")).where("event is not null")
+
+
+def direct_files(files: DataFrame, created: DataFrame) -> DataFrame:
+    """Of files(path) those that lie directly in created(dir): what a new directory queues."""
+    return files.withColumn("dir", dirname("path")).join(created.select(F.regexp_replace(F.replace("dir", F.lit("\\"), F.lit("/")), "/+$", "").alias("dir")).distinct(), "dir", "left_semi").select("path").distinct()
+
+
 def rate(events: DataFrame, key: str, window: str = "60 seconds", slide: str = "10 seconds", lateness: str = "60 seconds") -> DataFrame:
     """Streaming: events per sliding window and key."""
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", window, slide), key).agg(F.count("*").alias("n")).select(F.col("window.end").alias("at"), key, "n")
 
 
+def of_the_data(error: Exception) -> bool:
+    """Whether an error comes from the rows or the work on them: analysis, conversion, arithmetic, or user code in Python."""
+    if isinstance(error, (AnalysisException, ArithmeticException, NumberFormatException, IllegalArgumentException, PythonException, SparkRuntimeException, ValueError, TypeError, KeyError)):
+        return True
+    return False
+
+
 def stage(source: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, key: list[str], attempts: int = 3) -> StreamingQuery:
     """Run `work` over each batch of new rows and append its output, deduplicated by key, to a table of parquet files.
 
-    A batch that keeps failing goes to `<sink>-failed` as it is, so that one bad batch
-    doesn't stop the stage.
+    A batch that its own data make fail goes to `<sink>-failed` as it is, and the row
+    (batch, rows, error) to `<sink>-failed-log`, so that one bad batch doesn't stop the
+    stage. An error of the cluster (a lost executor, a full disk) stops the stream; the
+    batch is run again from the checkpoint.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -42,9 +66,13 @@ def stage(source: DataFrame, work: Callable[[DataFrame], DataFrame], sink: str,
             try:
                 work(batch).dropDuplicates(key).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/_b={number}")
                 return
-            except Exception:  # noqa: BLE001
+            except Exception as e:
+                if not of_the_data(e):
+                    raise
                 if attempt == attempts:
                     batch.write.mode("overwrite").parquet(f"{sink}-failed/_b={number}")
+                    log = batch.groupBy().agg(F.count("*").alias("rows")).select(F.lit(number).alias("batch"), "rows", F.lit(str(e)[:500]).alias("error"))
+                    log.write.mode("overwrite").parquet(f"{sink}-failed-log/_b={number}")
 
     return source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -69,8 +97,8 @@ def drain_to_table(spark: SparkSession, stream: DataFrame, tag: str, mode: str =
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder as a stream, be it a file or a folder."""
     path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isFile():
-        return spark.readStream.schema(schema).option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
-    return spark.readStream.schema(schema).parquet(path)
+    df = spark.read.parquet(path)
+    files = df.inputFiles()
+    if len(files) == 1 and files[0].rstrip("/").endswith(f"/{name}.parquet"):  # the table is one file: a stream reads folders
+        return spark.readStream.schema(df.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(df.schema).parquet(path)

@@ -49,6 +49,23 @@ def test_engine_verbs(spark, small):
     assert new.count() == 3 and e.findings(new, rules).count() >= 3
 
 
+def test_server_lines(spark, small):
+    import json
+
+    from lithoscope.api import serve_line
+
+    e = Engine(spark, small)
+    ask = lambda **x: json.loads(serve_line(e, json.dumps({"jsonrpc": "2.0", **x})))
+    assert ask(id=1, method="initialize")["result"]["capabilities"] == {"tools": {}}
+    tools = {t["name"]: t["inputSchema"]["required"] for t in ask(id=2, method="tools/list")["result"]["tools"]}
+    assert len(tools) == 9 and tools["knowledge_store"] == ["concept", "pattern", "body"]
+    assert json.loads(serve_line(e, "{broken"))["error"]["code"] == -32700 and serve_line(e, "  ") is None
+    assert serve_line(e, json.dumps({"method": "notifications/initialized"})) is None and ask(id=3, method="nope")["error"]["code"] == -32601
+    call = lambda name, **a: ask(id=4, method="tools/call", params={"name": name, "arguments": a})
+    assert "result" in call("knowledge_store", concept="c", pattern="**", body="b") and e.knowledge.count() == 1
+    assert "result" in call("knowledge_session_reset") and call("knowledge_store", concept="c")["error"]["code"] == -32602
+
+
 def test_many_rules_are_all_asked_about(spark, small):
     rules = spark.createDataFrame([(i, "a", f"r{i:04}", "error") for i in range(2500)], "rule_id bigint, analyzer string, rule_name string, severity string")
     old = spark.createDataFrame([], "symbol_id bigint, rule_id bigint, message string, confidence double, stale boolean")

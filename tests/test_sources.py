@@ -106,3 +106,14 @@ def test_settings_and_transcripts(spark, tmp_path):
     assert [(r["type"], r["message"]) for r in scan.transcripts(spark, str(tmp_path)).collect()] == [("user", '{"content":"hi"}')]
     files = spark.createDataFrame([("p/.rules", bytearray(b'suppress = ["a", "b"]')), ("q/.rules", bytearray(b"= broken"))], "path string, content binary")
     assert {tuple(r) for r in scan.suppression_table(files).collect()} == {("p", "a"), ("p", "b")}
+
+
+def test_large_files_are_hashed_by_their_bytes(spark, tmp_path):
+    import hashlib
+
+    for n in ("a.txt", "b.txt"):
+        (tmp_path / n).write_bytes(b"x" * 3_000_000)
+    (tmp_path / "c.txt").write_bytes(b"y")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["hash"], r["content"] is None) for r in scan.scan_tree(spark, str(tmp_path), max_bytes=1000).collect()}
+    big = hashlib.sha1(b"x" * 3_000_000).hexdigest()
+    assert got == {"a.txt": (big, True), "b.txt": (big, True), "c.txt": (hashlib.sha1(b"y").hexdigest(), False)}
