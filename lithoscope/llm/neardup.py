@@ -12,9 +12,12 @@ of its members' tokens. A text opens only groups whose union overlaps it enough:
 * Opening. The members of a qualifying group come out with their full sets, and an
   exact check compares those whose sizes leave room for the similarity.
 
-The order of tokens comes from a count sketch of fixed size over all texts. Tokens
-that are frequent by the sketch go through a salted join, the others through a
-plain one. No candidates are dropped or capped.
+The order of tokens comes from a count sketch over all texts. It grows with the
+corpus up to a bound (8 MB of cells); what the cells hold by mere chance, their median,
+is taken off, so that frequent tokens stand out however full it is. Tokens that are
+frequent by the sketch go through a join that is salted by their frequency, the others
+through a plain one; the exact check splits large groups. No candidates are dropped or
+capped.
 """
 
 from __future__ import annotations
@@ -30,7 +33,12 @@ from pyspark.sql import DataFrame, functions as F
 from lithoscope.session import materialise
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
-SKETCH_BITS = 20
+#: Least and most bits of a sketch's cells; characters of text for each cell, as far as the bound allows.
+SKETCH_BITS, CHARS_PER_CELL = (16, 22), 48
+#: Members of a group that one key of the exact check holds.
+GROUP_ROWS = 512
+#: Most ids that a bitmap stands for; more go through a join.
+BITMAP_IDS = 1 << 24
 
 
 class WordHashes:
@@ -86,42 +94,52 @@ def shingles(texts: list[str | None], size: int, least_words: int, hashes: WordH
     return np.array(docs), owner[fresh], token[fresh]
 
 
-def slots(token: np.ndarray) -> np.ndarray:
+def slots(token: np.ndarray, bits: int) -> np.ndarray:
     """The two sketch cells of each token."""
-    cells = np.uint64((1 << SKETCH_BITS) - 1)
-    return np.stack([token & cells, (token >> np.uint64(SKETCH_BITS)) & cells]).astype(np.int64)
+    cells = np.uint64((1 << bits) - 1)
+    return np.stack([token & cells, (token >> np.uint64(bits)) & cells]).astype(np.int64)
 
 
-def token_sketch(texts: DataFrame, size: int, least_words: int) -> np.ndarray:
-    """Two rows of 2^SKETCH_BITS counts of tokens over all texts, one byte each on a log scale.
+def sketch_bits(texts: DataFrame) -> int:
+    chars = texts.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    return int(np.clip(math.ceil(math.log2(max(chars / CHARS_PER_CELL, 1))), *SKETCH_BITS))
 
-    Its size doesn't depend on the texts. Tasks send their counts in packed blocks,
-    which are added up per block.
+
+def token_sketch(texts: DataFrame, size: int, least_words: int, bits: int) -> np.ndarray:
+    """Two rows of 2^bits levels, one byte each: eight steps for each doubling of a token's count over all texts.
+
+    A count is that of its cell less the median of the row's cells, which is what other
+    tokens put there. Tasks send their counts in packed blocks; these are added up block
+    by block as they come, so that no task holds more than the sums.
     """
-    cells, block = 1 << SKETCH_BITS, 1 << 16
+    cells = 1 << bits
+    block = min(cells, 1 << 16)
 
     def run(batches):
         hashes, n = WordHashes(), np.zeros((2, cells), np.int64)
         for pdf in batches:
             _, _, token = shingles(pdf["text"].tolist(), size, least_words, hashes)
-            for row, at in zip(n, slots(token)):
+            for row, at in zip(n, slots(token, bits)):
                 row += np.bincount(at, minlength=cells)
         flat = np.minimum(n.ravel(), 2**32 - 1).astype(np.uint32)
         for k in range(0, len(flat), block):
             if flat[k : k + block].any():
                 yield pd.DataFrame({"block": [k // block], "n": [zlib.compress(flat[k : k + block].tobytes(), 1)]})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(block, np.int64)
-        for x in pdf["n"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        # an eighth of a doubling per step is enough to order tokens
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "level": [np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8).tobytes()]})
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, x in zip(pdf["block"], pdf["n"]):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.float64)
+        for k, x in total.items():
+            yield pd.DataFrame({"block": [k], "n": [zlib.compress(x.astype(np.float32).tobytes(), 1)]})
 
-    out = np.zeros(2 * cells, np.uint8)
-    for r in texts.mapInPandas(run, "block int, n binary").groupBy("block").applyInPandas(add, "block int, level binary").collect():
-        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(bytes(r["level"]), np.uint8)
-    return out.reshape(2, cells)
+    out = np.zeros(2 * cells, np.float32)
+    for r in texts.mapInPandas(run, "block int, n binary").repartition("block").mapInPandas(add, "block int, n binary").toLocalIterator():
+        out[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(zlib.decompress(bytes(r["n"])), np.float32)
+    out = out.reshape(2, cells)
+    out = np.maximum(out - np.median(out, axis=1, keepdims=True), 0)
+    return np.minimum(255, np.round(8 * np.log2(1 + out))).astype(np.uint8)
 
 
 def groups_of(owner: np.ndarray, token: np.ndarray, t: float):
@@ -136,14 +154,16 @@ def groups_of(owner: np.ndarray, token: np.ndarray, t: float):
     return first, n, mix(np.minimum.reduceat(mix(token), first) + band).view(np.int64).astype(np.int32)
 
 
-def prefixes(texts: DataFrame, sketch, size: int, least_words: int, t: float, hot_level: int, shared: int) -> DataFrame:
-    """`id, n, grp, tokens, hot` of each text that takes part: its size, group and prefix.
+def prefixes(texts: DataFrame, sketch, size: int, least_words: int, t: float, hot: int, shared: int) -> DataFrame:
+    """`id, n, grp, tokens, salts` of each text that takes part: its size, group and prefix, and how far to spread each token.
 
     Tokens and groups are cut to 32 bits here: a clash only adds candidates.
     """
 
     def run(batches):
         hashes, levels, seen = WordHashes(), sketch.value, set()
+        bits = levels.shape[1].bit_length() - 1
+        spread = np.clip(np.ceil(2 ** (np.arange(256) / 8) / hot), 1, 1 << 14).astype(np.int16)
         for pdf in batches:
             ids, body = pdf["id"].tolist(), pdf["text"].tolist()
             for i, k in enumerate(ids):  # map-side combine of exact copies
@@ -154,7 +174,7 @@ def prefixes(texts: DataFrame, sketch, size: int, least_words: int, t: float, ho
             docs, owner, token = shingles(body, size, least_words, hashes)
             if not len(docs):
                 continue
-            cells = slots(token)
+            cells = slots(token, bits)
             level = np.minimum(levels[0][cells[0]], levels[1][cells[1]]).astype(np.int64)
             first, n, group = groups_of(owner, token, t)
             order = np.lexsort((token, level, owner))
@@ -162,10 +182,10 @@ def prefixes(texts: DataFrame, sketch, size: int, least_words: int, t: float, ho
             rows = []
             for d, g, lo, k in zip(docs.tolist(), group.tolist(), first.tolist(), n.tolist()):
                 cut = min(lo + k, lo + k - math.ceil(t * k - 1e-9) + shared)
-                rows.append((ids[d], k, g, short[lo:cut], (level[lo:cut] >= hot_level).tolist()))
-            yield pd.DataFrame(rows, columns=["id", "n", "grp", "tokens", "hot"])
+                rows.append((ids[d], k, g, short[lo:cut], spread[level[lo:cut]]))
+            yield pd.DataFrame(rows, columns=["id", "n", "grp", "tokens", "salts"])
 
-    return texts.select("id", "text").mapInPandas(run, "id bigint, n int, grp int, tokens array<int>, hot array<boolean>")
+    return texts.select("id", "text").mapInPandas(run, "id bigint, n int, grp int, tokens array<int>, salts array<smallint>")
 
 
 def full_sets(texts: DataFrame, size: int, least_words: int, t: float) -> DataFrame:
@@ -199,13 +219,14 @@ def _qualifying(rows: DataFrame, t: float, key: list[str], matrix: DataFrame) ->
     )
 
 
-def similar_pairs(texts: DataFrame, key: str, text: str, t: float = 0.6, size: int = 3, least_words: int = 30, hot: int = 4096, salts: int = 16, shared: int = 6) -> DataFrame:
+def similar_pairs(texts: DataFrame, key: str, text: str, t: float = 0.6, size: int = 3, least_words: int = 30, hot: int = 4096, shared: int = 6, bits: int | None = None) -> DataFrame:
     """`hash_a, hash_b, similarity` (hash_a < hash_b) of different keys whose texts are at least `t` alike.
 
     Alike is the Jaccard similarity of the sets of all runs of `size` consecutive
     words (longest runs of [A-Za-z0-9_], lower-cased). Equal keys are equal texts.
     A text opens a group if `shared` of its prefix tokens are in the group's row.
-    `hot` is the estimated count from which a token's join is salted `salts`-fold.
+    A token's join is spread over one task for each `hot` of its estimated count;
+    `bits` is the logarithm of the sketch's width (else by the corpus).
     Defined results: null keys, null texts and texts of fewer than `least_words`
     words take no part; repeated rows count once; texts of any length are read
     whole; an empty table gives no pairs; other columns are ignored.
@@ -213,47 +234,60 @@ def similar_pairs(texts: DataFrame, key: str, text: str, t: float = 0.6, size: i
     spark = texts.sparkSession
     texts = texts.select(F.col(f"`{key}`").cast("string").alias("hash"), F.col(f"`{text}`").alias("text")).where("hash is not null and text is not null")
     texts = texts.select(F.xxhash64("hash").alias("id"), "hash", "text")
-    sketch = spark.sparkContext.broadcast(token_sketch(texts.select("text"), size, least_words))
-    docs = materialise(prefixes(texts, sketch, size, least_words, t, round(8 * math.log2(1 + hot)), shared), "prefixes")
+    body = texts.select("text")
+    sketch = spark.sparkContext.broadcast(token_sketch(body, size, least_words, bits or sketch_bits(body)))
+    docs = materialise(prefixes(texts, sketch, size, least_words, t, hot, shared), "prefixes")
 
-    x = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("hot").alias("hot")))
-    rows = docs.select("id", "n", "grp", x.alias("x")).select("id", "n", "grp", F.col("x.token").alias("token"), F.col("x.hot").alias("hot"))
+    x = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("salts").alias("salts")))
+    rows = docs.select("id", "n", "grp", x.alias("x")).select("id", "n", "grp", F.col("x.token").alias("token"), F.col("x.salts").cast("int").alias("salts"))
     rows = rows.where("id is not null and n is not null and grp is not null and token is not null")
     sums = (F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("id").alias("first"), F.max("id").alias("last"))
     # both sides of the plain join read one shuffle of the rows by token
-    plain = rows.where(~F.col("hot")).drop("hot").repartition("token")
+    plain = rows.where("salts = 1").drop("salts").repartition("token")
     opened = _qualifying(plain, t, ["token"], plain.groupBy("token", "grp").agg(*sums))
-    warm = rows.where("hot").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    wide = rows.where("hot").groupBy("token", "grp").agg(*sums).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    warm = rows.where("salts > 1").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    # tokens of one 32-bit value may have several salts: each row meets all groups by its own
+    wide = rows.where("salts > 1").groupBy("token", "grp").agg(*sums)
+    wide = wide.join(rows.where("salts > 1").groupBy("token").agg(F.max("salts").alias("most")), "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("most") - 1))).drop("most")
     opened = opened.unionByName(_qualifying(warm, t, ["token", "salt"], wide))
     enough = F.least(F.lit(shared), F.greatest(F.lit(1), F.ceil(F.col("n") * (t * t))))
     opened = opened.groupBy("id", "n", "own", "grp").agg(F.count("*").alias("c")).where(F.col("c") >= enough).drop("c")
     return _verify(materialise(opened, "opened"), docs, texts, t, size, least_words)
 
 
-def _marks(ids: DataFrame, bits: int = 23) -> DataFrame:
-    """A bitmap of 2^bits cells (1 MB) in at most 256 rows: which ids may be among `ids`."""
+def _marks(ids: DataFrame, bits: int) -> DataFrame:
+    """A bitmap of 2^bits cells, in rows of 4 KB: which ids may be among `ids`."""
     cell = F.pmod(F.col("id"), F.lit(1 << bits))
     return ids.select(cell.alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("map"))
 
 
-def _marked(docs: DataFrame, marks: DataFrame, bits: int = 23) -> DataFrame:
+def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts that may be among ids(id), none left out: by a bitmap of at most 16 MB, or, for more ids, by a join."""
+    n = ids.count()
+    if n > BITMAP_IDS:
+        return texts.join(ids.distinct(), "id", "left_semi")
+    bits = max(15, (8 * n).bit_length())
     cell = F.pmod(F.col("id"), F.lit(1 << bits))
-    d = docs.withColumn("bucket", F.bitmap_bucket_number(cell)).withColumn("at", F.bitmap_bit_position(cell))
+    d = texts.withColumn("bucket", F.bitmap_bucket_number(cell)).withColumn("at", F.bitmap_bit_position(cell))
     byte = F.conv(F.hex(F.expr("substring(map, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return d.join(F.broadcast(marks), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select("id", "hash", "text")
+    return d.join(F.broadcast(_marks(ids, bits)), "bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select("id", "hash", "text")
 
 
 def _verify(opened: DataFrame, docs: DataFrame, texts: DataFrame, t: float, size: int, least_words: int) -> DataFrame:
     """Compare each text with the members of the groups that it opens.
 
     Only texts that ask or are asked are read into sets again. Sets move once per
-    opened group, and pairs are compared where they meet.
+    opened group, and pairs are compared where they meet. A large group is split: its
+    members over keys of about GROUP_ROWS, and each that asks goes to all of them.
     """
-    members = docs.select("id", "grp").join(opened.select("grp").distinct(), "grp", "left_semi").select("id")
-    sets = materialise(full_sets(_marked(texts, _marks(opened.select("id").unionByName(members))), size, least_words, t), "sets")
-    asks = opened.join(sets.select("id", F.col("hash").alias("ha"), F.col("tokens").alias("a")), "id")
-    both = asks.join(sets.select("grp", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hash").alias("hb"), F.col("tokens").alias("b")), "grp").where(
+    members = docs.select("id", "grp").join(opened.select("grp").distinct(), "grp", "left_semi")
+    parts = members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("grp", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
+    parts = materialise(parts, "large-groups")  # few rows: groups of more than GROUP_ROWS members
+    sets = materialise(full_sets(_wanted(texts, opened.select("id").unionByName(members.select("id"))), size, least_words, t), "sets")
+    asks = opened.join(parts, "grp", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    asks = asks.join(sets.select("id", F.col("hash").alias("ha"), F.col("tokens").alias("a")), "id")
+    asked = sets.join(parts, "grp", "left").select("grp", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("hash").alias("hb"), F.col("tokens").alias("b"))
+    both = asks.join(asked, ["grp", "part"]).where(
         ((F.col("own") < F.col("grp")) | (F.col("id") < F.col("other"))) & (F.col("ha") != F.col("hb")) & (F.col("m") >= F.col("n") * t) & (F.col("n") >= F.col("m") * t)
     )
     common = F.size(F.array_intersect("a", "b"))
@@ -263,3 +297,21 @@ def _verify(opened: DataFrame, docs: DataFrame, texts: DataFrame, t: float, size
         .where(F.col("similarity") >= t - 1e-12)
         .distinct()
     )
+
+
+def groups(texts: DataFrame, id_: str, key: str, pairs: DataFrame) -> DataFrame:
+    """`id, hash, class, n_links` of each row of texts, given its similar pairs (hash_a, hash_b).
+
+    `class` is the smallest key of the texts that chain together by similar pairs, the
+    own key of a text without any; `n_links` is the number of different texts that are
+    similar. Copies share their key's class, so they need no pairs. Defined results:
+    rows with a null key have a null class and no links; repeated rows are repeated.
+    """
+    from lithoscope.operators.components import components
+
+    pairs = materialise(pairs.select("hash_a", "hash_b").distinct(), "pairs")
+    both = pairs.unionByName(pairs.select(F.col("hash_b").alias("hash_a"), F.col("hash_a").alias("hash_b")))
+    links = both.groupBy(F.col("hash_a").alias("hash")).agg(F.count("*").alias("n_links"))
+    label = components(pairs, "hash_a", "hash_b").select(F.col("node").alias("hash"), "component").join(links, "hash")
+    rows = texts.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{key}`").cast("string").alias("hash"))
+    return rows.join(label, "hash", "left").select("id", "hash", F.coalesce("component", "hash").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -88,7 +88,7 @@ def brute(rows, t=0.6):
     return {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-12}
 
 
-def test_near_duplicates_against_all_pairs(spark):
+def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     r = random.Random(4)
     rows = []
     for c in range(25):
@@ -105,9 +105,23 @@ def test_near_duplicates_against_all_pairs(spark):
     df = spark.createDataFrame([(h, t, 1) for h, t in rows], "content_hash string, content string, id int")
     want = brute(rows)
     assert len(want) > 800
-    for hot in (4096, 3):  # the salted join gives the same pairs
-        got = [tuple(x)[:2] for x in neardup.similar_pairs(df, "content_hash", "content", hot=hot, salts=4).collect()]
+    for hot, bits in ((4096, None), (3, None), (4096, 5), (3, 3)):  # salted joins and a full sketch give the same pairs
+        got = [tuple(x)[:2] for x in neardup.similar_pairs(df, "content_hash", "content", hot=hot, bits=bits).collect()]
         assert set(got) == want and len(got) == len(want)
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 3)
+    monkeypatch.setattr(neardup, "BITMAP_IDS", 2)
+    found = neardup.similar_pairs(df, "content_hash", "content")
+    got = [tuple(x)[:2] for x in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    label = {}
+    for h, _ in rows:
+        label[h] = h
+    for _ in range(6):
+        for a, b in want:
+            label[a] = label[b] = min(label[a], label[b])
+    classes = neardup.groups(df, "id", "content_hash", found).collect()
+    assert len(classes) == len(rows) and {(r["hash"], r["class"]) for r in classes} == set(label.items())
+    assert all(r["n_links"] == sum(r["hash"] in p for p in want) for r in classes)
     assert neardup.similar_pairs(df.where("false"), "content_hash", "content").count() == 0
 
 
