@@ -110,12 +110,12 @@ def test_suffix_search_against_brute_force():
 BLOCKS = "id bigint, content string, start_line int, text string, part int"
 
 
-@pytest.mark.parametrize("range_chars", [130, 65536])
-def test_pieces_rebuild_the_text(spark, range_chars):
+@pytest.mark.parametrize("range_bytes", [1, 1 << 20])
+def test_pieces_rebuild_the_text(spark, range_bytes):
     r = random.Random(2)
     texts = {1: "\n".join("x" * r.randint(0, 80) for _ in range(60)), 2: "ab " * 400, 3: "é" * 1000, 4: "short", 5: None, 6: "", 7: "l\r\n" * 300, 8: "x" * 100}
     rows = [(i, t, 5, "c", 1) for i, t in texts.items()] + [(1, texts[1], 5, "c", 2), (9, texts[2], None, None, None)]
-    got = splitting.split_oversized(spark.createDataFrame(rows, BLOCKS), limit=100, overlap=20, range_chars=range_chars).toPandas().sort_values(["id", "block_index"])
+    got = splitting.split_oversized(spark.createDataFrame(rows, BLOCKS), limit=100, overlap=20, range_bytes=range_bytes).toPandas().sort_values(["id", "block_index"])
     assert set(got.id) == {1, 2, 3, 7, 9}
     for i, g in got.groupby("id"):
         t, end = texts.get(i, texts[2]), 0
@@ -130,14 +130,65 @@ def test_pieces_rebuild_the_text(spark, range_chars):
     cut_lines = [texts[1][e - 1] == "\n" for e in one.end_char[:-1]]
     assert np.mean(cut_lines) > 0.9
     assert splitting.split_oversized(spark.createDataFrame([], BLOCKS)).count() == 0
+    df = spark.createDataFrame([r for r in rows if r[0] != 9], BLOCKS)
+    check = splitting.violations(df, splitting.split_oversized(df, limit=100, overlap=20, range_bytes=range_bytes), 100, 20).first().asDict()
+    assert check.pop("texts") == 4 and not any(check.values())
+
+
+def test_files_give_the_pieces_of_their_text(spark, tmp_path):
+    r = random.Random(9)
+    line = lambda: "".join(r.choice("ab é漢🙂;.") for _ in range(r.randint(0, 70)))
+    texts = {"a": "\n".join(line() for _ in range(600)), "b": "🙂" * 9000, "c": "short", "d": "\n\n".join(line() for _ in range(300)) + "\r\n" * 50, "e": ""}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    (tmp_path / "f").write_bytes(b"\xff\xfe word \xc3" * 700)
+    files = [(str(tmp_path / n), (tmp_path / n).stat().st_size) for n in "abcdef"]
+    table = spark.createDataFrame([*files, files[0], (None, 5), (files[0][0], None)], "path string, size bigint")
+    got = splitting.split_files(table, 100, 20, 2000).toPandas().sort_values(["path", "block_index"])
+    for name in "abd":
+        one = splitting.split_oversized(spark.createDataFrame([(1, texts[name], None, "", 0)], BLOCKS), 100, 20, 2000).toPandas().sort_values("block_index")
+        mine = got[got.path == str(tmp_path / name)]
+        for c in ("block_index", "content", "start_line", "start_char", "end_char"):
+            assert mine[c].tolist() == one[c].tolist(), (name, c)
+    assert set(got.path.str[-1]) == {"a", "b", "d", "f"}
+    odd = got[got.path.str.endswith("f")]
+    assert odd.start_char.min() == 0 and odd.end_char.max() == 9 * 700 and "word" in odd.content.iloc[0]
+
+
+def test_ranges_agree_on_their_anchors():
+    r = random.Random(10)
+    text = "".join(r.choice(["word ", "\n", "\n\n", "é", "漢字", ". ", " " * 90 + "\n", "🙂"]) for _ in range(9000))
+    raw = text.encode()
+    ranges = splitting.Ranges(lambda at, n: raw[at : at + n], len(raw), 100, 20, 1600)
+    assert ranges.count > 10
+    at = end = 0
+    for k in range(ranges.count):
+        n, lines, pieces = ranges.pieces(k)
+        before, own, after = ranges.window(k, 5, 5)
+        assert own == text[at : at + n] and text[:at].endswith(before) and lines == own.count("\n")
+        for lo, hi, above, body in pieces:
+            assert body == text[at + lo : at + hi] and at + lo <= end < at + hi and end - at - lo <= 20 and len(body) <= 100
+            assert text.count("\n", 0, at + lo) == text.count("\n", 0, at) + above
+            end = at + hi
+        at += n
+    assert end == len(text)
+
+
+def test_all_lines_are_kept_as_boundaries():
+    r = random.Random(12)
+    text = "\n".join("x" * r.randint(5, 40) for _ in range(2000))
+    raw = text.encode()
+    *_, pieces = splitting.Ranges(lambda at, n: raw[at : at + n], len(raw), 2000, 200, 1 << 20).pieces(0)
+    for (lo, _, _, _), (_, end, _, _) in zip(pieces[1:], pieces):
+        assert lo == text.find("\n", end - 201) + 1
 
 
 def test_pieces_of_null_ids_and_lines(spark):
     r = random.Random(6)
     a, b = ("\n".join("x" * r.randint(0, 80) for _ in range(60)) for _ in range(2))
     rows = [(1, a, None, "c", 1), (1, a, 1, "c", 2), (1, a, 7, "c", 2), (None, a, None, "c", 1), (None, a, 1, "c", 1), (None, b, 4, "c", 1), (0, a, 1, "c", 1)]
-    for range_chars in (130, 65536):
-        split = lambda x: [tuple(p) for p in splitting.split_oversized(spark.createDataFrame(x, BLOCKS), limit=100, overlap=20, range_chars=range_chars).collect()]
+    for range_bytes in (1, 1 << 20):
+        split = lambda x: [tuple(p) for p in splitting.split_oversized(spark.createDataFrame(x, BLOCKS), limit=100, overlap=20, range_bytes=range_bytes).collect()]
         got = split(rows)
         base = {t: [p[1:] for p in split([(5, t, 1, "c", 1)])] for t in (a, b)}
         moved = lambda i, t, by: [(i, k, c, n + by, *at) for k, c, n, *at in base[t]]
