@@ -247,7 +247,8 @@ def split_files(files: DataFrame, limit: int = 2000, overlap: int = 200, range_b
                         yield pd.DataFrame([(path, int(k), j, n, m, lo, hi, above, _plain(body)) for j, (lo, hi, above, body) in enumerate(pieces)], columns=columns)
 
     columns = ["path", "part", "j", "chars", "lines", "lo", "hi", "above", "content"]
-    spread = ranges.repartition("path", "part")
+    # a fixed number: rows of ranges are small, and would be put together into few tasks
+    spread = ranges.repartition(max(1, min(100_000, ranges.count())), "path", "part")
     got = materialise(spread.mapInPandas(cut, "path string, part bigint, j int, chars bigint, lines bigint, lo bigint, hi bigint, above bigint, content string"), "pieces")
     sums = got.groupBy("path", "part").agg(F.count("*").alias("pieces"), F.first("chars").alias("chars"), F.first("lines").alias("lines"))
     front = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
