@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lithoscope.session import need
 
+#: Matches of a window that are looked at together.
+MOST_HITS = 1 << 21
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -47,6 +49,14 @@ class HeldOut:
         self.ids = np.array([*ids, *[0] * span], np.int32)
         self.start, self.item, self.at, self.need = (np.array(x, np.int64) for x in (starts, item, at, length))
         self.shortest = int(self.need.min()) if len(self.need) else 0
+        # equal suffixes are looked up once: the first of each run of equal n-word windows stands for all
+        self.order = np.lexsort([self.ids[self.start + j] * (j < self.need) for j in reversed(range(span))] + [self.need]) if len(self.need) else self.need
+        windows = np.stack([self.ids[self.start + j] * (j < self.need) for j in range(span)], 1)[self.order] if len(self.need) else np.zeros((0, span), np.int32)
+        need = self.need[self.order]
+        fresh = np.ones(len(need), bool)
+        fresh[1:] = (windows[1:] != windows[:-1]).any(1) | (need[1:] != need[:-1])
+        self.first = np.flatnonzero(fresh)  # in `order`
+        self.count = np.diff(np.append(self.first, len(need)))
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -112,33 +122,64 @@ def search_shard(texts: list[str | None], held: HeldOut, span: int):
     where = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
     s = np.concatenate([raw[where], np.zeros(span + 1, np.int32)])
     sa = suffix_array(s, span)
-    found = []
-    for n in np.unique(held.need):
-        q = np.flatnonzero(held.need == n)
-        lo = _bound(s, sa, held.ids, held.start[q], int(n), False)
-        hi = _bound(s, sa, held.ids, held.start[q], int(n), True)
-        hit = np.flatnonzero(hi > lo)
-        count = (hi - lo)[hit]
-        if len(hit):
-            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            found.append((np.repeat(q[hit], count), sa[np.repeat(lo[hit], count) + offset]))
-    if not found:
-        return none
-    q, p = (np.concatenate(x) for x in zip(*found))
+    q = held.order[held.first]
+    lo, hi = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+    for n in np.unique(held.need[q]):
+        same = np.flatnonzero(held.need[q] == n)
+        lo[same] = _bound(s, sa, held.ids, held.start[q[same]], int(n), False)
+        hi[same] = _bound(s, sa, held.ids, held.start[q[same]], int(n), True)
+    hit = np.flatnonzero(hi > lo)
+    # every (suffix, place) of a window, a bounded number of them at a time
+    pairs, best = (hi - lo)[hit] * held.count[hit], none
+    lots = np.searchsorted(np.cumsum(pairs), np.arange(0, int(pairs.sum()), MOST_HITS), "right") if len(hit) else []
+    for a, b in zip(lots, [*lots[1:], len(hit)]):
+        for h in _slices(hit[a:b], (hi - lo)[hit[a:b]], held.count[hit[a:b]]):
+            best = _longest(best, _extend(s, sa, held, where, first, lo, *h))
+    return best
+
+
+def _slices(hit, places, suffixes):
+    """(window, from place, to place) of windows with their places; one with very many is cut."""
+    whole = places * suffixes <= MOST_HITS
+    if whole.any():
+        yield hit[whole], np.zeros(int(whole.sum()), np.int64), places[whole]
+    for w, n, m in zip(hit[~whole], places[~whole], suffixes[~whole]):
+        step = max(1, MOST_HITS // int(m))
+        for a in range(0, int(n), step):
+            yield np.array([w]), np.array([a]), np.array([min(step, int(n) - a)])
+
+
+def _extend(s, sa, held, where, first, lo, windows, skip, n):
+    """doc, item, doc_word, item_word, n_words of all matches of some windows, each extended to its full length."""
+    p = sa[np.repeat(lo[windows] + skip, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    w = np.repeat(windows, n)
+    m = held.count[w]
+    q = held.order[np.repeat(held.first[w], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+    p = np.repeat(p, m)
+    # a match that begins a word earlier in both texts is a part of that one
+    before = (held.at[q] > 0) & (p > 0)
+    inner = before & (s[np.maximum(p - 1, 0)] == held.ids[held.start[q] - before]) & (s[np.maximum(p - 1, 0)] != 0)
+    q, p = q[~inner], p[~inner]
     size, live = held.need[q].copy(), np.arange(len(q))
-    while len(live):  # extend each match to its full length
+    while len(live):
         i, j = np.minimum(p[live] + size[live], len(s) - 1), np.minimum(held.start[q[live]] + size[live], len(held.ids) - 1)
         live = live[(s[i] == held.ids[j]) & (s[i] != 0)]
         size[live] += 1
     place = where[p]
     doc = np.searchsorted(first, place, "right") - 1
-    order = np.lexsort((held.at[q], place, -size, held.item[q], doc))
-    d, it = doc[order], held.item[q][order]
-    top = order[np.concatenate([[True], (d[1:] != d[:-1]) | (it[1:] != it[:-1])])]
-    return doc[top], held.item[q][top], (place - first[doc])[top], held.at[q][top], size[top]
+    return doc, held.item[q], place - first[doc], held.at[q], size
+
+
+def _longest(*found):
+    """One match per document and item: the longest, then the earliest in the document, then in the item."""
+    doc, item, a, b, size = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((b, a, -size, item, doc))
+    d, it = doc[order], item[order]
+    top = order[np.concatenate([[True], (d[1:] != d[:-1]) | (it[1:] != it[:-1])])] if len(order) else order
+    return doc[top], item[top], a[top], b[top], size[top]
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, span: int = 13, max_block: int = 20_000, shard_chars: int = 12_000_000) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, span: int = 13, block_chars: int = 16_000_000, shard_chars: int = 12_000_000) -> DataFrame:
     """`doc_id, item_id, doc_word, item_word, n_words`, one row per document and leaked item.
 
     A document holds a case of an item if `span` consecutive words of the item
@@ -146,19 +187,23 @@ def leaked_passages(documents: DataFrame, items: DataFrame, span: int = 13, max_
     longest such passage: its place in words in either text and its length; ties
     go to the earliest place in the document, then in the item.
 
-    Items are looked up in blocks of about `max_block` (a bound on what each task
-    holds); with more items there are more passes over the corpus. A shard holds
+    Items are looked up in blocks of about `block_chars` characters, or of one longer
+    item (a bound on what each task and the driver hold); with more there are more passes
+    over the corpus, which is unavoidable while each task holds one block. A shard holds
     whole documents up to `shard_chars` characters, or one longer document. No
     shuffle. Defined results: null and empty texts, and items without a word, are
     never cases; repeated rows give repeated rows; other columns are ignored.
     """
     items = need(items, "item_id", "text")
     docs = need(documents, "doc_id", "text")
-    blocks = max(1, -(-items.count() // max_block))
+    items = items.where("item_id is not null and text is not null").distinct()
+    size = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // block_chars))
     out = None
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        held = docs.sparkSession.sparkContext.broadcast(HeldOut([tuple(r) for r in part.where("item_id is not null").collect()], span))
+        # by a hash of id and text: blocks of about one size, and no list of all items anywhere
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        held = docs.sparkSession.sparkContext.broadcast(HeldOut([tuple(r) for r in part.toLocalIterator()], span))
 
         def run(batches, held=held):
             keys, texts, chars = [], [], 0

@@ -77,8 +77,8 @@ def test_leaks(spark):
     docs = [(1, "x " + " ".join(w[3:16]) + " y", ""), (2, " ".join(w[3:15]), ""), (3, "Pre SHORT, item\there post", ""), (4, None, ""), (5, "", ""), (6, " ".join(w).upper().replace(" ", "-\n"), ""), (6, " ".join(w), ""), (7, "short item", ""), (8, "q " * 3000 + " ".join(w[:13]), "")]
     items = [(10, ITEM, "t"), (11, "short item here", "t"), (12, None, "t"), (13, "...", "t"), (None, ITEM, "t")]
     schema = "item_id bigint, text string, doc_id string"
-    for block in (20_000, 2):
-        got = leakage.leaked_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, schema), max_block=block, shard_chars=50)
+    for block in (16_000_000, 30):
+        got = leakage.leaked_passages(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, schema), block_chars=block, shard_chars=50)
         rows = {tuple(r) for r in got.collect()}
         assert rows == {(1, 10, 1, 3, 13), (3, 11, 1, 0, 3), (6, 10, 0, 0, 20), (8, 10, 3000, 0, 13)}
     d = spark.createDataFrame(docs, DOCS)
@@ -87,6 +87,14 @@ def test_leaks(spark):
     assert leakage.leaked_passages(d, none).count() == 0 and leakage.leaked_passages(d.where("false"), spark.createDataFrame(items, schema)).count() == 0
 
 
+def test_suffix_search_a_few_matches_at_a_time(monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_HITS", 7)
+    test_suffix_search_against_brute_force()
+    docs, items = ["a b c d e " * 30 for _ in range(20)], [(i, "x " * i + "a b c d e a b") for i in range(30)]
+    doc, item, a, b, n = leakage.search_shard(docs, leakage.HeldOut(items, 4), 4)
+    assert len(doc) == 600 and set(n) == {7} and set(a) == {0} and all(b == item)
+
+
 def test_suffix_search_against_brute_force():
     r = random.Random(5)
     vocab = list("abcdef")
