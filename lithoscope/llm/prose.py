@@ -3,7 +3,8 @@
 Each text is cut into segments of a few lines. A segment's distributions of word
 kinds and of character classes are compared with structural profiles (prose,
 list, table, code, ...) by Jensen-Shannon divergence, and the nearest profile
-names it. Words strung together at random have the unigram profile of prose, so
+names it. A text's common words are compared in the same way with the profiles of the
+languages, which are counted over the corpus. Words strung together at random have the unigram profile of prose, so
 prose must also join its common words as the corpus does: the mean association
 of neighbouring common words, counted over the whole corpus, decides.
 """
@@ -109,41 +110,91 @@ def clean(text: str | None) -> str:
     return (text or "").replace("\r\n", "\n").replace("\r", "\n")
 
 
-def pair_counts(codes: np.ndarray, size: int) -> np.ndarray:
-    """Counts of neighbouring (common or plain) words, as a flat size x size table."""
-    c = codes[codes != -9]
+#: Least common words of a text that tells of its language's profile.
+LANGUAGE_WORDS = 20
+
+
+def pair_counts(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (first * size + second) of neighbouring common or plain words, and how often each occurs."""
+    c = codes[codes != -9].astype(np.int64)
     a, b = c[:-1], c[1:]
     ok = (a >= 0) & (b >= 0)
-    return np.bincount(a[ok].astype(np.int64) * size + b[ok], minlength=size * size)
+    return np.unique(a[ok] * size + b[ok], return_counts=True)
 
 
-def association(documents: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of neighbouring words over all different texts, and the counts by chance, as flat tables.
+class Counts:
+    """What the whole corpus says: pairs of neighbouring words, and each language's distribution of common words.
 
-    A text counts once however many rows repeat it, so that copies don't speak for
-    each other; copies collapse before the texts are shuffled. The table has (common words + 1) squared cells whatever the corpus; each task
-    sends its own table, in sparse form, and Spark adds them up.
+    Only pairs that occur are kept, at most (common words + 1) squared of them.
     """
-    size = len(lexicon.words) + 1
+
+    def __init__(self, cell: np.ndarray, n: np.ndarray, size: int, languages: np.ndarray):
+        order = np.argsort(cell)
+        self.cell, self.n, self.size = cell[order], n[order].astype(float), size
+        self.row = np.bincount(self.cell // size, self.n, size)
+        self.col = np.bincount(self.cell % size, self.n, size)
+        self.total = max(self.n.sum(), 1)
+        self.languages = languages / np.maximum(languages.sum(1, keepdims=True), 1)
+
+    def of(self, cell: np.ndarray) -> np.ndarray:
+        if not len(self.cell):
+            return np.zeros(len(cell))
+        at = np.minimum(np.searchsorted(self.cell, cell), len(self.cell) - 1)
+        return np.where(self.cell[at] == cell, self.n[at], 0.0)
+
+    def by_chance(self, cell: np.ndarray) -> np.ndarray:
+        return self.row[cell // self.size] * self.col[cell % self.size] / self.total
+
+
+def corpus_counts(documents: DataFrame, lexicon: Lexicon) -> Counts:
+    """Counts of neighbouring words over all different texts, and the languages' profiles.
+
+    A text counts once however many rows repeat it, so that copies don't speak for each
+    other; copies collapse before the texts are shuffled. Each task sends the pairs
+    that it has met, and Spark adds them up. A text adds to the profile of the language
+    most of whose common words it holds, if it holds LANGUAGE_WORDS of them.
+    """
+    size, langs = len(lexicon.words) + 1, max(1, len(lexicon.langs))
     end = np.array([-8], np.int16)
 
     def run(batches):
-        total = np.zeros(size * size, np.int64)
+        profile = np.zeros((langs, size), np.int64)
         for pdf in batches:
-            parts = [x for t in pdf["text"] if t for x in (lexicon.codes(t), end)]
+            parts = []
+            for t in pdf["text"]:
+                if t:
+                    c = lexicon.codes(t)
+                    parts += [c, end]
+                    c = c[c > 0]
+                    if len(c) >= LANGUAGE_WORDS and len(lexicon.langs):
+                        profile[lexicon.member[:, c].sum(1).argmax()] += np.bincount(c, minlength=size)
             if parts:
-                total += pair_counts(np.concatenate(parts), size)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": at, "n": total[at]})
+                cell, n = pair_counts(np.concatenate(parts), size)
+                yield pd.DataFrame({"cell": cell, "n": n})
+        flat = profile.ravel()
+        at = np.flatnonzero(flat)
+        yield pd.DataFrame({"cell": -1 - at, "n": flat[at]})
 
     got = need(documents, "text").where("text is not null").distinct().mapInPandas(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(size * size)
-    n[got["cell"].to_numpy(np.int64)] = got["n"]
-    n = n.reshape(size, size)
-    total = max(n.sum(), 1)
-    row, col = n.sum(1, keepdims=True), n.sum(0, keepdims=True)
-    expected = row * col / total
-    return n.ravel(), expected.ravel()
+    cell, n = got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
+    profile = np.zeros(langs * size)
+    profile[-1 - cell[cell < 0]] = n[cell < 0]
+    return Counts(cell[cell >= 0], n[cell >= 0], size, profile.reshape(langs, size))
+
+
+def language_divergence(doc: np.ndarray, word: np.ndarray, docs: int, counts: Counts) -> np.ndarray:
+    """(languages, docs): Jensen-Shannon divergence in bits of the documents' common words and each language's profile."""
+    key, n = np.unique(doc[word > 0] * counts.size + word[word > 0], return_counts=True)
+    d, w = key // counts.size, key % counts.size
+    p = n / np.maximum(np.bincount(d, n, docs), 1)[d]
+    out = []
+    for profile in counts.languages:
+        q = profile[w]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            both = p * np.log2(2 * p / (p + q)) + np.where(q > 0, q * np.log2(2 * q / (p + q)), 0)
+        # a word that only the profile has adds all of its share
+        out.append((np.bincount(d, both, docs) + (profile.sum() - np.bincount(d, q, docs))) / 2)
+    return np.array(out)
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -190,7 +241,7 @@ def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, j], n) for j in range(values.shape[1])], 1)
 
 
-def describe(texts: list[str | None], lexicon: Lexicon, pairs: tuple[np.ndarray, np.ndarray], least_association: float) -> list[tuple]:
+def describe(texts: list[str | None], lexicon: Lexicon, counts: Counts, least_association: float) -> list[tuple]:
     """The figures of some texts, worked out together; see `quality`.
 
     The association of two words is the logarithm of their count over that by chance;
@@ -198,7 +249,7 @@ def describe(texts: list[str | None], lexicon: Lexicon, pairs: tuple[np.ndarray,
     """
     cleaned = [clean(t) for t in texts]
     used = [i for i, t in enumerate(cleaned) if t.strip()]
-    out: list[tuple] = [(0, 0.0, 0.0, 0.0, 0.0, None, 0.0, None, 0.0)] * len(texts)
+    out: list[tuple] = [(0, 0.0, 0.0, 0.0, 0.0, None, None, 0.0, None, 0.0)] * len(texts)
     if not used:
         return out
     body = [cleaned[i] for i in used]
@@ -242,7 +293,7 @@ def describe(texts: list[str | None], lexicon: Lexicon, pairs: tuple[np.ndarray,
     size = len(lexicon.words) + 1
     cell = a[ok] * size + b[ok]
     _, same, own = np.unique(doc[:-1][ok] * (size * size) + cell, return_inverse=True, return_counts=True)
-    joint = np.log((np.maximum(pairs[0][cell] - own[same], 0) + 0.5) / (pairs[1][cell] + 0.5))
+    joint = np.log((np.maximum(counts.of(cell) - own[same], 0) + 0.5) / (counts.by_chance(cell) + 0.5))
     total, count = np.bincount(at, joint, w), np.bincount(at, minlength=w)
     prose &= (total / np.maximum(count, 1) >= least_association)[window]
 
@@ -254,8 +305,8 @@ def describe(texts: list[str | None], lexicon: Lexicon, pairs: tuple[np.ndarray,
     n_words = per(doc)
     common = per(doc, word > 0) / np.maximum(n_words, 1)
     letters, symbols = per(doc_of_line, chars[:, 0] + chars[:, 1]), per(doc_of_line, chars[:, 4])
-    known = np.maximum(word, 0)
-    by_lang = np.stack([per(doc, m[known]) for m in lexicon.member]) if len(lexicon.langs) else np.zeros((1, docs))
+    apart = language_divergence(doc, word, docs, counts)
+    speaks = per(doc, word > 0) > 0
     held, ended = np.zeros(docs), np.zeros(docs)
     for d, x in zip(doc_of_line.tolist(), lines):
         x = x.rstrip()
@@ -269,23 +320,25 @@ def describe(texts: list[str | None], lexicon: Lexicon, pairs: tuple[np.ndarray,
         profile = NAMES[int((good if share[d] > 0.5 else shapes)[d].argmax())]
         if share[d] < 0.5 and profile in PROSE:
             profile = "word_salad"
-        lang = lexicon.langs[int(by_lang[:, d].argmax())] if by_lang[:, d].max() > 0 else None
+        lang = lexicon.langs[int(apart[:, d].argmin())] if speaks[d] and len(lexicon.langs) else None
         n = int(n_words[d])
-        out[i] = (n, float(letters[d] / n) if n else 0.0, float(symbols[d] / len(body[d])), float(ended[d] / max(held[d], 1)), float(common[d]), lang, float(share[d]), profile, float(joined[d]))
+        out[i] = (n, float(letters[d] / n) if n else 0.0, float(symbols[d] / len(body[d])), float(ended[d] / max(held[d], 1)), float(common[d]), lang, float(apart[:, d].min()) if lang else None, float(share[d]), profile, float(joined[d]))
     return out
 
 
-SCHEMA = "doc_id bigint, n_words int, mean_word_length double, symbol_ratio double, ended_lines double, common_share double, common_lang string, prose_share double, profile string, association double"
+SCHEMA = "doc_id bigint, n_words int, mean_word_length double, symbol_ratio double, ended_lines double, common_share double, common_lang string, lang_divergence double, prose_share double, profile string, association double"
 
 
-def quality(documents: DataFrame, common_words: DataFrame, least_association: float = -0.15, max_words: int = 20_000) -> DataFrame:
+def quality(documents: DataFrame, common_words: DataFrame, least_association: float = -0.15, max_words: int = 2000) -> DataFrame:
     """One row of figures per document (columns: SCHEMA).
 
     `prose_share` is the share of characters in segments of running sentences;
     `profile` the structural profile of most characters (`word_salad`: common words
-    that aren't joined as in sentences). Two passes over the whole corpus, the first
-    of which counts pairs of neighbouring words of the different texts (one shuffle of
-    texts) in a table of fixed size. `common_words` may have up to `max_words` words.
+    that aren't joined as in sentences); `common_lang` the language whose distribution
+    of common words is nearest, `lang_divergence` away. Two passes over the whole corpus,
+    the first of which counts pairs of neighbouring words of the different texts (one
+    shuffle of texts). `common_words` may have up to `max_words` rows, so that at most
+    (max_words + 1) squared counts (64 MB) go to the tasks; more are an error.
 
     Defined results: null, empty and blank texts have 0 words, `prose_share` 0 and
     a null profile; mixed line ends count as one; texts are read whole; repeated
@@ -296,19 +349,19 @@ def quality(documents: DataFrame, common_words: DataFrame, least_association: fl
         raise ValueError(f"more than {max_words} common words")
     lexicon = Lexicon([tuple(r) for r in rows])
     docs = need(documents, "doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, association(docs, lexicon)))
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, corpus_counts(docs, lexicon)))
 
     def run(batches):
-        lex, pairs = shared.value
+        lex, counts = shared.value
         for pdf in batches:
             got, part, chars = [], [], 0
             for t in [*pdf["text"], None]:
                 if part and (len(part) >= BATCH_TEXTS or chars >= BATCH_CHARS):
-                    got += describe(part, lex, pairs, least_association)
+                    got += describe(part, lex, counts, least_association)
                     part, chars = [], 0
                 part.append(t)
                 chars += len(t or "")
-            got += describe(part[:-1], lex, pairs, least_association) if len(part) > 1 else []
+            got += describe(part[:-1], lex, counts, least_association) if len(part) > 1 else []
             out = pd.DataFrame(got, columns=[c.split()[0] for c in SCHEMA.split(", ")][1:])
             out.insert(0, "doc_id", pdf["doc_id"])
             yield out
