@@ -34,18 +34,18 @@ def p3_found(spark, d):
     return p3_pairs(spark, d).select("src_table", "hash_a", "hash_b")
 
 
-def _kept(spark, d):
+def _records(spark, d):
     path = f"{d}/transcript_rows.parquet"
     return conversations.drain(spark, path, table(spark, d, "transcript_rows").schema)
 
 
 def p4_found(spark, d):
-    return conversations.judge(_kept(spark, d)).where("broken").select("session_id")
+    return conversations.verdicts(_records(spark, d)).where("broken").select("session_id")
 
 
 def p4_conversations(spark, d):
-    kept = _kept(spark, d)
-    return conversations.conversations(kept, conversations.judge(kept))
+    records = _records(spark, d)
+    return conversations.conversations(records, conversations.verdicts(records))
 
 
 def p5_pieces(spark, d):

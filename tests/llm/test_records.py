@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime as D
+from datetime import datetime as D, timedelta
 
 import numpy as np
 
@@ -145,13 +145,16 @@ def test_conversations(spark, tmp_path):
     df = spark.createDataFrame(rows + big, ROWS)
     path = str(tmp_path / "rows.parquet")
     df.repartition(3).write.parquet(path)
-    kept = conversations.drain(spark, path, df.schema)
     flat = lambda x: sorted(map(str, x.collect()))
-    assert flat(kept) == flat(conversations.batch_kept(df))
-    v = conversations.judge(kept)
-    assert {r["session_id"] for r in v.where("broken").collect()} == {"noturn", "blank", "noanswer", "torn"}
-    turns = conversations.conversations(kept, v).where("session_id in ('ok', 'late')").orderBy("session_id", "turn").collect()
-    assert [(r["session_id"], r["turn"], r["role"], r["text"]) for r in turns] == [("late", 0, "user", "x"), ("late", 1, "assistant", "y"), ("ok", 0, "user", "hi"), ("ok", 1, "assistant", "yo")]
+    for options in ({}, {"files_per_batch": 1}, {"shard_rows": 50}, {"files_per_batch": 1, "shard_rows": 1}, {"idle": "2 minutes"}):
+        records = conversations.drain(spark, path, df.schema, **options)
+        assert flat(conversations.rows_of(records)) == flat(conversations.batch_kept(df)), options
+        v = conversations.verdicts(records)
+        assert flat(v) == flat(conversations.judge(conversations.batch_kept(df)).select(*v.columns)), options
+        assert {r["session_id"] for r in v.where("broken").collect()} == {"noturn", "blank", "noanswer", "torn"}
+        turns = conversations.conversations(records, v).orderBy("session_id", "turn").collect()
+        assert [(r["session_id"], r["turn"], r["role"], r["text"]) for r in turns if r["session_id"] in ("ok", "late")] == [("late", 0, "user", "x"), ("late", 1, "assistant", "y"), ("ok", 0, "user", "hi"), ("ok", 1, "assistant", "yo")]
+        assert [r["turn"] for r in turns if r["session_id"] == "big"] == list(range(120))
     large = conversations.large_sessions(df, 50)
     assert [tuple(r) for r in large.collect()] == [("big", 3)]
     assert conversations.prepared(df, large).where("session_id = 'big'").select("shard").distinct().count() == 3
@@ -160,6 +163,28 @@ def test_conversations(spark, tmp_path):
     assert conversations.drain(spark, empty, df.schema).count() == 0
 
 
+def test_sessions_close_as_the_watermark_passes(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    row = lambda i, s, u, ty, day, parent=None: (i, s, u, parent, ty, None, f"t{i}", D(2025, 1, 1) + timedelta(days=day), D(2025, 1, 1), "x")
+
+    def feed(rows):
+        spark.createDataFrame(rows, ROWS).coalesce(1).write.mode("append").parquet(source)
+        stream = conversations.closed_sessions(spark.readStream.schema(spark.createDataFrame([], ROWS).schema).parquet(source), lateness="10 days", idle="5 days")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return {r["session_id"]: (r["broken"], [x["row_id"] for x in r["kept"]]) for r in spark.read.schema(stream.schema).parquet(out).collect()}
+
+    assert feed([row(1, "a", "u1", "user", 0), row(2, "b", "v1", "user", 1)]) == {}
+    # a late row that is still in time, and a row stored again: both are buffered
+    assert feed([row(4, "a", "u2", "assistant", 3, "u1"), row(3, "c", "w1", "user", 9), row(9, "a", "u1", "user", 4)]) == {}
+    assert feed([row(5, "b", "v0", "user", 0)]) == {}
+    # the watermark is at day 20: a and b have closed, c is still open
+    done = feed([row(6, "d", "x1", "user", 30)])
+    assert done == {"a": (False, [1, 4]), "b": (True, [5, 2]), "c": (True, [3])}
+    # too late for a: the row is dropped
+    assert feed([row(7, "a", "u3", "user", 5), row(8, "d", "x2", "assistant", 31, "x1")]) == done
+    assert feed([row(10, "e", "y1", "user", 60)])["d"] == (False, [6, 8])
+
+
 def test_text_of():
     t = conversations.text_of
     assert t(None, "a") == "a" and t("{", "a") is None and t("[]", "a") is None and t('{"content": 5}', None) is None and t('{"content": [1, {"type": "text", "text": "x"}]}', None) == "x" and t("null", "a") is None
