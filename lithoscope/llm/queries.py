@@ -9,7 +9,8 @@ from lithoscope.session import table
 
 
 def p1_paths(spark, d):
-    return sources.classify_paths(*(table(spark, d, t) for t in ("file_paths", "symbols", "code_blocks")))
+    tables = [table(spark, d, t) for t in ("file_paths", "symbols", "code_blocks")]
+    return sources.classify_paths(*tables, sources.attribute_files(*tables))
 
 
 def p1_found(spark, d):

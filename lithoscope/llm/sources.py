@@ -6,7 +6,8 @@ Three kinds of evidence, each file-wide:
   the deepest directory and there the last line wins), else the default rules
   below, in the same syntax;
 * mined rules: directory names and file-name shapes that occur in many
-  repositories and nearly always on files whose contents show it;
+  repositories and nearly always on files that their repository declares, or whose
+  contents show it; they are applied to repositories that declare nothing;
 * contents: a header comment that names its origin, minified lines, or mainly
   literal data.
 """
@@ -128,22 +129,36 @@ def glob_regex(pattern: str) -> str:
     return "^" + ("" if anchored else "(?:.*/)?") + out + "$"
 
 
-def parse_attributes(text: str) -> list[tuple[int, str, str, bool]]:
-    """`line, regex, attribute, value` of the lines that set generated or vendored.
+_PATTERN = re.compile(r'\s*(?:"((?:[^"\\]|\\.)*)"|(\S+))(?:\s+(.*))?$')
 
-    Reads `attr`, `-attr`, `!attr`, `attr=true|false` and a `linguist-` prefix; comments,
-    blank and broken lines are skipped.
+
+def parse_attributes(text: str) -> list[tuple[int, str, str, bool | None]]:
+    """`line, regex, attribute, value` of the lines that say something of generated or vendored.
+
+    Reads `attr`, `-attr`, `!attr` (unspecified again: a null value), `attr=true|false`, a
+    `linguist-` prefix, quoted patterns with blanks, and macros (`[attr]name attr ...`);
+    comments, blank and broken lines are skipped.
     """
-    out = []
-    for n, line in enumerate(text.splitlines()):
-        parts = line.split()
-        if len(parts) < 2 or parts[0].startswith("#"):
-            continue
-        for a in parts[1:]:
+    out, macros = [], {}
+
+    def settings(words: list[str], seen: tuple[str, ...] = ()):
+        for a in words:
             name, _, value = a.lstrip("-!").partition("=")
+            if name in macros and a[0] not in "-!" and name not in seen:
+                yield from settings(macros[name], (*seen, name))
             name = name.removeprefix("linguist-")
             if name in ("generated", "vendored"):
-                out.append((n, glob_regex(parts[0]), name, a[0] not in "-!" and value.lower() not in ("false", "0", "unset")))
+                yield name, None if a[0] == "!" else a[0] != "-" and value.lower() not in ("false", "0", "unset")
+
+    for n, line in enumerate(text.splitlines()):
+        m = _PATTERN.match(line)
+        if not m or not m[3] or line.lstrip().startswith("#"):
+            continue
+        pattern = re.sub(r"\\(.)", r"\1", m[1]) if m[1] is not None else m[2]
+        if pattern.startswith("[attr]"):
+            macros[pattern[6:]] = m[3].split()
+        elif pattern and not pattern.startswith("!"):
+            out += [(n, glob_regex(pattern), name, value) for name, value in settings(m[3].split())]
     return out
 
 
@@ -168,15 +183,15 @@ def declared(paths: DataFrame, attributes: DataFrame | None) -> DataFrame:
 
     def rules(batches):
         for pdf in batches:
-            rows = [(d, r[0], "(?i)" + r[1], *r[2:]) for d, t in zip(pdf["dir"], pdf["content"]) if t for r in parse_attributes(t)]
-            yield pd.DataFrame(rows, columns=["dir", "line", "regex", "attr", "value"])
+            rows = [(d, r[0], nth, "(?i)" + r[1], *r[2:]) for d, t in zip(pdf["dir"], pdf["content"]) if t for nth, r in enumerate(parse_attributes(t))]
+            yield pd.DataFrame(rows, columns=["dir", "line", "nth", "regex", "attr", "value"])
 
-    table = attributes.select(unified(F.col("dir")).alias("dir"), "content").mapInPandas(rules, "dir string, line int, regex string, attr string, value boolean")
+    table = attributes.select(unified(F.col("dir")).alias("dir"), "content").mapInPandas(rules, "dir string, line int, nth int, regex string, attr string, value boolean")
     parts = F.split("unified", "/")
     up = paths.select("path", "unified", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth")).withColumn("dir", F.array_join(F.slice(F.split("unified", "/"), 1, F.col("depth")), "/"))
     rest = F.array_join(F.slice(F.split("unified", "/"), F.col("depth") + 1, F.size(F.split("unified", "/"))), "/")
     hits = up.withColumn("rest", rest).join(table, "dir").where(F.expr("rest rlike regex"))
-    last = lambda a: F.max_by(F.when(F.col("attr") == a, F.col("value")), F.when(F.col("attr") == a, F.struct("depth", "line")))
+    last = lambda a: F.max_by(F.struct("value"), F.when(F.col("attr") == a, F.struct("depth", "line", "nth")))["value"]
     won = hits.groupBy("path").agg(last("generated").alias("says_generated"), last("vendored").alias("says_vendored"))
     return paths.select("path").join(won, "path", "left")
 
@@ -271,39 +286,74 @@ def content_evidence(symbols: DataFrame, code_blocks: DataFrame, dense_share: fl
     )
 
 
-def path_shapes(path: Column) -> Column:
-    """The directory names of a path, and its file-name shapes: what names have in common around the varying word."""
+def attribute_files(file_paths: DataFrame, symbols: DataFrame, code_blocks: DataFrame, name: str = ".gitattributes") -> DataFrame | None:
+    """`dir, content` of the attribute files among the indexed files; None where no path has the name."""
+    at = need(file_paths, "path", "file_id").where("file_id is not null").withColumn("u", F.regexp_replace("path", r"\\", "/")).where(F.col("u").endswith("/" + name)).select("file_id", F.regexp_replace("u", "/[^/]*$", "").alias("dir")).distinct()
+    if at.isEmpty():
+        return None
+    owner = need(symbols, "id", "file_id").distinct().join(at, "file_id").select(F.col("id").alias("symbol_id"), "dir")
+    text = need(code_blocks, "id", "symbol_id", "block_index", "content").where("content is not null").join(owner, "symbol_id").dropDuplicates(["dir", "id"])
+    # an attribute file is a short list of lines
+    return text.groupBy("dir").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("symbol_id", "block_index", "content"))), lambda x: x["content"]), "\n").alias("content"))
+
+
+def repository_depths(paths: DataFrame, attributes: DataFrame | None) -> DataFrame:
+    """`unified, depth, declares`: how many leading directories of a path name its repository, and whether that has attribute files.
+
+    The repository is the directory of the topmost attribute file above a path, where
+    there is one; else the child of the first directory, from the top, that branches:
+    directories with a single child only lead there.
+    """
+    parts = F.split("unified", "/")
+    p = paths.select("unified").distinct().withColumn("parts", parts).where(F.size("parts") > 1)
+    up = p.select("unified", F.size("parts").alias("n"), F.posexplode(F.slice("parts", 1, F.size("parts") - 1)).alias("at", "name"), "parts").select("unified", "n", (F.col("at") + 1).alias("depth"), F.array_join(F.slice("parts", 1, F.col("at") + 1), "/").alias("dir"), F.get("parts", F.col("at") + 1).alias("child"))
+    forks = up.groupBy("dir").agg(F.min("child").alias("a"), F.max("child").alias("b")).where("a != b").select("dir")
+    # nothing branches at a file: the repository has at least one directory
+    found = up.join(forks, "dir").groupBy("unified").agg(F.least(F.min("depth") + 1, F.max("n") - 1).alias("depth"))
+    if attributes is not None:
+        own = up.join(attributes.select(unified(F.col("dir")).alias("dir")).distinct(), "dir").groupBy("unified").agg(F.min("depth").alias("own"))
+        return found.join(own, "unified", "full_outer").select("unified", F.coalesce("own", "depth").alias("depth"), F.col("own").isNotNull().alias("declares"))
+    return found.withColumn("declares", F.lit(False))
+
+
+def path_shapes(path: Column, depth: Column) -> Column:
+    """The directory names of a path below its repository, and its file-name shapes: what names have in common around the varying word."""
     base = F.element_at(F.split(path, "/"), -1)
     ext = F.regexp_extract(base, r"(\.[^.]+)$", 1)
     stem = F.regexp_replace(base, r"\.[^.]+$", "")
     tail = F.concat(F.lit("tail:"), F.regexp_extract(stem, r"([._-][A-Za-z0-9]+)$", 1), ext)
     head = F.concat(F.lit("head:"), F.regexp_extract(stem, r"^([A-Za-z0-9]+[._-])", 1), ext)
-    dirs = F.transform(F.filter(F.slice(F.split(path, "/"), 4, 1000), lambda x: ~x.contains(".")), lambda x: F.concat(F.lit("dir:"), x))
+    below = F.slice(F.split(path, "/"), F.coalesce(depth, F.lit(0)) + 1, F.lit(1000))
+    dirs = F.transform(F.filter(below, lambda x: ~x.contains(".")), lambda x: F.concat(F.lit("dir:"), x))
     return F.array_distinct(F.filter(F.concat(dirs, F.array(tail, head)), lambda x: ~x.rlike(r"^(?:tail|head):\.") & (x != "tail:") & (x != "head:")))
 
 
 def mined_shapes(evidence: DataFrame, least_files: int = 12, least_roots: int = 5, purity: float = 0.95) -> DataFrame:
-    """`shape`: path shapes that, over the whole collection, go with such contents.
+    """`shape`: path shapes that, over the whole collection, go with such files.
 
-    evidence(file_id, root, unified, shown). A shape counts by its distinct files
-    in at least `least_roots` repositories, of which at least `purity` must show it.
+    evidence(file_id, root, unified, depth, shown, declares): `shown` is what the
+    repository declares of the file, else what its contents show; `declares`: the
+    repository has attribute files. A shape counts by its distinct files in at least
+    `least_roots` repositories, of which at least `purity` are such; either over all
+    repositories, or over those that declare.
     """
-    shapes = evidence.select("file_id", "root", "shown", F.explode(path_shapes(F.col("unified"))).alias("shape")).distinct()
-    return (
-        shapes.groupBy("shape")
-        .agg(F.count("*").alias("n"), F.approx_count_distinct("root").alias("roots"), F.avg(F.col("shown").cast("int")).alias("share"))
-        .where((F.col("n") >= least_files) & (F.col("roots") >= least_roots) & (F.col("share") >= purity))
-        .select("shape")
-    )
+    shapes = evidence.select("file_id", "root", "shown", "declares", F.explode(path_shapes(F.col("unified"), F.col("depth"))).alias("shape")).distinct()
+    per_root = shapes.groupBy("shape", "root").agg(F.count("*").alias("n"), F.sum(F.col("shown").cast("int")).alias("k"), F.max("declares").alias("declares"))
+    those = lambda c: F.sum(F.when(F.col("declares"), F.col(c)).otherwise(0))
+    sums = per_root.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.sum("k").alias("k"), those("n").alias("n2"), F.count(F.when(F.col("declares"), 1)).alias("roots2"), those("k").alias("k2"))
+    enough = lambda n, roots, k: (F.col(n) >= least_files) & (F.col(roots) >= least_roots) & (F.col(k) >= purity * F.col(n))
+    return sums.where(enough("n", "roots", "k") | enough("n2", "roots2", "k2")).select("shape")
 
 
 def classify_paths(file_paths: DataFrame, symbols: DataFrame, code_blocks: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
     """One row per distinct path: `path, generated, vendored, minified, data, mined, by_attribute, foreign`.
 
-    `foreign` is the verdict: not hand-written own source. A repository's own
-    attribute file overrides all other evidence, for either answer. A file's
-    contents speak for all of its paths, and so does a default rule that one of its
-    paths meets. Defined results: null paths are left out; a path without a usable
+    `foreign` is the verdict: not hand-written own source. What a repository's own
+    attribute files say overrides other evidence, each attribute by itself: `-generated`
+    clears what machines make (generated, minified, data), `-vendored` what is copied,
+    and either a mined shape. `by_attribute` is true or false where attributes decided.
+    A file's contents speak for all of its paths, and so does a default rule that one of
+    its paths meets. Defined results: null paths are left out; a path without a usable
     file or blocks is judged by itself; several files under one path are all
     looked at; repeated rows count once; either slash style and drive letters are
     read alike; null and empty contents are no evidence.
@@ -319,22 +369,27 @@ def classify_paths(file_paths: DataFrame, symbols: DataFrame, code_blocks: DataF
     # the evidence of all paths of a file
     by_file = seen.groupBy("file_id").agg(*(F.max(c).alias(f"file_{c}") for c in ("rule_generated", "rule_vendored"))).where("file_id is not null")
     seen = seen.join(by_file, "file_id", "left")
-    seen = seen.withColumn("shown", F.col("generated") | F.col("vendored") | F.col("minified") | F.col("data"))
-    mined = mined_shapes(seen.where("file_id is not null").select("file_id", F.regexp_extract("unified", r"^((?:[^/]+/){0,3})", 1).alias("root"), "unified", "shown"))
+    said = declared(paths.select("path", "unified").distinct(), attributes)
+    if attributes is None:
+        seen = seen.withColumns({"says_generated": F.lit(None).cast("boolean"), "says_vendored": F.lit(None).cast("boolean")})
+    else:
+        seen = seen.join(said, "path", "left")
+    says = F.when(F.col("says_generated") | F.col("says_vendored"), True).when(F.col("says_generated").isNotNull() | F.col("says_vendored").isNotNull(), False)
+    seen = seen.withColumn("shown", F.coalesce(says, F.col("generated") | F.col("vendored") | F.col("minified") | F.col("data")))
+    seen = seen.join(repository_depths(paths, attributes), "unified", "left").withColumn("declares", F.coalesce("declares", F.lit(False))).withColumn("root", F.array_join(F.slice(F.split("unified", "/"), F.lit(1), F.coalesce("depth", F.lit(0))), "/"))
+    mined = mined_shapes(seen.where("file_id is not null").select("file_id", "root", "unified", "depth", "shown", "declares"))
     # a shape is short and occurs in many repositories: the list is small, but the join doesn't rely on it
-    by_shape = seen.select("path", F.explode(path_shapes(F.col("unified"))).alias("shape")).distinct().join(mined, "shape", "left_semi").select("path").distinct().withColumn("mined", F.lit(True))
+    by_shape = seen.select("path", F.explode(path_shapes(F.col("unified"), F.col("depth"))).alias("shape")).distinct().join(mined, "shape", "left_semi").select("path").distinct().withColumn("mined", F.lit(True))
     verdict = seen.groupBy("path").agg(
         F.max(F.col("generated") | F.coalesce("file_rule_generated", "rule_generated")).alias("generated"),
         F.max(F.col("vendored") | F.coalesce("file_rule_vendored", "rule_vendored")).alias("vendored"),
         F.max("minified").alias("minified"),
         F.max("data").alias("data"),
+        *(F.max(c).alias(c) for c in ("says_generated", "says_vendored")),
     )
-    said = declared(paths.select("path", "unified").distinct(), attributes)
     out = verdict.join(by_shape, "path", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
-    if attributes is not None:
-        out = out.join(said, "path", "left")
-    else:
-        out = out.withColumns({"says_generated": F.lit(None).cast("boolean"), "says_vendored": F.lit(None).cast("boolean")})
-    by_attribute = F.when(F.coalesce("says_generated", F.lit(False)) | F.coalesce("says_vendored", F.lit(False)), True).when(F.col("says_generated").isNotNull() | F.col("says_vendored").isNotNull(), False)
-    any_ = F.col("generated") | F.col("vendored") | F.col("minified") | F.col("data") | F.col("mined")
-    return out.withColumn("by_attribute", by_attribute).withColumn("foreign", F.coalesce("by_attribute", any_)).drop("says_generated", "says_vendored")
+    made = F.coalesce("says_generated", F.col("generated") | F.col("minified") | F.col("data"))
+    copied = F.coalesce("says_vendored", F.col("vendored"))
+    by_shape = F.col("mined") & F.coalesce("says_generated", F.lit(True)) & F.coalesce("says_vendored", F.lit(True))
+    out = out.withColumn("foreign", made | copied | by_shape)
+    return out.withColumn("by_attribute", F.when(F.col("says_generated").isNotNull() | F.col("says_vendored").isNotNull(), F.col("foreign"))).drop("says_generated", "says_vendored")

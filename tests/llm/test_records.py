@@ -24,6 +24,43 @@ def test_attribute_globs_and_precedence(spark):
     assert got == {"r/a.x": True, "r/sub/a.x": False, "r/sub/b.x": False, "q/a.x": None}
 
 
+def test_macros_quotes_and_unspecified(spark):
+    rules = sources.parse_attributes('[attr]made generated -text\n"a b/*.c" made\n*.h !vendored -generated\n*.z -made\n\n*.q\n"x\\"y" vendored\n')
+    assert [(n, a, v) for n, _, a, v in rules] == [(1, "generated", True), (2, "vendored", None), (2, "generated", False), (6, "vendored", True)]
+    assert __import__("re").match(rules[0][1], "a b/x.c") and __import__("re").match(rules[-1][1], 'x"y')
+    paths = spark.createDataFrame([("r/lib/a.h", "r/lib/a.h"), ("r/lib/a.c", "r/lib/a.c")], "path string, unified string")
+    attrs = spark.createDataFrame([("r", "lib/** vendored generated\n*.h !vendored -generated")], "dir string, content string")
+    got = {r["path"]: (r["says_generated"], r["says_vendored"]) for r in sources.declared(paths, attrs).collect()}
+    assert got == {"r/lib/a.h": (False, None), "r/lib/a.c": (True, True)}
+
+
+def test_repositories_are_found_in_the_tree(spark):
+    names = ["srv/code/one/src/a.py", "srv/code/one/b.py", "srv/code/two/lib/x/c.py", "work/r1/a.c", "work/r2/b.c", "lone/x/y.py", "top.py", "declared/deep/er/in/z.py", "declared/deep/er/q.py"]
+    paths = spark.createDataFrame([(n,) for n in names], "unified string")
+    attrs = spark.createDataFrame([("/declared/deep", "x"), ("/declared/deep/er", "y")], "dir string, content string")
+    root = lambda a: {r["unified"]: "/".join(r["unified"].split("/")[: r["depth"]]) for r in sources.repository_depths(paths, a).collect()}
+    want = {names[0]: "srv/code/one", names[1]: "srv/code/one", names[2]: "srv/code/two", names[3]: "work/r1", names[4]: "work/r2", names[7]: "declared/deep/er/in", names[8]: "declared/deep/er"}
+    assert root(None) == want
+    assert root(attrs) == want | {names[7]: "declared/deep", names[8]: "declared/deep"}
+
+
+def test_attributes_count_apart_and_teach_other_repositories(spark):
+    # 6 repositories declare what lies in `made/`; one that declares nothing has such a directory too
+    files = [(f"/c/r{r}/made/x{i}.py", 100 * r + i, None) for r in range(7) for i in range(3)] + [(f"/c/r{r}/own/x{i}.py", 1000 + 100 * r + i, None) for r in range(7) for i in range(3)]
+    files += [(f"/c/r{r}/.gitattributes", 5000 + r, None) for r in range(6)] + [("/c/r0/vendor/v.py", 9000, None), ("/c/r1/vendor/v.py", 9001, None)]
+    symbols = spark.createDataFrame([(i, f, "") for i, (_, f, _) in enumerate(files)], "id bigint, file_id bigint, path string")
+    said = lambda p: ("made/** generated\nvendor/** -generated" + ("\nvendor/** -vendored" if "/r1/" in p else "")) if p.endswith("attributes") else "x = first + second"
+    blocks = spark.createDataFrame([(i, i, 0, said(p), None) for i, (p, _, _) in enumerate(files)], BLOCK)
+    paths = spark.createDataFrame(files, PATHS)
+    attributes = sources.attribute_files(paths, symbols, blocks)
+    assert attributes.count() == 6
+    got = {r["path"]: r for r in sources.classify_paths(paths, symbols, blocks, attributes).collect()}
+    foreign = {p for p, r in got.items() if r["foreign"]}
+    assert foreign == {p for p, _, _ in files if "/made/" in p} | {"/c/r0/vendor/v.py"}
+    assert got["/c/r6/made/x0.py"]["mined"] and got["/c/r6/made/x0.py"]["by_attribute"] is None and got["/c/r1/vendor/v.py"]["by_attribute"] is False
+    assert sources.attribute_files(paths.where("path like '%.py'"), symbols, blocks) is None
+
+
 def test_contents():
     e = sources.block_evidence
     assert e("// Code generated by foo 1.2.3. DO NOT EDIT.\nx = 1")[3] and e("/*\n * Bundled copy of zip-1.2.0; report\n * bugs to zip upstream\n */")[4]
@@ -73,8 +110,8 @@ def test_repeated_blocks_count_once(spark):
 
 
 def test_mined_shapes(spark):
-    rows = [(i, f"r{i % 6}", f"srv/code/r{i % 6}/odd/x{i}.py", True) for i in range(30)] + [(100 + i, f"r{i % 6}", f"srv/code/r{i % 6}/own/x{i}.py", i == 0) for i in range(30)]
-    got = {r["shape"] for r in sources.mined_shapes(spark.createDataFrame(rows, "file_id bigint, root string, unified string, shown boolean")).collect()}
+    rows = [(i, f"r{i % 6}", f"srv/code/r{i % 6}/odd/x{i}.py", 3, True, False) for i in range(30)] + [(100 + i, f"r{i % 6}", f"srv/code/r{i % 6}/own/x{i}.py", 3, i == 0, False) for i in range(30)]
+    got = {r["shape"] for r in sources.mined_shapes(spark.createDataFrame(rows, "file_id bigint, root string, unified string, depth int, shown boolean, declares boolean")).collect()}
     assert got == {"dir:odd"}
 
 
