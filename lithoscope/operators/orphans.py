@@ -16,6 +16,8 @@ from lithoscope.session import materialise, need
 
 #: Rows of one key and period are spread over so many tasks when rows are looked up.
 SALTS = 8
+#: The period of rows without a time.
+NEVER = -1
 
 
 def month_number(ts: Column) -> Column:
@@ -50,11 +52,11 @@ def dictionary(names: DataFrame) -> DataFrame:
     return materialise(names.where("name is not null").select("name").distinct().select("name", F.monotonically_increasing_id().alias("key")), "dictionary")
 
 
-def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
+def orphans(refs: DataFrame, parents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """`period, src_key, ref_key` of refs(src_key, ref, ts) without a usable parent(ref, since).
 
     `ref` is an integer or a name. A reference is a case unless a parent with its
-    key has `since` not after `ts`. Defined results: a null `ref` is no reference;
+    key has `since` not after `ts`, or its key is in known(ref). Defined results: a null `ref` is no reference;
     a null `ts` can't be after any `since`, so it is a case, of the null period;
     parents with a null key or `since` are unusable; repeats count once.
     """
@@ -66,6 +68,8 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
     asked = firsts.where("period is not null").select("ref", "period").distinct()
     have = since.select("ref", month_number(F.col("since")).alias("period"))
+    if known is not None:  # at the distinct keys, where no key has more than a row per period
+        asked = asked.join(known, "ref", "left_anti")
     named = refs.schema["ref"].dataType.simpleString() == "string"
     if named:
         codes = dictionary(asked.select(F.col("ref").alias("name")))
@@ -76,11 +80,13 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     left = missing_keys(asked, have)
     left = left.join(codes, "key").select(F.col("name").alias("ref"), "period") if named else left.select(F.col("key").alias("ref"), "period")
 
+    timeless = firsts.where("period is null").select("ref").distinct()
+    timeless = timeless if known is None else timeless.join(known, "ref", "left_anti")
+    left = left.unionByName(timeless.select("ref", F.lit(NEVER).alias("period")))
     left = left.join(since, "ref", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = firsts.withColumn("salt", F.pmod(F.xxhash64("src_key"), F.lit(SALTS)).cast("int"))
-    late = rows.join(left, ["ref", "period", "salt"]).where("since is null or ts < since")
-    timeless = rows.where("period is null")
-    return late.select("month", "src_key", "ref").unionByName(timeless.select("month", "src_key", "ref")).select(F.col("month").alias("period"), "src_key", F.col("ref").cast("string").alias("ref_key"))
+    rows = firsts.withColumn("period", F.coalesce("period", F.lit(NEVER))).withColumn("salt", F.pmod(F.xxhash64("src_key"), F.lit(SALTS)).cast("int"))
+    late = rows.join(left, ["ref", "period", "salt"]).where("since is null or ts is null or ts < since")
+    return late.select(F.col("month").alias("period"), "src_key", F.col("ref").cast("string").alias("ref_key"))
 
 
 def orphan_report(symbol_refs: DataFrame, external_refs: DataFrame, file_paths: DataFrame, symbols: DataFrame, files: DataFrame, known_externals: DataFrame) -> DataFrame:
@@ -91,7 +97,7 @@ def orphan_report(symbol_refs: DataFrame, external_refs: DataFrame, file_paths:
     known = need(known_externals, "callee_name").select(F.regexp_replace("callee_name", r"(?U)^\s+|\s+$", "").alias("ref")).distinct()
     parts = {
         "symbol_refs": orphans(need(symbol_refs, "caller_id", "callee_id", "recorded_at").select(F.col("caller_id").cast("string").alias("src_key"), F.col("callee_id").alias("ref"), F.col("recorded_at").alias("ts")), live(symbols, "id")),
-        "external_refs": orphans(names.join(known, "ref", "left_anti"), live(symbols, "name")),
+        "external_refs": orphans(names, live(symbols, "name"), known),
         "file_paths": orphans(need(file_paths, "path", "file_id", "seen_at").select(F.col("path").alias("src_key"), F.col("file_id").alias("ref"), F.col("seen_at").alias("ts")), live(files, "file_id")),
     }
     out = None

@@ -57,28 +57,36 @@ def bm25(docs: DataFrame, key: str, columns: list[str], query: str, strict: bool
     the index is never built or moved whole.
     """
     q = query_terms(query, strict)
-    p = postings(docs, key, *columns, only=q)
-    stats = doc_stats(docs, *columns)
+    return score_postings(postings(docs, key, *columns, only=q), doc_stats(docs, *columns), len(q))
+
+
+def score_postings(p: DataFrame, stats: DataFrame, n_terms: int) -> DataFrame:
+    """`doc, score` from the postings (term, doc, tf, len) of a query's terms and stats(n, avg_len)."""
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     x = p.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row per term, one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, LEAST_IDF).otherwise(raw)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return x.groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("k")).where(F.col("k") == len(q)).drop("k")
+    return x.groupBy("doc").agg(F.sum(part).alias("score"), F.count("*").alias("k")).where(F.col("k") == n_terms).drop("k")
 
 
 def vector_scores(ix: CodeIndex, embeddings: DataFrame, query: list[float], model: str | None) -> DataFrame:
     """`doc, score`: best cosine similarity of each symbol's blocks with the query vector."""
+    return vector_rows(ix, embeddings, query, model).groupBy("doc").agg(F.max("score").alias("score"))
+
+
+def vector_rows(ix: CodeIndex, embeddings: DataFrame, query: list[float], model: str | None) -> DataFrame:
+    """`doc, score`, one row for each block: the cosine similarity of its vector with the query vector."""
     e = embeddings.where("vector is not null")
     e = e.where(F.col("model") == model) if model else e
     e = e.where(F.size("vector") == len(query)).select("content_hash", "vector").withColumn("q", F.array(*[F.lit(float(x)) for x in query]))
-    e = e.select("content_hash", cosine("vector", "q").alias("s")).groupBy("content_hash").agg(F.max("s").alias("s"))
-    return ix.blocks.select("symbol_id", "content_hash").join(e, "content_hash").groupBy(F.col("symbol_id").alias("doc")).agg(F.max("s").alias("score"))
+    e = e.select("content_hash", cosine("vector", "q").alias("s")).groupBy("content_hash").agg(F.max("s").alias("score"))
+    return ix.blocks.select(F.col("symbol_id").alias("doc"), "content_hash").join(e, "content_hash").select("doc", "score")
 
 
-def top(scores: DataFrame, k: int, best_first: bool = True) -> DataFrame:
-    """`doc, score, rank` of the k best: a limit per partition first, then a rank over k rows."""
-    order = [F.desc("score") if best_first else F.asc("score"), F.asc("doc")]
+def top(scores: DataFrame, k: int, best_first: bool = True, more: tuple[str, ...] = ()) -> DataFrame:
+    """`doc, score, rank` of the k best: a limit per partition first, then a rank over k rows. `more`: further columns of the order."""
+    order = [F.desc("score") if best_first else F.asc("score"), F.asc("doc"), *map(F.asc, more)]
     few = scores.where("score is not null").orderBy(*order).limit(k)
     return few.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
 
@@ -109,24 +117,42 @@ def multiplier() -> Column:
     return F.when(F.col("kind").isin("field", "variable"), 0.5).otherwise(1.0) * F.when(test, 0.5).otherwise(1.0) * F.when(F.col("described"), 2.5).otherwise(1.0)
 
 
-def hybrid_search(ix: CodeIndex, embeddings: DataFrame, text: str, vector: list[float] | None, n: int = 20, model: str | None = None, exts: tuple[str, ...] = (), directory: str = "", tags: dict[str, str] | None = None, min_score: float = 0.0, strict: bool = False, rerank: Callable[[pd.DataFrame], list[int]] | None = None) -> DataFrame:
+def hybrid_search(ix: CodeIndex, embeddings: DataFrame, text: str, vector: list[float] | None, n: int = 20, model: str | None = None, exts: tuple[str, ...] = (), directory: str = "", tags: dict[str, str] | None = None, min_score: float = 0.0, strict: bool = False, rerank: Callable[[pd.DataFrame], list[int]] | None = None, indexes: tuple | None = None, compat: bool = False) -> DataFrame:
     """`doc, kind, name, path, line, end_line, score` of the n best symbols.
 
     Each leg ranks the 20 n best; a symbol's score is the sum of its legs' reciprocal
     ranks; the n best are then weighted by kind, place and description. `rerank`
     gets the n rows and returns their positions in a new order; positions that it
-    leaves out follow, and an error keeps the order.
+    leaves out follow, and an error keeps the order. `indexes`: the full-text indexes
+    (`TextIndex`) of symbols and of blocks, in place of the texts. `compat`: legs rank
+    rows, one for each block and path, within the 20 n; a symbol's rank is its worst, and
+    its weight is applied once for each of its paths.
     """
     ok = allowed(ix, exts, directory, tags)
     keep = lambda df: df.join(ok.select("doc"), "doc", "left_semi")
     blocks = ix.blocks.where("content is not null")
-    by_block = bm25(blocks, "id", ["content"], text, strict).join(blocks.select(F.col("id").alias("doc"), "symbol_id"), "doc").groupBy(F.col("symbol_id").alias("doc")).agg(F.max("score").alias("score"))
-    legs = [top(keep(bm25(ix.symbols, "id", ["name", "description"], text, strict)), 20 * n), top(keep(by_block), 20 * n)]
-    if vector is not None:
-        legs.append(top(keep(vector_scores(ix, embeddings, vector, model)), 20 * n))
+    found = bm25(blocks, "id", ["content"], text, strict) if indexes is None else indexes[1].bm25(text, strict)
+    by_block = found.join(blocks.select(F.col("id").alias("doc"), "symbol_id"), "doc").select(F.col("symbol_id").alias("doc"), "score")
+    by_symbol = bm25(ix.symbols, "id", ["name", "description"], text, strict) if indexes is None else indexes[0].bm25(text, strict)
+    if compat:
+        per_path = ix.symbols.select(F.col("id").alias("doc"), "file_id").join(ok.select("doc"), "doc", "left_semi").join(ix.scope, "file_id").select("doc", "path")
+        legs = [by_symbol.join(per_path, "doc"), by_block.join(per_path, "doc")]
+        if vector is not None:
+            legs.append(vector_rows(ix, embeddings, vector, model).join(per_path, "doc"))
+        legs = [top(leg, 20 * n, more=("path",)).groupBy("doc").agg(F.max("rank").alias("rank")) for leg in legs]
+    else:
+        legs = [top(keep(by_symbol), 20 * n), top(keep(by_block.groupBy("doc").agg(F.max("score").alias("score"))), 20 * n)]
+        if vector is not None:
+            legs.append(top(keep(vector_scores(ix, embeddings, vector, model)), 20 * n))
     fused = reduce(DataFrame.unionByName, legs).groupBy("doc").agg(F.sum(rrf("rank")).alias("score")).where(F.col("score") >= min_score)
     best = fused.orderBy(F.desc("score"), "doc").limit(n)
-    out = best.join(ok, "doc").withColumn("score", F.col("score") * multiplier()).orderBy(F.desc("score"), "doc")
+    out = best.join(ok, "doc")
+    weight = multiplier()
+    if compat:
+        all_paths = per_path.join(best.select("doc"), "doc", "left_semi").withColumnRenamed("path", "at").join(ok.select("doc", "kind", "described"), "doc")
+        every = all_paths.withColumnRenamed("at", "path").groupBy("doc").agg(F.product(multiplier()).alias("weight"))
+        out, weight = out.join(every, "doc"), F.col("weight")
+    out = out.withColumn("score", F.col("score") * weight).drop("weight").orderBy(F.desc("score"), "doc")
     return out if rerank is None else reranked(out, rerank)
 
 

@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithoscope.operators import browse, search
+from lithoscope.operators.textindex import TextIndex
 from lithoscope.plans.index import UNDER, VIEWS, CodeIndex
+from lithoscope.session import scratch_path
 
 QUERY = "queue return"
+#: The indexes that this driver has built, by application and data folder.
+_BUILT: dict[tuple[str, str], tuple[TextIndex, TextIndex]] = {}
+
+
+def indexes(ix: CodeIndex) -> tuple[TextIndex, TextIndex]:
+    """The full-text indexes of symbols and blocks of a data folder: built at the first query, kept for the others."""
+    key = (ix.spark.sparkContext.applicationId, ix.folder)
+    if key not in _BUILT:
+        symbols = TextIndex(ix.spark, scratch_path(ix.spark, "symbol-index"), 16).build(ix.symbols, "id", ["name", "description"])
+        blocks = TextIndex(ix.spark, scratch_path(ix.spark, "block-index"), 16).build(ix.blocks.where("content is not null"), "id", ["content"])
+        _BUILT[key] = (symbols, blocks)
+    return _BUILT[key]
 
 
 def _vector(ix):
@@ -21,21 +35,42 @@ def vector_topk(spark, d):
 
 
 def bm25_symbols(spark, d):
-    return search.bm25(CodeIndex(spark, d).symbols, "id", ["name", "description"], "the planner").select("doc", F.round("score", 9).alias("score"))
+    return indexes(CodeIndex(spark, d))[0].bm25("the planner").select("doc", F.round("score", 9).alias("score"))
 
 
 def bm25_blocks(spark, d):
+    return indexes(CodeIndex(spark, d))[1].bm25(QUERY).select("doc", F.round("score", 9).alias("score"))
+
+
+def bm25_scan(spark, d):
+    """The same without an index."""
     return search.bm25(CodeIndex(spark, d).blocks.where("content is not null"), "id", ["content"], QUERY).select("doc", F.round("score", 9).alias("score"))
 
 
+def bm25_updated(spark, d):
+    """After an update: half of the blocks were indexed first, some of them with another text; some blocks were removed."""
+    b = CodeIndex(spark, d).blocks.where("content is not null")
+    old = b.where("id % 2 = 0 or id % 5 = 0").withColumn("content", F.when(F.col("id") % 5 == 0, "queue queue return").otherwise(F.col("content")))
+    index = TextIndex(spark, scratch_path(spark, "updated-index"), 4).build(old, "id", ["content"])
+    index.update(b.where("id % 2 = 1 or id % 5 = 0"), "id", ["content"])
+    index.update(b.where("false"), "id", ["content"], b.where("id % 7 = 0").select(F.col("id").alias("doc")))
+    return index.bm25(QUERY).select("doc", F.round("score", 9).alias("score"))
+
+
+def hybrid_compat(spark, d):
+    """Ranks and weights per row, as the original counts them."""
+    ix = CodeIndex(spark, d)
+    return search.hybrid_search(ix, ix.raw("block_embeddings"), QUERY, _vector(ix), 20, "codevec-s", indexes=indexes(ix), compat=True).select("doc", F.round("score", 9).alias("score"))
+
+
 def hybrid_search(spark, d):
     ix = CodeIndex(spark, d)
-    return search.hybrid_search(ix, ix.raw("block_embeddings"), QUERY, _vector(ix), 20, "codevec-s").select("doc", "kind", "name", "path", F.round("score", 9).alias("score"))
+    return search.hybrid_search(ix, ix.raw("block_embeddings"), QUERY, _vector(ix), 20, "codevec-s", indexes=indexes(ix)).select("doc", "kind", "name", "path", F.round("score", 9).alias("score"))
 
 
 def hybrid_filtered(spark, d):
     ix = CodeIndex(spark, d)
-    return search.hybrid_search(ix, ix.raw("block_embeddings"), "return", None, 20, exts=(".py", ".go"), directory="/src/", tags=None).select("doc", "path", search.compact_hit().alias("text"), F.round("score", 9).alias("score"))
+    return search.hybrid_search(ix, ix.raw("block_embeddings"), "return", None, 20, exts=(".py", ".go"), directory="/src/", tags=None, indexes=indexes(ix)).select("doc", "path", search.compact_hit().alias("text"), F.round("score", 9).alias("score"))
 
 
 def retrieval_metrics(spark, d):
@@ -56,7 +91,7 @@ def retrieval_metrics(spark, d):
 
 def hybrid_verbose(spark, d):
     ix = CodeIndex(spark, d)
-    hits = search.hybrid_search(ix, ix.raw("block_embeddings"), "return", None, 20, exts=(".py", ".go"), directory="/src/", tags=None)
+    hits = search.hybrid_search(ix, ix.raw("block_embeddings"), "return", None, 20, exts=(".py", ".go"), directory="/src/", tags=None, indexes=indexes(ix))
     return search.verbose_hits(ix, hits, refs=True)
 
 
@@ -68,7 +103,7 @@ def snippet_text(spark, d):
 def hybrid_reranked(spark, d):
     ix = CodeIndex(spark, d)
     best = lambda rows: sorted(range(len(rows)), key=lambda i: (rows["name"][i], rows["doc"][i]))[:5]
-    return search.hybrid_search(ix, ix.raw("block_embeddings"), "return", None, 20, exts=(".py", ".go"), directory="/src/", rerank=best).select("doc", "position")
+    return search.hybrid_search(ix, ix.raw("block_embeddings"), "return", None, 20, exts=(".py", ".go"), directory="/src/", rerank=best, indexes=indexes(ix)).select("doc", "position")
 
 
 def scope_of_both_slashes(spark, d):
@@ -174,7 +209,7 @@ def findings_by_severity(spark, d):
     return browse.severity_counts(findings_report(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, bm25_symbols, bm25_blocks, hybrid_search, hybrid_filtered, hybrid_verbose, hybrid_reranked, snippet_text, scope_of_both_slashes, random_sample, evaluation, show_numbered, retrieval_metrics, browse_files, symbol_tree, callers_callees, symbol_detail, deps_graph, deps_adjacency, resolve_file, line_slice, list_tags, tag_filter, summary, recent_files, unindexed, findings_report, findings_json, findings_by_severity)}
+QUERIES = {f.__name__: f for f in (vector_topk, bm25_symbols, bm25_blocks, bm25_scan, bm25_updated, hybrid_compat, hybrid_search, hybrid_filtered, hybrid_verbose, hybrid_reranked, snippet_text, scope_of_both_slashes, random_sample, evaluation, show_numbered, retrieval_metrics, browse_files, symbol_tree, callers_callees, symbol_detail, deps_graph, deps_adjacency, resolve_file, line_slice, list_tags, tag_filter, summary, recent_files, unindexed, findings_report, findings_json, findings_by_severity)}
 
 
 def _terms(x):
@@ -252,3 +287,10 @@ SQL |= {
     "evaluation": f"{VIEWS}, s AS (SELECT id, nullif(line % 5, 0) AS b, nullif(line % 4, 0) AS c FROM sym WHERE id % 3 = 0), a AS (SELECT count(*) AS n, '[' || string_agg(id::VARCHAR, ',' ORDER BY id) || ']' AS ids, round(avg(CASE WHEN b = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS b1, round(avg(coalesce(1.0::DOUBLE / b, 0)), 4) AS b2, round(avg(CASE WHEN c = 1 THEN 1.0::DOUBLE ELSE 0 END), 4) AS c1, round(avg(coalesce(1.0::DOUBLE / c, 0)), 4) AS c2 FROM s) SELECT '{{\"n_samples\":' || n || ',\"symbol_ids\":' || ids || ',\"method_B\":{{\"p_at_1\":' || b1 || ',\"mrr\":' || b2 || '}},\"method_C\":{{\"p_at_1\":' || c1 || ',\"mrr\":' || c2 || '}}}}' AS json FROM a",
     "show_numbered": f"{VIEWS}, h AS (SELECT file_id, min(path) AS path FROM paths GROUP BY file_id), t AS (SELECT id, path, string_split_regex(regexp_replace(snippet, '\\r?\\n$', ''), '\\r?\\n') AS l, snippet FROM sym JOIN h USING (file_id) WHERE snippet IS NOT NULL), n AS (SELECT *, CASE WHEN snippet = '' THEN 0 ELSE len(l) END AS total FROM t), w AS (SELECT *, CASE WHEN least(40, total) < 3 THEN total ELSE least(40, total) END AS wanted FROM n), z AS (SELECT *, least(wanted, 12) AS last FROM w), b AS (SELECT *, [lpad(i::VARCHAR, CAST(length(last::VARCHAR) AS INT), ' ') || '  ' || l[i] FOR i IN range(3, last + 1)] AS body FROM z) SELECT id, md5(CASE WHEN total = 0 THEN '' ELSE path || ' (lines 3-' || last || '/' || total || ')' || CASE WHEN wanted > last THEN ' [truncated; ' || (wanted - last) || ' more lines omitted]' ELSE '' END || chr(10) || array_to_string(body, chr(10)) END) AS shown_md5 FROM b",
 }
+
+_RULES = "SELECT doc, max(r) AS r FROM (SELECT x.doc, row_number() OVER (ORDER BY score DESC, x.doc, p.path) - 1 AS r FROM {x} x JOIN okd USING (doc) JOIN sym s ON s.id = x.doc JOIN paths p ON p.file_id = s.file_id WHERE score IS NOT NULL QUALIFY r < 400) GROUP BY doc"
+SQL |= {
+    "bm25_scan": SQL["bm25_blocks"],
+    "bm25_updated": f"{VIEWS}, " + _bm25("bb", "(SELECT * FROM blocks WHERE content IS NOT NULL AND id % 7 != 0)", "id", _terms("content"), ["queue", "return"]) + " SELECT doc, round(score, 9) AS score FROM bb",
+    "hybrid_compat": f"{VIEWS}, {_VEC.replace('vec AS (SELECT symbol_id AS doc, max(s) AS score FROM blocks JOIN vs USING (content_hash) GROUP BY ALL)', 'vec AS (SELECT symbol_id AS doc, s AS score FROM blocks JOIN vs USING (content_hash))')}, {_SYM_BM(['queue', 'return'])}, {_BLK_BM(['queue', 'return'])}, " + _FUSE.format(where="", legs=" UNION ALL ".join(f"({_RULES.format(x=x)})" for x in ("bs", "b2", "vec"))).replace("b2 AS (SELECT symbol_id AS doc, max(score) AS score FROM bb JOIN blocks ON blocks.id = bb.doc GROUP BY ALL)", "b2 AS (SELECT symbol_id AS doc, score FROM bb JOIN blocks ON blocks.id = bb.doc)") + f" SELECT doc, round(any_value(score) * product({_MULT.replace('path', 'p.path')}), 9) AS score FROM fused JOIN (SELECT doc, kind, described FROM okd) USING (doc) JOIN (SELECT id, file_id FROM sym) s ON s.id = doc JOIN paths p ON p.file_id = s.file_id GROUP BY doc",
+}
