@@ -50,7 +50,24 @@ def simhash64(text: str | None, gram: int = 4) -> int | None:
 
 
 def _simhash(text: pd.Series) -> pd.Series:
-    return pd.Series([simhash64(t if isinstance(t, str) else None) for t in text], dtype="Int64")
+    """`simhash64` of many texts at once: each distinct run of the batch is hashed once."""
+    gram = 4
+    known = [t if isinstance(t, str) else None for t in text]
+    runs = [t[i : i + gram] for t in known if t for i in range(len(t) - gram + 1)]
+    codes, first = pd.factorize(np.array(runs, dtype=object)) if runs else (np.zeros(0, np.int64), [])
+    md5 = hashlib.md5
+    tails = b"".join([md5(r.encode("utf-8", "replace")).digest()[8:] for r in first])
+    bits = np.unpackbits(np.frombuffer(tails, np.uint8).reshape(-1, 8), axis=1)
+    out, at = [], 0
+    for t in known:
+        n = 0 if t is None else max(len(t) - gram + 1, 0)
+        if n:
+            up = 2 * bits[codes[at : at + n]].sum(0, dtype=np.int64) > n
+            out.append(int(np.packbits(up).view(">i8")[0]))
+        else:
+            out.append(None if t is None else 0)
+        at += n
+    return pd.Series(out, dtype="Int64")
 
 
 def simhash(text: str | Column) -> Column:

@@ -58,6 +58,18 @@ def parse_findings(answers: DataFrame, key: str, rules: DataFrame, min_confidenc
     return x.join(rules.select(F.col("rule_name").alias("rule"), "rule_id"), "rule").where(F.col("confidence") >= min_confidence).select(key, "rule_id", "message", "confidence")
 
 
+def parse_file_findings(answers: DataFrame, symbols: DataFrame, rules: DataFrame, min_confidence: float) -> DataFrame:
+    """`symbol_id, rule_id, message, confidence` of answers(path, answer) about whole files.
+
+    The answer names symbols(path, id, name); unknown symbols and rules are left out, and
+    of several symbols of a name in a file the last id counts.
+    """
+    x = answers.select("path", F.explode(F.from_json(first_json("answer"), FINDINGS)).alias("f")).select("path", "f.rule", "f.message", "f.confidence", F.col("f.symbol").alias("name"))
+    by_name = symbols.groupBy("path", "name").agg(F.max("id").alias("symbol_id"))
+    found = x.join(rules.select(F.col("rule_name").alias("rule"), "rule_id"), "rule").where(F.col("confidence") >= min_confidence).join(by_name, ["path", "name"])
+    return found.groupBy("symbol_id", "rule_id").agg(F.max_by(F.struct("message", "confidence"), F.struct("confidence", "message")).alias("r")).select("symbol_id", "rule_id", "r.message", "r.confidence")
+
+
 def merge_findings(old: DataFrame, new: DataFrame) -> DataFrame:
     """One finding per symbol and rule, the new one where there are two."""
     both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)), allowMissingColumns=True)

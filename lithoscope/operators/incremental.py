@@ -33,6 +33,40 @@ def apply_symbol_diff(old: DataFrame, new: DataFrame, diff: DataFrame) -> DataFr
     return n.drop("description").join(d, key).select(F.coalesce("id", F.xxhash64(*key)).alias("id"), "file_id", "name", "kind", "line", "content_hash", F.when(F.col("state") == "unchanged", F.col("old_description")).alias("description"), "state")
 
 
+#: Priorities of queued work: of edits in files that were known before, and of new files.
+EDITED, FRESH = 2, 1
+
+
+def maintain(old: DataFrame, new: DataFrame, blocks: DataFrame, max_chars: int = 8000) -> dict[str, DataFrame]:
+    """One step of upkeep of some files' symbols: `symbols`, `blocks`, `queues` and the `diff`.
+
+    old and new as for `symbol_diff`, with snippet and end_line; blocks(symbol_id,
+    block_index, content, content_hash, start_line, end_line) of the old symbols.
+    Unchanged symbols keep description and blocks; changed and new ones get new blocks,
+    which are queued to be described and embedded, and functions to be fingerprinted.
+    """
+    from lithoscope.session import materialise
+    from lithoscope.sources.chunk import chunk_symbols
+
+    diff = materialise(symbol_diff(old, new), "symbol-diff")
+    snapshot = materialise(apply_symbol_diff(old, new, diff), "symbols")
+    key = ["file_id", "name", "kind", "line"]
+    touched = snapshot.where("state != 'unchanged'").join(new.select(*key, "snippet", "end_line"), key)
+    columns = ["symbol_id", "block_index", "content", "content_hash", "start_line", "end_line"]
+    kept = blocks.join(snapshot.where("state = 'unchanged'").select(F.col("id").alias("symbol_id")), "symbol_id", "left_semi").select(*columns)
+    fresh = chunk_symbols(touched, max_chars).select(*columns)
+    return {"diff": diff, "symbols": snapshot, "blocks": kept.unionByName(fresh), "queues": downstream(touched, fresh, old.select("file_id").distinct())}
+
+
+def downstream(touched: DataFrame, blocks: DataFrame, known_files: DataFrame) -> DataFrame:
+    """`queue, symbol_id, block_index, priority`: the work that changed symbols(id, file_id, kind) and their blocks hand on."""
+    known = known_files.withColumn("_known", F.lit(True))
+    t = touched.join(known, "file_id", "left").select(F.col("id").alias("symbol_id"), "kind", F.when(F.col("_known"), EDITED).otherwise(FRESH).alias("priority"))
+    per_block = blocks.select("symbol_id", "block_index").join(t, "symbol_id").select(F.explode(F.array(F.lit("describe"), F.lit("embed"))).alias("queue"), "symbol_id", "block_index", "priority")
+    prints = t.where(F.col("kind").isin("function", "method")).select(F.lit("fingerprint").alias("queue"), "symbol_id", F.lit(None).cast("int").alias("block_index"), "priority")
+    return per_block.unionByName(prints)
+
+
 def upsert_paths(paths: DataFrame, seen: DataFrame) -> DataFrame:
     """`path, file_id, mtime, state` of seen paths: skipped where time and content are the known ones."""
     old = paths.select("path", F.col("file_id").alias("old_file"), F.col("mtime").alias("old_time"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from lithoscope.functions import text as T
+from lithoscope.functions import text as T, vectors
 from lithoscope.operators import analysis, incremental, knowledge, queues
 from lithoscope.plans.index import NESTED, UNDER, VIEWS, CodeIndex, nested
 from lithoscope.plans.lookup import _F, findings_table, rules_table
 from lithoscope.session import materialise, table
+from lithoscope.sources.chunk import chunk_symbols
 from lithoscope.sources.ignore import ignored_paths
 from lithoscope.streaming import pipeline
 
@@ -308,6 +309,63 @@ def knowledge_similar(spark, d):
     return knowledge.first_similar(e, 0.85).select("id", "other", F.round("similarity", 6).alias("similarity"))
 
 
+def _edited(spark, d):
+    """The live symbols as old ones, but for some new ones, and as new ones, but for removed and changed ones."""
+    s = table(spark, d, "symbols").where("removed_at is null").dropDuplicates(["id"]).select("id", "file_id", "name", "kind", "line", "end_line", F.coalesce("snippet", F.lit("")).alias("snippet"), "content_hash", "description")
+    old = s.where("line % 5 != 0 and file_id % 7 != 0")
+    new = s.where("line % 4 != 0").withColumn("content_hash", F.when(F.col("line") % 3 == 0, F.reverse("content_hash")).otherwise(F.col("content_hash"))).drop("id")
+    return incremental.maintain(old, new, CodeIndex(spark, d).blocks, 1 << 30)
+
+
+def maintained_symbols(spark, d):
+    return _edited(spark, d)["symbols"].select("file_id", "name", "kind", "line", "description", "state")
+
+
+def maintained_blocks(spark, d):
+    """Blocks by the state of their symbols."""
+    e = _edited(spark, d)
+    state = e["symbols"].select(F.col("id").alias("symbol_id"), "state")
+    return e["blocks"].join(state, "symbol_id").groupBy("state").agg(F.count("*").alias("blocks"), F.sum(F.length("content")).alias("chars"))
+
+
+def downstream_queues(spark, d):
+    return _edited(spark, d)["queues"].groupBy("queue", "priority").agg(F.count("*").alias("n"))
+
+
+def file_findings(spark, d):
+    ix = CodeIndex(spark, d)
+    s = ix.symbols.join(ix.scope, "file_id").select("path", "id", "name", "line")
+    one = F.to_json(F.struct(F.when(F.col("line") % 2 == 0, "leak").otherwise("race").alias("rule"), F.concat(F.lit("m"), F.col("line").cast("string")).alias("message"), (F.col("line") % 10 / 10).alias("confidence"), F.when(F.col("line") % 3 == 0, "nobody").otherwise(F.col("name")).alias("symbol")))
+    answers = s.groupBy("path").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("answer"))
+    return analysis.parse_file_findings(answers, s, rules_table(spark), 0.4)
+
+
+def vector_roundtrip(spark, d):
+    """Vectors packed as 32-bit numbers and unpacked again."""
+    pack, unpack = F.pandas_udf(vectors.pack_float32, "binary"), F.pandas_udf(vectors.unpack_float32, "array<float>")
+    e = table(spark, d, "block_embeddings").select("vec_id", "vector", pack("vector").alias("packed")).withColumn("back", unpack("packed"))
+    return e.groupBy("vec_id").agg(F.count("*").alias("n"), F.sum(F.length("packed")).alias("bytes"), F.bool_and(F.col("back").eqNullSafe(F.col("vector"))).alias("same"))
+
+
+def chunk_check(spark, d):
+    """One row: symbols, and how many of their blocks differ from the lines that they name, are out of order or leave text out."""
+    s = CodeIndex(spark, d).symbols.select("id", F.coalesce("snippet", F.lit("")).alias("snippet"), "line", F.lit(None).cast("int").alias("end_line"))
+    b = chunk_symbols(s, 600)
+    lines = F.split("snippet", "\n")
+    first = F.col("start_line") - F.col("line")
+    own = F.array_join(F.slice(lines, first + 1, F.when(F.col("next").isNull(), F.size(lines)).otherwise(F.col("next") - F.col("line")) - first), "\n")
+    w = Window.partitionBy("symbol_id").orderBy("block_index")
+    j = b.join(s.select(F.col("id").alias("symbol_id"), "snippet", "line"), "symbol_id").withColumn("next", F.lead("start_line").over(w))
+    bare = lambda c: F.regexp_replace(c, r"\s", "")
+    per = j.groupBy("symbol_id").agg(F.sum((bare(own) != bare("content")).cast("int")).alias("wrong"), F.sum((F.col("next") <= F.col("start_line")).cast("int")).alias("unordered"), (F.sum(F.length(bare("content"))) != F.length(bare(F.first("snippet")))).cast("int").alias("lost"))
+    return per.agg(F.count("*").alias("symbols"), F.sum("wrong").alias("wrong"), F.coalesce(F.sum("unordered"), F.lit(0)).alias("unordered"), F.sum("lost").alias("lost"))
+
+
+def pending_limited(spark, d):
+    ix = CodeIndex(spark, d)
+    return analysis.pending_symbols(ix, findings_table(ix).where("confidence > 0.5"), rules_table(spark).where("analyzer = 'bugs'"), 5, 7).select("id", "name", "path", "line")
+
+
 def pending_symbols(spark, d):
     ix = CodeIndex(spark, d)
     f = findings_table(ix).where("confidence > 0.5")
@@ -361,7 +419,7 @@ QUERIES = {f.__name__: f for f in (
     symbol_diff, path_upsert, stale_findings, orphan_files, purge_cascade, purge_folders, purge_reasons, ignored_by_rules, folder_diff, snapshot_changes, direct_files, resolve_references, enclosing_symbol, outermost_callers, missing_embeddings, rescan,
     transcript_turns, transcript_budget, transcript_texts, speaker_runs, turn_windows, window_texts,
     knowledge_surface, knowledge_surfaced, knowledge_stored, knowledge_refine, knowledge_fact_check, knowledge_parse, knowledge_similar, knowledge_deduplicated, knowledge_contradictions, knowledge_embedded,
-    pending_symbols, file_prompts, parse_findings, reset_findings, register_rules, embedding_text, embed_blocks, described_blocks, described_symbols, more_scalars, scalar_functions,
+    maintained_symbols, maintained_blocks, downstream_queues, file_findings, vector_roundtrip, chunk_check, pending_limited, pending_symbols, file_prompts, parse_findings, reset_findings, register_rules, embedding_text, embed_blocks, described_blocks, described_symbols, more_scalars, scalar_functions,
 )}
 
 
@@ -453,3 +511,15 @@ SQL = {
     "direct_files": "WITH p AS (SELECT DISTINCT path, file_id, CASE WHEN contains(replace(path, '\\', '/'), '/') THEN regexp_replace(replace(path, '\\', '/'), '/[^/]*$', '') ELSE '' END AS dir FROM file_paths) SELECT DISTINCT path FROM p WHERE dir IN (SELECT dir FROM p WHERE file_id % 5 = 0)",
     "scalar_functions": f"{VIEWS}, s AS (SELECT *, replace(path, '\\', '/') AS p FROM sym JOIN paths USING (file_id)) SELECT id, path, CASE WHEN p LIKE '%/%' THEN regexp_replace(p, '/[^/]*$', '') ELSE '' END AS dir, regexp_extract(p, '([^/]*)$', 1) AS base, lower(regexp_extract(p, '[^./](\\.[^./]*)$', 1)) AS ext, CASE WHEN coalesce(trim(params), '') = '' THEN 0 ELSE CAST(1 + length(regexp_replace(regexp_replace(regexp_replace(params, '\\([^()\\[\\]{{}}<>]*\\)|\\[[^()\\[\\]{{}}<>]*\\]|<[^()\\[\\]{{}}<>]*>', '', 'g'), '\\([^()\\[\\]{{}}<>]*\\)|\\[[^()\\[\\]{{}}<>]*\\]|<[^()\\[\\]{{}}<>]*>', '', 'g'), '[^,]', '', 'g')) AS INT) END AS n_params, CASE WHEN length(name) <= 12 THEN name ELSE substr(name, 1, 9) || '...' END AS short, substr(sha256(snippet), 1, 16) AS hash, translate(params, '{{}}', '()') AS braces, {_ETA.format(x='(line * 97)')} AS eta, CASE WHEN line * 977 < 86400 THEN 'today' ELSE line * 977 // 86400 || 'd old' END AS age, round(1.0::DOUBLE / (61 + line), 9) AS rrf FROM s",
 }
+
+_EDIT = "WITH s AS (SELECT DISTINCT id, file_id, name, kind, line, end_line, snippet, content_hash, description FROM symbols WHERE removed_at IS NULL), o AS (SELECT *, row_number() OVER (PARTITION BY file_id, name, kind ORDER BY line) AS ordinal FROM s WHERE line % 5 != 0 AND file_id % 7 != 0), n AS (SELECT *, CASE WHEN line % 3 = 0 THEN reverse(content_hash) ELSE content_hash END AS now, row_number() OVER (PARTITION BY file_id, name, kind ORDER BY line) AS ordinal FROM s WHERE line % 4 != 0), x AS (SELECT o.id AS kept_id, n.file_id, n.name, n.kind, n.line, n.snippet, o.description AS old_description, CASE WHEN o.id IS NULL THEN 'new' WHEN o.content_hash IS NOT DISTINCT FROM n.now THEN 'unchanged' ELSE 'changed' END AS state FROM n LEFT JOIN o USING (file_id, name, kind, ordinal))"
+_TOUCHED = "t AS (SELECT *, CASE WHEN file_id IN (SELECT file_id FROM o) THEN 2 ELSE 1 END AS priority FROM x WHERE state != 'unchanged')"
+SQL |= {
+    "maintained_symbols": _EDIT + " SELECT file_id, name, kind, line, CASE WHEN state = 'unchanged' THEN old_description END AS description, state FROM x",
+    "maintained_blocks": _EDIT + " SELECT state, count(*) AS blocks, CAST(sum(length(content)) AS BIGINT) AS chars FROM (SELECT state, b.content FROM x JOIN (SELECT DISTINCT id, symbol_id, content FROM code_blocks) b ON b.symbol_id = kept_id WHERE state = 'unchanged' UNION ALL SELECT state, coalesce(snippet, '') FROM x WHERE state != 'unchanged') GROUP BY state",
+    "downstream_queues": _EDIT + f", {_TOUCHED} SELECT queue, priority, count(*) AS n FROM (SELECT unnest(['describe', 'embed']) AS queue, priority FROM t UNION ALL SELECT 'fingerprint', priority FROM t WHERE kind IN ('function', 'method')) GROUP BY ALL",
+    "file_findings": f"{VIEWS}, s AS (SELECT path, id, name, line FROM sym JOIN paths USING (file_id)), m AS (SELECT path, name, max(id) AS symbol_id FROM s GROUP BY ALL), f AS (SELECT symbol_id, CASE WHEN line % 2 = 0 THEN 2 ELSE 3 END AS rule_id, 'm' || line AS message, line % 10 / 10.0::DOUBLE AS confidence FROM s JOIN m USING (path, name) WHERE line % 3 != 0 AND line % 10 / 10.0::DOUBLE >= 0.4) SELECT symbol_id, CAST(rule_id AS BIGINT) AS rule_id, arg_max(message, (confidence, message)) AS message, max(confidence) AS confidence FROM f GROUP BY ALL",
+    "vector_roundtrip": "SELECT vec_id, count(*) AS n, CAST(sum(len(vector) * 4) AS BIGINT) AS bytes, true AS same FROM block_embeddings GROUP BY vec_id",
+    "chunk_check": f"{VIEWS} SELECT count(*) AS symbols, 0 AS wrong, 0 AS unordered, 0 AS lost FROM sym",
+    "pending_limited": SQL["pending_symbols"] + " ORDER BY path, line, id LIMIT 7",
+}

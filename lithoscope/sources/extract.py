@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: File extensions and their languages.
 LANGUAGES = {
@@ -264,13 +264,33 @@ def extract(path: str, content: bytes | None) -> list[Found]:
         return []
 
 
+def packages(files: DataFrame) -> DataFrame:
+    """`path, package`: the dotted package of each Python file: its directories, from the outermost of an unbroken row that have an `__init__.py`."""
+    parts = F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/")
+    p = files.select("path", parts.alias("parts")).where(F.col("path").endswith(".py") & (F.size("parts") > 1))
+    dirs = p.where(F.element_at("parts", -1) == "__init__.py").select(F.array_join(F.slice("parts", 1, F.size("parts") - 1), "/").alias("dir")).distinct().withColumn("held", F.lit(True))
+    up = p.select("path", "parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k")).withColumn("dir", F.array_join(F.slice("parts", 1, F.col("k")), "/"))
+    last = up.join(dirs, "dir", "left").groupBy("path", "parts").agg(F.coalesce(F.max(F.when(F.col("held").isNull(), F.col("k"))), F.lit(0)).alias("outside"))
+    return last.select("path", F.array_join(F.slice("parts", F.col("outside") + 1, F.size("parts") - 1 - F.col("outside")), ".").alias("package")).where("package != ''")
+
+
+def in_package(found: list[Found], package: str | None) -> list[Found]:
+    """Symbols of a Python file with their package in front of the module's name."""
+    if package and found:
+        module = found[0].tags.get("namespace", "")
+        for f in found:
+            f.name, f.tags = f"{package}.{f.name}", f.tags | {"namespace": f"{package}.{module}"}
+            f.calls = sorted(f"{package}.{c}" if c.startswith(module + ".") else c for c in f.calls)
+    return found
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
     """Symbols (SCHEMA) of files(path, content binary)."""
     columns = [c.strip().split(" ")[0] for c in re.sub(r"map<string,string>", "map", SCHEMA).split(",")]
 
     def run(batches):
         for pdf in batches:
-            rows = [(p, s.name, s.kind, s.line, s.end_line, s.params, count_params(s.params), s.depth, s.snippet, s.description, s.tags, s.calls) for p, c in zip(pdf["path"], pdf["content"]) for s in extract(p, c)]
+            rows = [(p, s.name, s.kind, s.line, s.end_line, s.params, count_params(s.params), s.depth, s.snippet, s.description, s.tags, s.calls) for p, c, k in zip(pdf["path"], pdf["content"], pdf["package"]) for s in in_package(extract(p, c), k)]
             yield pd.DataFrame(rows, columns=columns)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").join(packages(files), "path", "left").mapInPandas(run, SCHEMA)

@@ -98,6 +98,32 @@ def git_log(lines: DataFrame) -> DataFrame:
     return ok.select("path", F.trim(p[0]).alias("commit"), F.trim(p[1]).alias("author"), parse_branch(p[2]).alias("branch"))
 
 
+def read_git(paths: DataFrame, git: str = "git") -> DataFrame:
+    """`path, line`: what `git log` says of the newest commit of each path, asked for on the executors; nothing outside of repositories."""
+    import subprocess
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"]:
+                folder, _, base = p.replace("\\", "/").rpartition("/")
+                try:
+                    done = subprocess.run([git, "-C", folder or ".", "log", "-1", "--format=%H|%an|%D", "--", base], capture_output=True, text=True, timeout=30)
+                except (OSError, subprocess.TimeoutExpired):
+                    continue
+                if done.returncode == 0 and done.stdout.strip():
+                    rows.append((p, done.stdout.strip()))
+            yield pd.DataFrame(rows, columns=["path", "line"])
+
+    return paths.select("path").where("path is not null").distinct().mapInPandas(run, "path string, line string")
+
+
+def upsert_repositories(known: DataFrame, roots: DataFrame) -> DataFrame:
+    """`id, path, url`: the known repositories and those of roots(path, url) that are new, under ids from their paths."""
+    new = roots.groupBy("path").agg(F.max("url").alias("url")).join(known.select("path"), "path", "left_anti")
+    return known.select("id", "path", "url").unionByName(new.select(F.xxhash64("path").alias("id"), "path", F.coalesce("url", F.lit("")).alias("url")))
+
+
 def common_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
     """`path, root, rel_path`: the deepest of roots(root) that a path lies under."""
     parts = F.split(F.replace("path", F.lit("\\"), F.lit("/")), "/")
@@ -108,14 +134,19 @@ def common_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, folder: str, streaming: bool = False, archive: str | None = None) -> DataFrame:
-    """`file, type, session_id, uuid, message, content` of JSON-lines transcripts; broken lines are left out."""
+    """`file, modified, type, session_id, uuid, message, content` of JSON-lines transcripts; broken lines are left out.
+
+    As a stream the oldest files come first; with an `archive` they are moved there when done.
+    """
     reader = spark.readStream if streaming else spark.read
     if streaming and archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    df = reader.text(folder, wholetext=False).select(F.col("_metadata.file_path").alias("file"), "value")
+    if streaming:
+        reader = reader.option("latestFirst", "false")
+    df = reader.text(folder, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     v = F.try_parse_json("value")
     get = lambda p: F.try_variant_get(v, p, "string")
-    return df.where(v.isNotNull()).select("file", get("$.type").alias("type"), get("$.session_id").alias("session_id"), get("$.uuid").alias("uuid"), F.to_json(F.try_variant_get(v, "$.message", "variant")).alias("message"), get("$.content").alias("content"))
+    return df.where(v.isNotNull()).select("file", "modified", get("$.type").alias("type"), get("$.session_id").alias("session_id"), get("$.uuid").alias("uuid"), F.to_json(F.try_variant_get(v, "$.message", "variant")).alias("message"), get("$.content").alias("content"))
 
 
 def merge_settings(defaults, text: str):
@@ -134,6 +165,43 @@ def merge_settings(defaults, text: str):
     return over(defaults, tomllib.loads(text))
 
 
+def fill_secrets(conf, text: str, section: str = "llm", name: str = "api_key"):
+    """Settings with a secret from another TOML text wherever a field of that name is still empty; broken texts change nothing."""
+    try:
+        secret = tomllib.loads(text).get(section, {}).get(name, "")
+    except tomllib.TOMLDecodeError:
+        secret = ""
+
+    def fill(obj):
+        for f in fields(obj):
+            now = getattr(obj, f.name)
+            if is_dataclass(now):
+                fill(now)
+            elif isinstance(now, list):
+                for x in now:
+                    if is_dataclass(x):
+                        fill(x)
+            elif f.name == name and not now:
+                setattr(obj, name, secret)
+
+    if secret:
+        fill(conf)
+    return conf
+
+
+#: What an analyzer has unless its file says otherwise.
+ANALYZER_DEFAULTS = {"min_lines": 5, "kinds": ["function", "method"], "extensions": [], "confidence": 0.7, "max_context_callers": 3, "max_context_callees": 5, "file_mode": False}
+
+
+def analyzers(text: str) -> list[dict]:
+    """The analyzers of a TOML text with their rules (name, severity, description)."""
+    out = []
+    for a in tomllib.loads(text).get("analyzers", []):
+        rules = [{"name": r.get("name", ""), "severity": r.get("severity", "warning"), "description": r.get("description", "")} for r in a.get("rules", [])]
+        out.append({"name": "", "description": ""} | ANALYZER_DEFAULTS | a | {"rules": rules})
+    return out
+
+
 def suppression_table(files: DataFrame) -> DataFrame:
     """`dir, rule` of suppression files(path, content): TOML with a list `suppress`."""
 

@@ -117,3 +117,51 @@ def test_large_files_are_hashed_by_their_bytes(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[-1]: (r["hash"], r["content"] is None) for r in scan.scan_tree(spark, str(tmp_path), max_bytes=1000).collect()}
     big = hashlib.sha1(b"x" * 3_000_000).hexdigest()
     assert got == {"a.txt": (big, True), "b.txt": (big, True), "c.txt": (hashlib.sha1(b"y").hexdigest(), False)}
+
+
+def test_python_packages(spark):
+    files = [("r/app/__init__.py", b""), ("r/app/core/__init__.py", b"X = 1"), ("r/app/core/io.py", b"def read():\n    return parse()\ndef parse():\n    return 1\n"), ("r/loose/a.py", b"def f():\n    pass\n"), ("r/app/none/b.py", b"def g():\n    pass\n"), ("__init__.py", b"Y = 1")]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")
+    got = {r["name"]: r for r in extract_symbols(df).collect()}
+    assert {"app.core.io.read", "app.core.io.parse", "a.f", "b.g", "app.core.__init__.X", "__init__.Y"} == set(got)
+    assert got["app.core.io.read"]["calls"] == ["app.core.io.parse"] and got["app.core.io.read"]["tags"]["namespace"] == "app.core.io"
+
+
+def test_git_is_asked_on_the_executors(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    import pytest
+
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    (tmp_path / "repo").mkdir()
+    (tmp_path / "repo" / "a.txt").write_text("x")
+    (tmp_path / "loose.txt").write_text("x")
+    for args in (["init", "-q", "-b", "trunk"], ["add", "."], ["-c", "user.name=Ann B", "-c", "user.email=a@example.org", "commit", "-q", "-m", "m"]):
+        subprocess.run(["git", "-C", str(tmp_path / "repo"), *args], check=True)
+    paths = spark.createDataFrame([(str(tmp_path / "repo" / "a.txt"),), (str(tmp_path / "loose.txt"),), (None,)], "path string")
+    got = scan.git_log(scan.read_git(paths)).collect()
+    assert [(r["author"], r["branch"]) for r in got] == [("Ann B", "trunk")] and len(got[0]["commit"]) == 40
+    known = spark.createDataFrame([(7, "/r/a", "u")], "id bigint, path string, url string")
+    roots = spark.createDataFrame([("/r/a", "other"), ("/r/b", None), ("/r/b", "v")], "path string, url string")
+    assert {(r["path"], r["url"]) for r in scan.upsert_repositories(known, roots).collect()} == {("/r/a", "u"), ("/r/b", "v")}
+
+
+def test_analyzers_and_secrets():
+    text = '[[analyzers]]\nname = "bugs"\nconfidence = 0.9\n[[analyzers.rules]]\nname = "leak"\n[[analyzers]]\nname = "style"\nfile_mode = true\n'
+    a, b = scan.analyzers(text)
+    assert a["confidence"] == 0.9 and a["rules"] == [{"name": "leak", "severity": "warning", "description": ""}] and b["file_mode"] and b["min_lines"] == 5 and scan.analyzers("") == []
+
+    @dataclass
+    class Service:
+        api_key: str = ""
+
+    @dataclass
+    class Settings:
+        first: Service = field(default_factory=Service)
+        many: list = field(default_factory=lambda: [Service(), Service("own")])
+
+    c = scan.fill_secrets(Settings(), '[llm]\napi_key = "s"')
+    assert (c.first.api_key, [x.api_key for x in c.many]) == ("s", ["s", "own"])
+    assert scan.fill_secrets(Settings(), "= broken").first.api_key == ""
