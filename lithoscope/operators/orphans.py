@@ -18,6 +18,8 @@ from lithoscope.session import materialise, need
 SALTS = 8
 #: The period of rows without a time.
 NEVER = -1
+#: Known names up to this number are sent to all tasks and drop their rows first.
+FEW_NAMES = 100_000
 
 
 def month_number(ts: Column) -> Column:
@@ -56,7 +58,8 @@ def orphans(refs: DataFrame, parents: DataFrame, known: DataFrame | None = None)
     """`period, src_key, ref_key` of refs(src_key, ref, ts) without a usable parent(ref, since).
 
     `ref` is an integer or a name. A reference is a case unless a parent with its
-    key has `since` not after `ts`, or its key is in known(ref). Defined results: a null `ref` is no reference;
+    key has `since` not after `ts`, or its key is in known(ref), which is looked up by
+    distinct keys, so that a hot key is no matter. Defined results: a null `ref` is no reference;
     a null `ts` can't be after any `since`, so it is a case, of the null period;
     parents with a null key or `since` are unusable; repeats count once.
     """
@@ -80,12 +83,14 @@ def orphans(refs: DataFrame, parents: DataFrame, known: DataFrame | None = None)
     left = missing_keys(asked, have)
     left = left.join(codes, "key").select(F.col("name").alias("ref"), "period") if named else left.select(F.col("key").alias("ref"), "period")
 
-    timeless = firsts.where("period is null").select("ref").distinct()
-    timeless = timeless if known is None else timeless.join(known, "ref", "left_anti")
-    left = left.unionByName(timeless.select("ref", F.lit(NEVER).alias("period")))
+    timeless = firsts.where("period is null")
+    if known is not None:
+        left = left.unionByName(timeless.select("ref", F.lit(NEVER).alias("period")).distinct().join(known, "ref", "left_anti"))
     left = left.join(since, "ref", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = firsts.withColumn("period", F.coalesce("period", F.lit(NEVER))).withColumn("salt", F.pmod(F.xxhash64("src_key"), F.lit(SALTS)).cast("int"))
-    late = rows.join(left, ["ref", "period", "salt"]).where("since is null or ts is null or ts < since")
+    late = rows.join(left, ["ref", "period", "salt"]).where("since is null or ts is null or ts < since").select("month", "src_key", "ref")
+    if known is None:
+        late = late.unionByName(timeless.select("month", "src_key", "ref"))
     return late.select(F.col("month").alias("period"), "src_key", F.col("ref").cast("string").alias("ref_key"))
 
 
@@ -95,6 +100,8 @@ def orphan_report(symbol_refs: DataFrame, external_refs: DataFrame, file_paths:
     trimmed = F.regexp_replace("callee_name", r"(?U)^\s+|\s+$", "")
     names = need(external_refs, "caller_id", "callee_name", "recorded_at").select(F.col("caller_id").cast("string").alias("src_key"), trimmed.alias("ref"), F.col("recorded_at").alias("ts")).where("ref != ''")
     known = need(known_externals, "callee_name").select(F.regexp_replace("callee_name", r"(?U)^\s+|\s+$", "").alias("ref")).distinct()
+    if known.limit(FEW_NAMES + 1).count() <= FEW_NAMES:
+        names, known = names.join(F.broadcast(known), "ref", "left_anti"), None
     parts = {
         "symbol_refs": orphans(need(symbol_refs, "caller_id", "callee_id", "recorded_at").select(F.col("caller_id").cast("string").alias("src_key"), F.col("callee_id").alias("ref"), F.col("recorded_at").alias("ts")), live(symbols, "id")),
         "external_refs": orphans(names, live(symbols, "name"), known),

@@ -1,5 +1,7 @@
 from datetime import datetime as D
 
+import pytest
+
 from lithoscope.operators.orphans import missing_keys, orphan_report, orphans
 
 REFS = "src_key string, ref bigint, ts timestamp_ntz"
@@ -33,13 +35,15 @@ def test_bitmaps_cover_word_edges_and_signs(spark):
     assert {r["key"] for r in missing_keys(refs, parents).collect()} == set(keys) - {63, 2**40, -1}
 
 
-def test_names_hot_key_and_clashing_columns(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_names_hot_key_and_clashing_columns(spark, monkeypatch, few):
+    monkeypatch.setattr("lithoscope.operators.orphans.FEW_NAMES", few)
     t = D(2025, 6, 1)
-    ext = spark.createDataFrame([(i, " log.debug ", t, 1) for i in range(60)] + [(1, "  ", t, 1), (2, None, t, 1), (3, "known", t, 1), (4, "Here", t, 1), (5, "here", t, 1)], "caller_id bigint, callee_name string, recorded_at timestamp_ntz, period int")
+    ext = spark.createDataFrame([(i, " log.debug ", t, 1) for i in range(60)] + [(1, "  ", t, 1), (2, None, t, 1), (3, "known", t, 1), (4, "Here", t, 1), (5, "here", t, 1), (6, "known", None, 1), (7, "late", None, 1)], "caller_id bigint, callee_name string, recorded_at timestamp_ntz, period int")
     sym = spark.createDataFrame([(1, "here", D(2025, 1, 1), None, "x"), (2, "log.debug", D(2025, 1, 1), D(2025, 2, 1), "x")], "id bigint, name string, indexed_at timestamp_ntz, removed_at timestamp_ntz, ref string")
     none = spark.createDataFrame([], "caller_id bigint, callee_id bigint, recorded_at timestamp_ntz")
     paths = spark.createDataFrame([("p", 7, t)], "path string, file_id bigint, seen_at timestamp_ntz")
     files = spark.createDataFrame([(7, D(2025, 1, 1), None)], "file_id bigint, indexed_at timestamp_ntz, removed_at timestamp_ntz")
     known = spark.createDataFrame([("known", "p")], "callee_name string, package string")
     got = {tuple(r) for r in orphan_report(none, ext, paths, sym, files, known).collect()}
-    assert got == {("external_refs", "2025-06", str(i), "log.debug") for i in range(60)} | {("external_refs", "2025-06", "4", "Here")}
+    assert got == {("external_refs", "2025-06", str(i), "log.debug") for i in range(60)} | {("external_refs", "2025-06", "4", "Here"), ("external_refs", None, "7", "late")}
