@@ -82,9 +82,9 @@ class PrefixEncoder:
             got = self._follows[(a, b)] = self.merge(self.text[a] + self.text[b]) == [a, b]
         return got
 
-    def extend(self, last: list[int], data: bytes) -> list[int]:
-        """Add the entries of data[len(last):] to the table of its prefix, in place."""
-        for end in range(len(last) + 1, len(data) + 1):
+    def extend(self, last: list[int], data: bytes, upto: int | None = None) -> list[int]:
+        """Add the entries of data[len(last):upto] to the table of its prefix, in place."""
+        for end in range(len(last) + 1, (len(data) if upto is None else upto) + 1):
             for start in range(max(0, end - self.longest), end):
                 token = self.ranks.get(data[start:end])
                 if token is None or not self.stands(data[start:end]):
@@ -96,9 +96,22 @@ class PrefixEncoder:
                 raise ValueError("the vocabulary lacks a single byte")
         return last
 
-    def edit(self, last: list[int], data: bytes, at: int) -> list[int]:
-        """The table of `data`, which differs from the table's old string only from byte `at` on."""
-        return self.extend(last[:at], data)
+    def edit(self, last: list[int], data: bytes, at: int, removed: int | None = None) -> list[int]:
+        """The table of `data`: the old string with `removed` bytes from `at` on (else all of them) replaced by others.
+
+        An entry depends on the bytes and entries of the longest token before it: where so
+        many entries behind the edit are the old ones again, so are all that follow.
+        """
+        shift = len(data) - len(last)
+        tail = len(data) if removed is None else at + removed + shift
+        table, same = last[:at], 0
+        while len(table) < len(data):
+            end = len(table) + 1
+            self.extend(table, data, end)
+            same = same + 1 if end > tail and table[-1] == last[end - 1 - shift] else 0
+            if same >= self.longest:
+                return table + last[end - shift :]
+        return table
 
     def tokens(self, last: list[int]) -> list[int]:
         """Read the encoding back from the end of a table."""

@@ -52,6 +52,21 @@ def test_prefix_table_appends_and_edits(enc):
     assert enc.tokens(enc.extend(list(table), data)) == enc.merge(data)
     edited = data[:12] + b"XY" + data[12:]
     assert enc.tokens(enc.edit(enc.extend([], data), edited, 12)) == enc.merge(edited)
+    r = random.Random(3)
+    long_ = "".join(r.choice(["the ", "token", "isation", " x", "é", "\n", "12"]) for _ in range(400)).encode()
+    whole, asked = enc.extend([], long_), []
+    for at, removed, put in ((0, 3, b"zz"), (500, 0, b" inserted "), (700, 40, b""), (900, 5, b"tokenisation"), (len(long_) - 2, 2, b"end"), (len(long_), 0, b"!")):
+        new = long_[:at] + put + long_[at + removed :]
+        steps = []
+        real = enc.extend
+        enc.extend = lambda last, data, upto=None: steps.append(1) or real(last, data, upto)
+        try:
+            table = enc.edit(whole, new, at, removed)
+        finally:
+            del enc.extend
+        assert table == enc.extend([], new)
+        asked.append(len(steps))
+    assert asked[0] < 1000 < len(long_)  # near the edit only
     for k in range(1, len(data) + 1):  # every prefix's encoding is in the table
         assert enc.tokens(enc.extend([], data)[:k]) == enc.merge(data[:k])
 
