@@ -10,10 +10,20 @@ from lithoscope.plans.index import NESTED, UNDER, VIEWS, CodeIndex, nested
 from lithoscope.plans.lookup import _F, findings_table, rules_table
 from lithoscope.session import materialise, table
 from lithoscope.sources.chunk import chunk_symbols
+from lithoscope.sources.extract import extract_symbols
 from lithoscope.sources.ignore import ignored_paths
 from lithoscope.streaming import pipeline
 
 NOW = 1_767_225_600
+#: File names and texts of the extraction query; § stands for a name.
+TEMPLATES = (
+    ("package.json", '{"name": "§", "description": "about §", "keywords": ["k1", "k2"]}'),
+    ("ci.yml", "first:\n  name: §\n  dependencies: [a]\nsecond: plain\n"),
+    ("a.go", "package pk\n\ntype § struct {\n\tn int\n}\n\n// func No() {\nfunc (x *§) Run(a int, b string) int {\n\tif a > 0 {\n\t\treturn x.stop(a)\n\t}\n\treturn Free(b)\n}\n\nfunc (x *§) stop(a int) int {\n\treturn a\n}\n\nfunc Free(s string) int { return 1 }\n"),
+    ("a.cs", "namespace N.M\n{\n  public class §\n  {\n    private static int Add(int a, List<int, int> b)\n    {\n      return Sum(a);\n    }\n\n    public int Sum(int a)\n    {\n      return other.Take(\"Add(1)\");\n    }\n  }\n}\n"),
+    ("a.py", "class §:\n    X = 1\n\n    @staticmethod\n    def make(a, b=(1, 2)):\n        return free(a)\n\n    def _run(self):\n        return self.make(1)\n\n\ndef free(a):\n    return a\n"),
+    ("a.ts", "export class § {\n  go(a, b) {\n    if (a) { this.stop(); }\n  }\n  stop() {\n  }\n}\nexport function f(x) {\n  return x;\n}\n"),
+)
 
 
 def queue(spark, d):
@@ -361,6 +371,16 @@ def chunk_check(spark, d):
     return per.agg(F.count("*").alias("symbols"), F.sum("wrong").alias("wrong"), F.coalesce(F.sum("unordered"), F.lit(0)).alias("unordered"), F.sum("lost").alias("lost"))
 
 
+def extracted_symbols(spark, d):
+    """Symbols of source files that are written out of the symbols' ids, one of six languages each."""
+    s = CodeIndex(spark, d).symbols
+    text = F.element_at(F.array(*[F.lit(t) for _, t in TEMPLATES]), (F.pmod("id", F.lit(len(TEMPLATES))) + 1).cast("int"))
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in TEMPLATES]), (F.pmod("id", F.lit(len(TEMPLATES))) + 1).cast("int"))
+    files = s.select(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit("/"), name).alias("path"), F.encode(F.replace(text, F.lit("§"), F.concat(F.lit("T"), F.col("id").cast("string"))), "UTF-8").alias("content"))
+    got = extract_symbols(files)
+    return got.select("path", "name", "kind", "line", "end_line", "param_count", "nesting_depth", F.array_join("calls", ",").alias("calls"), F.coalesce(F.col("tags")["visibility"], F.lit("")).alias("visibility"), F.coalesce(F.col("tags")["is_static"], F.lit("")).alias("is_static"))
+
+
 def pending_limited(spark, d):
     ix = CodeIndex(spark, d)
     return analysis.pending_symbols(ix, findings_table(ix).where("confidence > 0.5"), rules_table(spark).where("analyzer = 'bugs'"), 5, 7).select("id", "name", "path", "line")
@@ -419,7 +439,7 @@ QUERIES = {f.__name__: f for f in (
     symbol_diff, path_upsert, stale_findings, orphan_files, purge_cascade, purge_folders, purge_reasons, ignored_by_rules, folder_diff, snapshot_changes, direct_files, resolve_references, enclosing_symbol, outermost_callers, missing_embeddings, rescan,
     transcript_turns, transcript_budget, transcript_texts, speaker_runs, turn_windows, window_texts,
     knowledge_surface, knowledge_surfaced, knowledge_stored, knowledge_refine, knowledge_fact_check, knowledge_parse, knowledge_similar, knowledge_deduplicated, knowledge_contradictions, knowledge_embedded,
-    maintained_symbols, maintained_blocks, downstream_queues, file_findings, vector_roundtrip, chunk_check, pending_limited, pending_symbols, file_prompts, parse_findings, reset_findings, register_rules, embedding_text, embed_blocks, described_blocks, described_symbols, more_scalars, scalar_functions,
+    extracted_symbols, maintained_symbols, maintained_blocks, downstream_queues, file_findings, vector_roundtrip, chunk_check, pending_limited, pending_symbols, file_prompts, parse_findings, reset_findings, register_rules, embedding_text, embed_blocks, described_blocks, described_symbols, more_scalars, scalar_functions,
 )}
 
 
@@ -523,3 +543,12 @@ SQL |= {
     "chunk_check": f"{VIEWS} SELECT count(*) AS symbols, 0 AS wrong, 0 AS unordered, 0 AS lost FROM sym",
     "pending_limited": SQL["pending_symbols"] + " ORDER BY path, line, id LIMIT 7",
 }
+
+#: What is in the templates: file, name, kind, first and last line, parameters, depth, callees, visibility, static.
+_EXTRACTED = """
+  (0, 'package.json', '§', 'package', 1, 1, 0, 0, '', '', ''), (1, 'ci.yml', '§', 'job', 1, 1, 0, 0, '', '', ''), (1, 'ci.yml', 'second', 'config-key', 1, 1, 0, 0, '', '', ''),
+  (2, 'a.go', 'pk.§', 'struct', 3, 5, 0, 0, '', 'public', ''), (2, 'a.go', 'pk.§.Run', 'method', 8, 13, 2, 0, 'pk.Free,pk.§.stop', 'public', ''), (2, 'a.go', 'pk.§.stop', 'method', 15, 17, 1, 0, '', 'private', ''), (2, 'a.go', 'pk.Free', 'function', 19, 19, 1, 0, '', 'public', ''),
+  (3, 'a.cs', 'N.M.§', 'class', 3, 14, 0, 0, '', 'public', ''), (3, 'a.cs', 'N.M.§.Add', 'method', 5, 8, 2, 1, 'N.M.§.Sum', 'private', 'true'), (3, 'a.cs', 'N.M.§.Sum', 'method', 10, 13, 1, 1, 'Take', 'public', ''),
+  (4, 'a.py', 'a.§', 'class', 1, 9, 0, 0, '', 'public', ''), (4, 'a.py', 'a.§.X', 'field', 2, 2, 0, 1, '', '', ''), (4, 'a.py', 'a.§.make', 'method', 5, 6, 2, 1, 'a.free', 'public', 'true'), (4, 'a.py', 'a.§._run', 'method', 8, 9, 1, 1, 'a.§.make', 'private', ''), (4, 'a.py', 'a.free', 'function', 12, 13, 1, 0, '', 'public', ''),
+  (5, 'a.ts', '§', 'class', 1, 7, 0, 0, '', '', ''), (5, 'a.ts', '§.go', 'method', 2, 4, 2, 1, '§.stop', '', ''), (5, 'a.ts', '§.stop', 'method', 5, 6, 0, 1, '', '', ''), (5, 'a.ts', 'f', 'function', 8, 10, 1, 0, '', '', '')"""
+SQL["extracted_symbols"] = f"{VIEWS}, t(k, file, name, kind, line, end_line, param_count, nesting_depth, calls, visibility, is_static) AS (VALUES {_EXTRACTED}) SELECT 'd' || id || '/' || file AS path, replace(t.name, '§', 'T' || id) AS name, t.kind, t.line, t.end_line, t.param_count, t.nesting_depth, replace(calls, '§', 'T' || id) AS calls, visibility, is_static FROM sym JOIN t ON t.k = id % 6"
