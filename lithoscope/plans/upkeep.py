@@ -547,8 +547,8 @@ SQL |= {
 #: What is in the templates: file, name, kind, first and last line, parameters, depth, callees, visibility, static.
 _EXTRACTED = """
   (0, 'package.json', '§', 'package', 1, 1, 0, 0, '', '', ''), (1, 'ci.yml', '§', 'job', 1, 1, 0, 0, '', '', ''), (1, 'ci.yml', 'second', 'config-key', 1, 1, 0, 0, '', '', ''),
-  (2, 'a.go', 'pk.§', 'struct', 3, 5, 0, 0, '', 'public', ''), (2, 'a.go', 'pk.§.Run', 'method', 8, 13, 2, 0, 'pk.Free,pk.§.stop', 'public', ''), (2, 'a.go', 'pk.§.stop', 'method', 15, 17, 1, 0, '', 'private', ''), (2, 'a.go', 'pk.Free', 'function', 19, 19, 1, 0, '', 'public', ''),
-  (3, 'a.cs', 'N.M.§', 'class', 3, 14, 0, 0, '', 'public', ''), (3, 'a.cs', 'N.M.§.Add', 'method', 5, 8, 2, 1, 'N.M.§.Sum', 'private', 'true'), (3, 'a.cs', 'N.M.§.Sum', 'method', 10, 13, 1, 1, 'Take', 'public', ''),
-  (4, 'a.py', 'a.§', 'class', 1, 9, 0, 0, '', 'public', ''), (4, 'a.py', 'a.§.X', 'field', 2, 2, 0, 1, '', '', ''), (4, 'a.py', 'a.§.make', 'method', 5, 6, 2, 1, 'a.free', 'public', 'true'), (4, 'a.py', 'a.§._run', 'method', 8, 9, 1, 1, 'a.§.make', 'private', ''), (4, 'a.py', 'a.free', 'function', 12, 13, 1, 0, '', 'public', ''),
+  (2, 'a.go', 'pk.§', 'type', 3, 5, 0, 0, '', 'public', ''), (2, 'a.go', 'pk.§.Run', 'method', 8, 13, 2, 0, 'pk.Free,pk.§.stop', 'public', ''), (2, 'a.go', 'pk.§.stop', 'method', 15, 17, 1, 0, '', 'private', ''), (2, 'a.go', 'pk.Free', 'function', 19, 19, 1, 0, '', 'public', ''),
+  (3, 'a.cs', 'N.M.§', 'class', 3, 14, 0, 1, '', 'public', ''), (3, 'a.cs', 'N.M.§.Add', 'method', 5, 8, 2, 2, 'N.M.§.Sum', 'private', 'true'), (3, 'a.cs', 'N.M.§.Sum', 'method', 10, 13, 1, 2, 'Take', 'public', ''),
+  (4, 'a.py', 'a.§', 'class', 1, 9, 0, 0, '', 'public', ''), (4, 'a.py', 'a.§.X', 'variable', 2, 2, 0, 1, '', 'public', ''), (4, 'a.py', 'a.§.make', 'method', 5, 6, 2, 1, 'a.free', 'public', ''), (4, 'a.py', 'a.§._run', 'method', 8, 9, 1, 1, 'a.§.make', 'private', ''), (4, 'a.py', 'a.free', 'function', 12, 13, 1, 0, '', 'public', ''),
   (5, 'a.ts', '§', 'class', 1, 7, 0, 0, '', '', ''), (5, 'a.ts', '§.go', 'method', 2, 4, 2, 1, '§.stop', '', ''), (5, 'a.ts', '§.stop', 'method', 5, 6, 0, 1, '', '', ''), (5, 'a.ts', 'f', 'function', 8, 10, 1, 0, '', '', '')"""
 SQL["extracted_symbols"] = f"{VIEWS}, t(k, file, name, kind, line, end_line, param_count, nesting_depth, calls, visibility, is_static) AS (VALUES {_EXTRACTED}) SELECT 'd' || id || '/' || file AS path, replace(t.name, '§', 'T' || id) AS name, t.kind, t.line, t.end_line, t.param_count, t.nesting_depth, replace(calls, '§', 'T' || id) AS calls, visibility, is_static FROM sym JOIN t ON t.k = id % 6"

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 #: File extensions and their languages.
 LANGUAGES = {
     "py": "py", "go": "go", "js": "js", "jsx": "js", "ts": "js", "tsx": "js", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp",
-    "cs": "cs", "hlsl": "c", "fx": "c", "fxh": "c", "hlsli": "c", "glsl": "c", "vert": "c", "frag": "c", "geom": "c", "comp": "c", "tese": "c", "tesc": "c",
+    "cs": "cs", "hlsl": "shader", "fx": "shader", "fxh": "shader", "hlsli": "shader", "glsl": "shader", "vert": "shader", "frag": "shader", "geom": "shader", "comp": "shader", "tese": "shader", "tesc": "shader",
 }
 SCHEMA = "path string, name string, kind string, line int, end_line int, params string, param_count int, nesting_depth int, snippet string, description string, tags map<string,string>, calls array<string>"
 
@@ -98,9 +98,33 @@ def settle_calls(found: list[Found], sites: dict[int, list[tuple[str, str]]], re
     return found
 
 
+def parameters(text: str) -> str:
+    """What stands in the first round brackets of a declaration, white space as single blanks."""
+    at = text.find("(")
+    depth, i, quote = 0, at, ""
+    while 0 <= i < len(text):
+        c = text[i]
+        if quote:
+            if text.startswith(quote, i):
+                i, quote = i + len(quote) - 1, ""
+            elif c == "\\":
+                i += 1
+        elif c in "\"'":
+            quote = c * 3 if text.startswith(c * 3, i) else c
+            i += len(quote) - 1
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth == 0:
+                return " ".join(text[at + 1 : i].split())
+        i += 1
+    return ""
+
+
 @extractor("py")
 def python_symbols(path: str, text: str) -> list[Found]:
-    """Names are prefixed by the module, which is the file's base name."""
+    """Names are prefixed by the module, which is the file's base name, and by the classes around them."""
     tree = ast.parse(text)
     lines = text.split("\n")
     module = re.sub(r"\.py$", "", path.replace("\\", "/").rsplit("/", 1)[-1])
@@ -116,38 +140,61 @@ def python_symbols(path: str, text: str) -> list[Found]:
                 elif isinstance(f, ast.Attribute):
                     yield (f.value.id if isinstance(f.value, ast.Name) else "?"), f.attr
 
-    def visit(body, scope, in_class, in_function):
+    def source(n):
+        """The node's own text, without decorators."""
+        return "\n".join(lines[n.lineno - 1 : n.end_lineno])[len(lines[n.lineno - 1].encode()[: n.col_offset].decode()) :]
+
+    def visible(name):
+        return "private" if name.startswith("_") else "public"
+
+    def visit(body, classes, depth, holds, in_function):
+        """holds: `module`, `class` or nothing: whose assignments are variables, and whose functions methods."""
         for n in body:
             if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 is_class = isinstance(n, ast.ClassDef)
-                tags = {"namespace": module, "visibility": "private" if n.name.startswith("_") and not n.name.endswith("__") else "public"}
-                if any(isinstance(d, ast.Name) and d.id == "staticmethod" for d in n.decorator_list):
-                    tags["is_static"] = "true"
-                first = min([n.lineno, *(d.lineno for d in n.decorator_list)])
-                out.append(Found(".".join([module, *scope, n.name]), "class" if is_class else "method" if in_class else "function", n.lineno, n.end_lineno, "\n".join(lines[first - 1 : n.end_lineno]), "" if is_class else ast.unparse(n.args), len(scope), ast.get_docstring(n), tags))
+                tags = {"namespace": module, "visibility": visible(n.name)}
+                text = source(n)
+                out.append(Found(".".join([module, *classes, n.name]), "class" if is_class else "method" if holds == "class" else "function", n.lineno, n.end_lineno, text, "" if is_class else parameters(text), depth, None, tags))
                 if not is_class and not in_function:  # calls of nested functions are the outermost one's
                     sites[len(out) - 1] = list(calls(n))
-                visit(n.body, [*scope, n.name], is_class, in_function or not is_class)
-            elif isinstance(n, (ast.Assign, ast.AnnAssign)) and (not scope or in_class):
-                for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
-                    if isinstance(t, ast.Name):
-                        out.append(Found(".".join([module, *scope, t.id]), "field" if in_class else "variable", n.lineno, n.end_lineno, "\n".join(lines[n.lineno - 1 : n.end_lineno]), depth=len(scope), tags={"namespace": module}))
-
-    visit(tree.body, [], False, False)
+                visit(n.body, [*classes, n.name] if is_class else classes, depth + 1, "class" if is_class else "", in_function or not is_class)
+            elif isinstance(n, (ast.Assign, ast.AnnAssign)) and holds:
+                t = n.targets[0] if isinstance(n, ast.Assign) else n.target
+                if isinstance(t, ast.Name):
+                    out.append(Found(".".join([module, *classes, t.id]), "variable", n.lineno, n.end_lineno, source(n), depth=depth, tags={"namespace": module, "visibility": visible(t.id)}))
+            else:
+                parts = [getattr(n, f, []) for f in ("body", "orelse", "finalbody")] + [h.body for h in getattr(n, "handlers", [])] + [c.body for c in getattr(n, "cases", [])]
+                for inner in parts:
+                    if isinstance(inner, list):
+                        visit(inner, classes, depth, "", in_function)
+
+    visit(tree.body, [], 0, "module", False)
     return settle_calls(out, sites, {}, {})
 
 
 _HIDDEN = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`", re.S)
 _WORDS = {"if", "for", "while", "switch", "return", "catch", "else", "do", "sizeof", "new", "using", "lock", "foreach", "function", "func", "throw", "await", "typeof", "delete", "case"}
 _ARGS = r"\((?P<params>[^(){};]*(?:\([^(){};]*\)[^(){};]*)*)\)"
+_MODS = r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|const|virtual|override|async|extern|unsafe|new|volatile|required)\s+)*"
+_TYPE = r"(?!(?:return|new|await|throw|else|yield|goto|using|namespace|class|struct|interface|enum|case|var|delegate|event)\b)[A-Za-z_][\w.]*(?:\s*<[^;=(){}]*>)?[\w\[\],.?]*"
 #: Declarations per language family: (pattern, kind); the name is the group `name`.
 _DECLARATIONS = {
-    "go": [(rf"^func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*{_ARGS}[^{{\n]*\{{", "function"), (r"^type\s+(?P<name>\w+)\s+struct\s*\{", "struct"), (r"^type\s+(?P<name>\w+)\s+interface\s*\{", "interface"), (r"^type\s+(?P<name>\w+)\s+\w", "type"), (r"^(?:var|const)\s+(?P<name>\w+)", "variable")],
-    "js": [(rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<name>[\w$]+)\s*{_ARGS}[^{{;\n]*\{{", "function"), (r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)[^{;]*\{", "class"), (r"^[ \t]*(?:export\s+)?interface\s+(?P<name>[\w$]+)[^{;]*\{", "interface"), (rf"^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(?P<name>[\w$]+)\s*{_ARGS}[^{{;\n=]*\{{", "method"), (r"^(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)", "variable")],
-    "c": [(r"^[ \t]*namespace\s+(?P<name>[\w:]+)\s*\{", "namespace"), (rf"^(?!\s*(?:typedef|return)\b)[A-Za-z_][\w\s*&:<>,]*?[\s*&](?P<name>[\w:~]+)\s*{_ARGS}[^{{;]*\{{", "function"), (r"^[ \t]*(?:typedef\s+)?struct\s+(?P<name>\w+)\s*\{", "struct"), (r"^[ \t]*enum\s+(?:class\s+)?(?P<name>\w+)[^{;]*\{", "enum"), (r"^[ \t]*class\s+(?P<name>\w+)[^{;]*\{", "class")],
-    "cs": [(r"^[ \t]*namespace\s+(?P<name>[\w.]+)\s*[{;]", "namespace"), (r"^[ \t]*(?:(?:public|private|protected|internal|static|sealed|abstract|partial)\s+)*class\s+(?P<name>\w+)[^{;]*\{", "class"), (r"^[ \t]*(?:(?:public|private|protected|internal|readonly|partial)\s+)*struct\s+(?P<name>\w+)[^{;]*\{", "struct"), (r"^[ \t]*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(?P<name>\w+)[^{;]*\{", "interface"), (r"^[ \t]*(?:(?:public|private|protected|internal)\s+)*enum\s+(?P<name>\w+)[^{;]*\{", "enum"), (rf"^[ \t]*(?:(?:public|private|protected|internal|static|virtual|override|async|sealed|abstract)\s+)+[\w<>\[\],.? ]+?\s(?P<name>\w+)\s*{_ARGS}\s*\{{", "method")],
+    "go": [(rf"^func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)[^)]*\)\s*)?(?P<name>\w+)\s*{_ARGS}[^{{\n]*\{{", "function"), (r"^type\s+(?P<name>\w+)\s+(?:struct|interface)\s*\{", "type"), (r"^type\s+(?P<name>\w+)\s+\w", "type"), (r"^(?:var|const)\s+(?P<name>\w+)", "variable")],
+    "js": [(rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(?P<name>[\w$]+)\s*{_ARGS}[^{{;\n]*\{{", "function"), (r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?P<name>[\w$]+)[^{;]*\{", "class"), (rf"^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(?P<name>[\w$]+)\s*{_ARGS}[^{{;\n=]*\{{", "method"), (r"^(?:const|let|var)\s+(?P<name>[\w$]+)", "variable")],
+    "c": [(rf"^(?!\s*(?:typedef|return)\b)[A-Za-z_][\w\s*&:<>,]*?[\s*&](?P<name>[\w:~]+)\s*{_ARGS}[^{{;]*\{{", "function"), (r"^[ \t]*(?:typedef\s+)?struct\s+(?P<name>\w+)\s*\{", "struct"), (r"^(?!(?:typedef|return|using|goto|else|case)\b)(?:[A-Za-z_][\w:<>,]*\s+)+(?P<name>\w+)\s*=(?!=)[^;]*;", "variable")],
+    "cs": [
+        (r"^[ \t]*namespace\s+(?P<name>[\w.]+)\s*[{;]", "namespace"),
+        *((rf"^[ \t]*{_MODS}{kind}\s+(?P<name>\w+)[^{{;]*\{{", kind) for kind in ("class", "struct", "interface", "enum")),
+        (rf"^[ \t]*{_MODS}{_TYPE}\s+(?P<name>\w+)\s*(?:<[^>(]*>)?\s*{_ARGS}\s*(?:where\b[^{{;]*)?(?:\{{|;|=>)", "method"),
+        (rf"^[ \t]*{_MODS}(?P<name>\w+)\s*{_ARGS}\s*(?::\s*(?:base|this)\s*\([^{{}};]*\))?\s*\{{", "constructor"),
+        (rf"^[ \t]*{_MODS}{_TYPE}\s+(?P<name>\w+)\s*(?:\{{(?=\s*(?:(?:public|private|protected|internal)\s+)?(?:get|set|init)\b)|=>)", "field"),
+        (rf"^[ \t]*{_MODS}{_TYPE}\s+(?P<name>\w+)\s*(?:=(?![>=])[^;]*)?;", "field"),
+    ],
 }
-_DECLARATIONS["cpp"] = _DECLARATIONS["c"]
+_DECLARATIONS["cpp"] = [(r"^[ \t]*namespace\s+(?P<name>[\w:]+)\s*\{", "namespace"), *_DECLARATIONS["c"], (r"^[ \t]*class\s+(?P<name>\w+)[^{;]*\{", "class")]
+_DECLARATIONS["shader"] = _DECLARATIONS["c"][:2]
+#: Kinds that give their name to what they hold, and all that count for the depth.
+_NAMING, _HOLDING = ("class", "struct", "interface"), ("class", "struct", "interface", "function", "method")
 _COMPILED = {k: [(re.compile(p, re.M), kind) for p, kind in v] for k, v in _DECLARATIONS.items()}
 _CALL = re.compile(r"(?:\b([A-Za-z_$][\w$]*)\s*(?:\.|->|::)\s*)?\b([A-Za-z_$][\w$]*)\s*\(")
 _FIELD = re.compile(r"^[ \t]+(?:(?:public|private|protected|internal|readonly|static|const)\s+)*([A-Z]\w*)(?:<[^;=\n]*>)?\s*[*&]?\s+[*&]?(\w+)\s*[;=]", re.M)
@@ -179,11 +226,23 @@ def lexed_symbols(path: str, text: str, lang: str) -> list[Found]:
                 continue
             at = m.start() + len(m[0]) - len(m[0].lstrip())
             owner = (m.groupdict().get("owner") or "") if lang == "go" else ""
-            end = _closing(code, m.end() - 1) if m[0].endswith("{") else (code.find("\n", m.end()) if code.find("\n", m.end()) >= 0 else len(code))
-            spans.setdefault(line(at), (at, end, "method" if owner else kind, f"{owner}.{name}" if owner else name, (m.groupdict().get("params") or "").strip(), text[at : m.end()]) )  # noqa: E501
+            if m[0].endswith("{"):
+                end = _closing(code, m.end() - 1)
+            elif m[0].endswith(";"):
+                end = m.end()
+            else:
+                stop = code.find(";" if m[0].endswith("=>") else "\n", m.end())
+                end = stop + m[0].endswith("=>") if stop >= 0 else len(code)
+            spans.setdefault(line(at), (at, end, "method" if owner else kind, f"{owner}.{name}" if owner else name, " ".join((m.groupdict().get("params") or "").split()), text[at : m.end()]))
+    if lang == "go":  # grouped constants and variables
+        for m in re.finditer(r"^(?:const|var)\s*\((.*?)^\)", code, re.M | re.S):
+            for x in re.finditer(r"^[ \t]+(\w+)[^\n]*", m[1], re.M):
+                at = m.start(1) + x.start(1)
+                spans.setdefault(line(at), (at, m.start(1) + x.end(), "variable", x[1], "", x[1]))
     package = re.search(r"^package\s+(\w+)", code, re.M) if lang == "go" else None
     out: list[Found] = []
     open_: list[tuple[int, str, str]] = []
+    deep: list[int] = []
     sites, receivers, fields = {}, {}, {}
     for ln in sorted(spans):
         at, end, kind, name, params, head = spans[ln]
@@ -191,28 +250,37 @@ def lexed_symbols(path: str, text: str, lang: str) -> list[Found]:
             open_.pop()
         spaces = [n.replace("::", ".") for _, n, k in open_ if k == "namespace"] or ([package[1]] if package else [])
         if kind == "namespace":
-            open_.append((end if code[at:end].rstrip().endswith("}") else len(code), name, kind))
+            block = code[at:end].rstrip().endswith("}")
+            open_.append((end if block else len(code), name, kind))
+            deep += [end] if block and lang == "cs" else []  # a namespace in brackets counts for the depth in C#
             continue
-        holders = [n for _, n, k in open_ if k in ("class", "struct", "interface", "enum")]
-        if holders and kind == "function":
+        inner = open_[-1][2] if open_ else ""
+        holders = [n for _, n, k in open_ if k in _NAMING]
+        if kind == "constructor":
+            if not holders or name != holders[-1]:
+                continue
             kind = "method"
+        if (lang == "cs" and kind in ("method", "field") and inner not in _NAMING) or (kind == "variable" and inner):
+            continue  # a statement of a body
         tags = {"namespace": ".".join(spaces)} if spaces else {}
-        if re.search(r"\bstatic\b", head):
-            tags["is_static"] = "true"
-        shown = re.findall(r"\b(?:public|private|protected|internal)\b", head.partition("(")[0])
-        if shown:
-            tags["visibility"] = " ".join(dict.fromkeys(shown))
-        elif lang == "go":
+        if lang == "cs":
+            words = re.findall(r"\b(?:public|private|protected|internal|static)\b", re.split(r"[(=;{]", head)[0])
+            if "static" in words:
+                tags["is_static"] = "true"
+            shown = [w for w in dict.fromkeys(words) if w != "static"]
+            if shown:
+                tags["visibility"] = " ".join(shown)
+        if lang == "go":
             tags["visibility"] = "public" if name.split(".")[-1][:1].isupper() else "private"
-        out.append(Found(".".join([*spaces, *holders, name]), kind, ln, line(max(at, end - 1)), text[at:end], params, sum(k != "namespace" for *_, k in open_), None, tags))
+        out.append(Found(".".join([*spaces, *holders, name]), kind, ln, line(max(at, end - 1)), text[at:end], params, sum(k in _HOLDING for *_, k in open_) + sum(d > at for d in deep), None, tags))
         if kind in ("function", "method") and not any(k in ("function", "method") for *_, k in open_):
-            sites[len(out) - 1] = [(o or "", c) for o, c in _CALL.findall(code[at:end].partition("{")[2]) if c not in _WORDS]
+            sites[len(out) - 1] = [(o or "", c) for o, c in _CALL.findall(re.split(r"\{|=>", code[at:end], maxsplit=1)[-1] if re.search(r"\{|=>", code[at:end]) else "") if c not in _WORDS]
             m = _RECEIVER.match(head)
             if m:
                 receivers[len(out) - 1] = (m[1], out[-1].name.rpartition(".")[0])
         if kind in ("class", "struct"):
             fields |= {(name, f): t for t, f in _FIELD.findall(code[at:end]) if t not in _WORDS}
-        if kind in ("class", "struct", "interface", "enum", "function", "method"):
+        if kind in (*_HOLDING, "enum"):
             open_.append((end, name, kind))
     return settle_calls(out, sites, receivers, fields)
 

@@ -34,11 +34,11 @@ def test_scan_respects_ignore_files_and_nested_trees(spark, tmp_path):
 def test_extractors(spark):
     py = b'class A:\n    X = 1\n    @staticmethod\n    def m(a, b=(1, 2)):\n        """Doc."""\n        return helper(a).go()\n\ndef f():\n    pass\nY = 2\n'
     got = {s.name: s for s in extract("p/a.py", py)}
-    assert {n: s.kind for n, s in got.items()} == {"a.A": "class", "a.A.X": "field", "a.A.m": "method", "a.f": "function", "a.Y": "variable"}
-    assert got["a.A.m"].calls == ["go", "helper"] and got["a.A.m"].tags["is_static"] == "true" and got["a.A.m"].description == "Doc." and got["a.A.m"].depth == 1
+    assert {n: s.kind for n, s in got.items()} == {"a.A": "class", "a.A.X": "variable", "a.A.m": "method", "a.f": "function", "a.Y": "variable"}
+    assert got["a.A.m"].calls == ["go", "helper"] and got["a.A.m"].params == "a, b=(1, 2)" and got["a.A.m"].depth == 1
     go = b"package p\n// func no() {\nfunc (s *Srv) Run(a int, b string) error {\n\ts.log(a)\n\treturn nil\n}\ntype Srv struct {\n\tx int\n}\n"
     got = {s.name: (s.kind, s.line, s.end_line, s.calls) for s in extract("a.go", go)}
-    assert got == {"p.Srv.Run": ("method", 3, 6, ["log"]), "p.Srv": ("struct", 7, 9, [])}
+    assert got == {"p.Srv.Run": ("method", 3, 6, ["log"]), "p.Srv": ("type", 7, 9, [])}
     cs = b"public class Box {\n  private static int Add(int a, List<int, int> b) {\n    return Sum(a);\n  }\n}\n"
     got = {s.name: (s.kind, s.tags, s.calls) for s in extract("a.cs", cs)}
     assert got["Box.Add"] == ("method", {"is_static": "true", "visibility": "private"}, ["Sum"])
@@ -55,6 +55,25 @@ def test_extractors(spark):
     assert {(r["name"], r["param_count"]) for r in df.collect()} == {("p.Srv.Run", 2), ("p.Srv", 0)}
 
 
+def test_declarations_of_each_language():
+    got = lambda path, text: [(s.name, s.kind, s.line, s.end_line, s.params, s.depth, s.tags.get("visibility"), s.tags.get("is_static")) for s in extract(path, text.encode())]
+    cs = "namespace Yard.Tools;\npublic class Crane : Base<int>\n{\n  private readonly List<int> loads = new List<int> {\n    1, 2 };\n  public static int Count;\n  public string Name { get; set; }\n  public int Twice => Count * 2;\n  public Crane(int a) : base(a)\n  {\n    var x = Make(a);\n    int y = 3;\n    return Foo(x);\n  }\n  protected internal int F(int  a) => G(a);\n  interface IHook\n  {\n    void Do(int a);\n  }\n}\nenum E { A, B }\n"
+    c = "Yard.Tools.Crane"
+    assert got("b.cs", cs) == [
+        (c, "class", 2, 20, "", 0, "public", None), (f"{c}.loads", "field", 4, 5, "", 1, "private", None), (f"{c}.Count", "field", 6, 6, "", 1, "public", "true"), (f"{c}.Name", "field", 7, 7, "", 1, "public", None),
+        (f"{c}.Twice", "field", 8, 8, "", 1, "public", None), (f"{c}.Crane", "method", 9, 14, "int a", 1, "public", None), (f"{c}.F", "method", 15, 15, "int a", 1, "protected internal", None),
+        (f"{c}.IHook", "interface", 16, 19, "", 1, None, None), (f"{c}.IHook.Do", "method", 18, 18, "int a", 2, None, None), ("Yard.Tools.E", "enum", 21, 21, "", 0, None, None),
+    ]
+    assert {s.name: s.calls for s in extract("b.cs", cs.encode())}[f"{c}.F"] == ["G"]
+    assert [x[:5] for x in got("b.c", "static int count = 3;\nint *p = 0;\nint a[3] = {1};\nstruct P {\n  int x;\n};\nenum Q { A };\nstatic int add(int a,\n   int b) {\n  int c = a;\n  return c;\n}\n")] == [("count", "variable", 1, 1, ""), ("P", "struct", 4, 6, ""), ("add", "function", 8, 12, "int a, int b")]
+    assert [x[:3] for x in got("b.fx", "int q = 1;\nfloat4 main(float2 uv) {\n  return f(uv);\n}\n")] == [("main", "function", 2)]
+    assert [x[:3] for x in got("b.go", "package q\n\nconst (\n\tA = 1\n\tB\n)\nvar z = 3\ntype I interface {\n\tDo()\n}\ntype M map[string]int\n")] == [("q.A", "variable", 4), ("q.B", "variable", 5), ("q.z", "variable", 7), ("q.I", "type", 8), ("q.M", "type", 11)]
+    py = "import x\nif x:\n    def inner():\n        pass\n    Q = 1\nA: int = 3\nb = c = 1\nd, e = 1, 2\nclass K(object):\n    __slots__ = ()\n    @property\n    def __init__(self, a: dict = {'(': 1},\n                 *b, **c):\n        def nest(): pass\n        z = 1\n"
+    assert got("b.py", py) == [("b.inner", "function", 3, 4, "", 0, "public", None), ("b.A", "variable", 6, 6, "", 0, "public", None), ("b.b", "variable", 7, 7, "", 0, "public", None), ("b.K", "class", 9, 15, "", 0, "public", None), ("b.K.__slots__", "variable", 10, 10, "", 1, "private", None), ("b.K.__init__", "method", 12, 15, "self, a: dict = {'(': 1}, *b, **c", 1, "private", None), ("b.K.nest", "function", 14, 14, "", 2, "public", None)]
+    assert extract("b.py", py.encode())[5].snippet.startswith("def __init__")
+    assert [x[:2] for x in got("b.js", "export const a = 1;\nconst q = 2;\ninterface X { y: 1 }\n")] == [("q", "variable")]
+
+
 def test_callees_get_full_names():
     calls = lambda path, text: {s.name: s.calls for s in extract(path, text.encode()) if s.kind in ("function", "method")}
     go = (
@@ -76,7 +95,7 @@ def test_callees_get_full_names():
     assert got["Harbour.Cranes.Winch.Lift"] == ["Harbour.Cranes.Motor.Start", "Harbour.Cranes.Rope.Wind", "Harbour.Cranes.Winch.Length"] and got["Harbour.Cranes.Winch.Length"] == []
     py = "class S:\n    def a(self):\n        self.b()\n        def inner():\n            free()\n    def b(self):\n        return b\ndef free():\n    free()\n"
     got = calls("m.py", py)
-    assert got == {"m.S.a": ["m.S.b", "m.free"], "m.S.a.inner": [], "m.S.b": [], "m.free": []}
+    assert got == {"m.S.a": ["m.S.b", "m.free"], "m.S.inner": [], "m.S.b": [], "m.free": []}
     js = "class K {\n  go() {\n    this.stop();\n  }\n  stop() {\n  }\n}\n"
     assert calls("x.js", js)["K.go"] == ["K.stop"]
 
