@@ -359,7 +359,7 @@ def vector_roundtrip(spark, d):
 
 def chunk_check(spark, d):
     """One row: symbols, and how many of their blocks differ from the lines that they name, are out of order or leave text out."""
-    s = CodeIndex(spark, d).symbols.select("id", F.coalesce("snippet", F.lit("")).alias("snippet"), "line", F.lit(None).cast("int").alias("end_line"))
+    s = CodeIndex(spark, d).symbols.select("id", F.coalesce("snippet", F.lit("")).alias("snippet"), "line", F.lit(None).cast("int").alias("end_line"), F.concat(F.lit("x"), F.coalesce("ext", F.lit(""))).alias("path"))
     b = chunk_symbols(s, 600)
     lines = F.split("snippet", "\n")
     first = F.col("start_line") - F.col("line")
@@ -381,6 +381,12 @@ def extracted_symbols(spark, d):
     return got.select("path", "name", "kind", "line", "end_line", "param_count", "nesting_depth", F.array_join("calls", ",").alias("calls"), F.coalesce(F.col("tags")["visibility"], F.lit("")).alias("visibility"), F.coalesce(F.col("tags")["is_static"], F.lit("")).alias("is_static"))
 
 
+def line_chunks(spark, d):
+    """Blocks of symbols whose language isn't known: cut by size alone."""
+    s = CodeIndex(spark, d).symbols.where("snippet is not null and line is not null").select("id", "snippet", "line", "end_line")
+    return chunk_symbols(s, 600).groupBy("symbol_id").agg(F.count("*").alias("blocks"), F.max(F.struct("block_index", "start_line", "end_line")).alias("l"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "content_hash"))), lambda x: x["content_hash"]), ",")).alias("hashes")).select("symbol_id", "blocks", F.col("l.start_line").alias("last_start"), F.col("l.end_line").alias("last_end"), "hashes")
+
+
 def pending_limited(spark, d):
     ix = CodeIndex(spark, d)
     return analysis.pending_symbols(ix, findings_table(ix).where("confidence > 0.5"), rules_table(spark).where("analyzer = 'bugs'"), 5, 7).select("id", "name", "path", "line")
@@ -439,7 +445,7 @@ QUERIES = {f.__name__: f for f in (
     symbol_diff, path_upsert, stale_findings, orphan_files, purge_cascade, purge_folders, purge_reasons, ignored_by_rules, folder_diff, snapshot_changes, direct_files, resolve_references, enclosing_symbol, outermost_callers, missing_embeddings, rescan,
     transcript_turns, transcript_budget, transcript_texts, speaker_runs, turn_windows, window_texts,
     knowledge_surface, knowledge_surfaced, knowledge_stored, knowledge_refine, knowledge_fact_check, knowledge_parse, knowledge_similar, knowledge_deduplicated, knowledge_contradictions, knowledge_embedded,
-    extracted_symbols, maintained_symbols, maintained_blocks, downstream_queues, file_findings, vector_roundtrip, chunk_check, pending_limited, pending_symbols, file_prompts, parse_findings, reset_findings, register_rules, embedding_text, embed_blocks, described_blocks, described_symbols, more_scalars, scalar_functions,
+    extracted_symbols, maintained_symbols, maintained_blocks, downstream_queues, line_chunks, file_findings, vector_roundtrip, chunk_check, pending_limited, pending_symbols, file_prompts, parse_findings, reset_findings, register_rules, embedding_text, embed_blocks, described_blocks, described_symbols, more_scalars, scalar_functions,
 )}
 
 
@@ -552,3 +558,13 @@ _EXTRACTED = """
   (4, 'a.py', 'a.§', 'class', 1, 9, 0, 0, '', 'public', ''), (4, 'a.py', 'a.§.X', 'variable', 2, 2, 0, 1, '', 'public', ''), (4, 'a.py', 'a.§.make', 'method', 5, 6, 2, 1, 'a.free', 'public', ''), (4, 'a.py', 'a.§._run', 'method', 8, 9, 1, 1, 'a.§.make', 'private', ''), (4, 'a.py', 'a.free', 'function', 12, 13, 1, 0, '', 'public', ''),
   (5, 'a.ts', '§', 'class', 1, 7, 0, 0, '', '', ''), (5, 'a.ts', '§.go', 'method', 2, 4, 2, 1, '§.stop', '', ''), (5, 'a.ts', '§.stop', 'method', 5, 6, 0, 1, '', '', ''), (5, 'a.ts', 'f', 'function', 8, 10, 1, 0, '', '', '')"""
 SQL["extracted_symbols"] = f"{VIEWS}, t(k, file, name, kind, line, end_line, param_count, nesting_depth, calls, visibility, is_static) AS (VALUES {_EXTRACTED}) SELECT 'd' || id || '/' || file AS path, replace(t.name, '§', 'T' || id) AS name, t.kind, t.line, t.end_line, t.param_count, t.nesting_depth, replace(calls, '§', 'T' || id) AS calls, visibility, is_static FROM sym JOIN t ON t.k = id % 6"
+
+# a block ends with the line that brings it to 600 characters, but not with its first
+SQL["line_chunks"] = f"""{VIEWS.replace('WITH sym AS', 'WITH RECURSIVE sym AS', 1)}, t AS (SELECT id, snippet, line, coalesce(end_line, line) AS end_line, string_split(snippet, chr(10)) AS l FROM sym WHERE snippet IS NOT NULL AND line IS NOT NULL),
+walk AS (SELECT id, 1 AS i, 1 AS first, len(l[1]) + 1 AS size FROM t WHERE length(snippet) > 600
+  UNION ALL SELECT w.id, w.i + 1, CASE WHEN w.size >= 600 AND w.i > w.first THEN w.i + 1 ELSE w.first END, CASE WHEN w.size >= 600 AND w.i > w.first THEN 0 ELSE w.size END + len(t.l[w.i + 1]) + 1 FROM walk w JOIN t USING (id) WHERE w.i < len(t.l)),
+parts AS (SELECT id, first, max(i) AS last FROM walk GROUP BY ALL),
+b AS (SELECT p.id, first, last, array_to_string(t.l[first:last], chr(10)) AS content, last = len(t.l) AS closes FROM parts p JOIN t USING (id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS k, count(*) OVER (PARTITION BY id) AS n FROM b WHERE regexp_matches(content, '[^\\s]')),
+g AS (SELECT t.id, coalesce(k, 0) AS k, CASE WHEN coalesce(n, 1) < 2 THEN line ELSE line + first - 1 END AS s, CASE WHEN coalesce(n, 1) < 2 OR closes THEN end_line ELSE line + last - 1 END AS e, CASE WHEN coalesce(n, 1) < 2 THEN snippet ELSE content END AS c FROM t LEFT JOIN f USING (id))
+SELECT id AS symbol_id, count(*) AS blocks, arg_max(s, k) AS last_start, arg_max(e, k) AS last_end, md5(string_agg(substr(sha256(c), 1, 16), ',' ORDER BY k)) AS hashes FROM g GROUP BY id"""

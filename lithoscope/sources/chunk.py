@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lithoscope.functions.text import content_hash
+from lithoscope.sources.extract import _HOLDING, extract
 
 START, END, STRIPPED = ">>> TARGET", "<<< TARGET", "..."
-#: A line that begins a nested declaration in one of the indexed languages.
-_DECLARES = re.compile(r"^\s+(?:(?:public|private|protected|internal|static|async|export|abstract|virtual|override)\s+)*(?:def|class|func|function|struct|interface|enum|type)\b|^\s+(?:(?:public|private|protected|internal|static|virtual|override)\s+)+[\w<>\[\],. ]+\(")
 
 
-def cut_points(lines: list[str], max_chars: int) -> list[int]:
-    """Line numbers (from 0) before which a text is cut: nested declarations, else lines at the size limit."""
-    nested = [i for i, x in enumerate(lines) if i and _DECLARES.match(x)]
+def cut_points(text: str, max_chars: int, path: str = "") -> list[int]:
+    """Line numbers (from 0) before which a text is cut.
+
+    In front of declarations inside of it, where the path tells a language that has such;
+    else behind each line with which a block has reached `max_chars` and two lines.
+    """
+    nested = sorted({s.line - 1 for s in extract(path, text.encode("utf-8", "replace")) if s.kind in _HOLDING and s.line > 1}) if path else []
     if nested:
         return nested
-    out, size = [], 0
-    for i, x in enumerate(lines):
-        if size and size + len(x) + 1 > max_chars:
-            out.append(i)
-            size = 0
+    out, first, size = [], 0, 0
+    for i, x in enumerate(text.split("\n")):
         size += len(x) + 1
+        if size >= max_chars and i > first:
+            out.append(i + 1)
+            first, size = i + 1, 0
     return out
 
 
-def blocks_of(content: str | None, start: int, end: int, max_chars: int) -> list[tuple[int, str, int, int]]:
+def blocks_of(content: str | None, start: int, end: int, max_chars: int, path: str = "") -> list[tuple[int, str, int, int]]:
     """`index, content, first line, last line` of a symbol's blocks; one block where it fits or can't be cut."""
     text = content or ""
     whole = [(0, text, start, end)]
     if max_chars <= 0 or len(text) <= max_chars:
         return whole
     lines = text.split("\n")
-    edges = [0, *cut_points(lines, max_chars), len(lines)]
+    edges = [0, *cut_points(text, max_chars, path), len(lines)]
     parts = [(a, b) for a, b in zip(edges, edges[1:]) if "\n".join(lines[a:b]).strip()]
     if len(parts) < 2:
         return whole
@@ -43,14 +44,17 @@ def blocks_of(content: str | None, start: int, end: int, max_chars: int) -> list
 
 
 def chunk_symbols(symbols: DataFrame, max_chars: int = 2000) -> DataFrame:
-    """`symbol_id, block_index, content, content_hash, start_line, end_line` of symbols(id, snippet, line, end_line)."""
+    """`symbol_id, block_index, content, content_hash, start_line, end_line` of symbols(id, snippet, line, end_line[, path]).
+
+    With a path, its language's declarations inside of a symbol are where it is cut.
+    """
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, *b) for i, s, a, e in pdf.itertuples(index=False) for b in blocks_of(s, int(a), int(e), max_chars)]
+            rows = [(i, *b) for i, s, a, e, p in pdf.itertuples(index=False) for b in blocks_of(s, int(a), int(e), max_chars, p)]
             yield pd.DataFrame(rows, columns=["symbol_id", "block_index", "content", "start_line", "end_line"])
 
-    src = symbols.select("id", "snippet", F.coalesce("line", F.lit(1)).alias("line"), F.coalesce("end_line", "line", F.lit(1)).alias("end_line"))
+    src = symbols.select("id", "snippet", F.coalesce("line", F.lit(1)).alias("line"), F.coalesce("end_line", "line", F.lit(1)).alias("end_line"), (F.coalesce("path", F.lit("")) if "path" in symbols.columns else F.lit("")).alias("path"))
     return src.mapInPandas(run, "symbol_id bigint, block_index int, content string, start_line int, end_line int").withColumn("content_hash", content_hash("content"))
 
 

@@ -5,12 +5,13 @@ from lithoscope.sources.chunk import END, START, STRIPPED, blocks_of, chunk_symb
 def test_chunks(spark):
     assert blocks_of("", 3, 3, 10) == [(0, "", 3, 3)] == [(i, c, a, b) for i, c, a, b in blocks_of(None, 3, 3, 10)]
     cls = "class A:\n    x = 1\n    def f(self):\n        pass\n    def g(self):\n        pass"
-    assert blocks_of(cls, 10, 15, 20) == [(0, "class A:\n    x = 1", 10, 11), (1, "    def f(self):\n        pass", 12, 13), (2, "    def g(self):\n        pass", 14, 15)]
+    assert blocks_of(cls, 10, 15, 20, "a.py") == [(0, "class A:\n    x = 1", 10, 11), (1, "    def f(self):\n        pass", 12, 13), (2, "    def g(self):\n        pass", 14, 15)]
     flat = "\n".join(["0123456789"] * 5)
     got = blocks_of(flat, 1, 5, 25)
-    assert "\n".join(b[1] for b in got) == flat and all(len(b[1]) <= 25 for b in got) and got[-1][3] == 5
+    assert got == [(0, "\n".join(["0123456789"] * 3), 1, 3), (1, "\n".join(["0123456789"] * 2), 4, 5)]
+    assert [b[2:] for b in blocks_of(cls, 10, 15, 20)] == [(10, 12), (13, 14), (15, 15)]  # by size: 36 and 30 characters
     assert blocks_of("x" * 100, 1, 1, 10) == [(0, "x" * 100, 1, 1)]
-    df = spark.createDataFrame([(1, cls, 10, 15), (2, None, 1, None)], "id bigint, snippet string, line int, end_line int")
+    df = spark.createDataFrame([(1, cls, 10, 15, "x/a.py"), (2, None, 1, None, None)], "id bigint, snippet string, line int, end_line int, path string")
     assert chunk_symbols(df, 20).groupBy("symbol_id").count().orderBy("symbol_id").collect()[0]["count"] == 3
 
 
