@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 from lithoscope.functions.text import content_hash
 from lithoscope.sources.extract import _HOLDING, extract
 
-START, END, STRIPPED = ">>> TARGET", "<<< TARGET", "..."
+#: The lines around a symbol in its context, and in place of what is left out.
+START, END, STRIPPED = "===== DESCRIBE THIS SYMBOL =====", "===== END SYMBOL =====", "    // ..."
 
 
 def cut_points(text: str, max_chars: int, path: str = "") -> list[int]:
