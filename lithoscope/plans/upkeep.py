@@ -510,10 +510,10 @@ SQL = {
     "window_texts": _RUNS + _WINDOWS + " SELECT session_id, chunk, md5(regexp_replace(string_agg(voices, chr(10) ORDER BY run), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS text_md5 FROM windows JOIN runs USING (session_id) WHERE run > lo AND run <= hi GROUP BY session_id, chunk",
     "knowledge_surface": f"WITH {_K} SELECT id, concept, CASE WHEN (1767225600 - created_at) // 86400 < 1 THEN 'today' ELSE (1767225600 - created_at) // 86400 || 'd old' END AS age FROM k WHERE suppressed_at IS NULL AND (pattern = '**' OR EXISTS (SELECT 1 FROM file_paths p WHERE regexp_matches(replace(p.path, '\\', '/'), '^(?:.*/)?' || replace(pattern, '*', '.*') || '$')))",
     "knowledge_refine": f"WITH {_K}, x AS (SELECT *, length('Is it about one task only? ' || body) % 3 = 0 AS once, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS neat FROM k) SELECT id, md5(neat) AS body_md5, CASE WHEN neat != body THEN 'update' ELSE '' END AS done FROM x WHERE NOT coalesce(once, false)",
-    "knowledge_fact_check": f"WITH {_K}, x AS (SELECT *, CASE WHEN id % 3 != 0 THEN length('Claim: ' || body || chr(10) || '1: ' || CASE WHEN source_dir = '' THEN '.' ELSE source_dir END) END AS n FROM (SELECT *, regexp_replace(regexp_replace(pattern, '[*].*$', ''), '/+$', '') AS source_dir FROM k)) SELECT id, CASE WHEN n % 2 = 1 THEN 7 ELSE suppressed_at END AS suppressed_at, CASE WHEN n IS NOT NULL THEN 7 END AS fact_checked_at FROM x",
+    "knowledge_fact_check": f"WITH {_K}, x AS (SELECT *, CASE WHEN id % 3 != 0 THEN length('Claim: ' || body || chr(10) || '1: ' || CASE WHEN source_dir = '' THEN '.' ELSE source_dir END) END AS n FROM (SELECT *, regexp_replace(regexp_replace(pattern, '[*].*$', ''), '/+$', '') AS source_dir FROM k)) SELECT id, CAST(CASE WHEN n % 2 = 1 THEN 7 ELSE suppressed_at END AS BIGINT) AS suppressed_at, CAST(CASE WHEN n IS NOT NULL THEN 7 END AS BIGINT) AS fact_checked_at FROM x",
     "knowledge_stored": "SELECT * FROM (VALUES ('a', 'x/*', 'first'), ('b', '**', 'second')) t(concept, pattern, body)",
-    "knowledge_surfaced": f"WITH {_K}, shown AS (SELECT id FROM k WHERE suppressed_at IS NULL AND (pattern = '**' OR EXISTS (SELECT 1 FROM file_paths p WHERE {UNDER('/srv/code/ironbark')} AND regexp_matches(replace(p.path, '\\', '/'), '^(?:.*/)?' || replace(pattern, '*', '.*') || '$')))) SELECT id, CASE WHEN id IN (FROM shown) THEN 3 ELSE 2 END AS surfaced_count FROM k",
-    "knowledge_deduplicated": f"WITH {_K}, {_SAID}, gone AS (SELECT id FROM said WHERE id % 3 = 0), m AS (SELECT other AS id, arg_min((pattern, n), s.id) AS m FROM said s JOIN (SELECT id, pattern FROM k) USING (id) WHERE id % 3 = 0 AND other NOT IN (FROM gone) GROUP BY other), c AS (SELECT CASE WHEN a.created_at < b.created_at THEN s.id ELSE other END AS id FROM said s JOIN k a ON a.id = s.id JOIN k b ON b.id = other WHERE s.id % 3 = 1 AND other NOT IN (FROM gone)) SELECT k.id, concept, CASE WHEN m IS NULL OR k.pattern != '**' THEN k.pattern ELSE m[1] END AS pattern, md5(coalesce(m[2]::VARCHAR, body)) AS body_md5, CASE WHEN k.id IN (FROM c) THEN 9 ELSE suppressed_at END AS suppressed_at FROM k LEFT JOIN m USING (id) WHERE k.id NOT IN (FROM gone)",
+    "knowledge_surfaced": f"WITH {_K}, shown AS (SELECT id FROM k WHERE suppressed_at IS NULL AND (pattern = '**' OR EXISTS (SELECT 1 FROM file_paths p WHERE {UNDER('/srv/code/ironbark')} AND regexp_matches(replace(p.path, '\\', '/'), '^(?:.*/)?' || replace(pattern, '*', '.*') || '$')))) SELECT id, CAST(CASE WHEN id IN (FROM shown) THEN 3 ELSE 2 END AS BIGINT) AS surfaced_count FROM k",
+    "knowledge_deduplicated": f"WITH {_K}, {_SAID}, gone AS (SELECT id FROM said WHERE id % 3 = 0), m AS (SELECT other AS id, arg_min((pattern, n), s.id) AS m FROM said s JOIN (SELECT id, pattern FROM k) USING (id) WHERE id % 3 = 0 AND other NOT IN (FROM gone) GROUP BY other), c AS (SELECT CASE WHEN a.created_at < b.created_at THEN s.id ELSE other END AS id FROM said s JOIN k a ON a.id = s.id JOIN k b ON b.id = other WHERE s.id % 3 = 1 AND other NOT IN (FROM gone)) SELECT k.id, concept, CASE WHEN m IS NULL OR k.pattern != '**' THEN k.pattern ELSE m[1] END AS pattern, md5(coalesce(m[2]::VARCHAR, body)) AS body_md5, CAST(CASE WHEN k.id IN (FROM c) THEN 9 ELSE suppressed_at END AS BIGINT) AS suppressed_at FROM k LEFT JOIN m USING (id) WHERE k.id NOT IN (FROM gone)",
     "knowledge_contradictions": f"WITH {_K}, {_SAID} SELECT id AS id_a, other AS id_b FROM said WHERE id % 3 = 1 AND other NOT IN (SELECT id FROM said WHERE id % 3 = 0)",
     "knowledge_embedded": f"WITH {_K}, q AS (SELECT *, id % 3 AS attempts FROM k), e AS (SELECT id, length(body) % 5 != 0 AS fine, length(body) AS n, length(body) - length(replace(body, ' ', '')) AS b, attempts FROM q WHERE id % 2 = 0 AND body IS NOT NULL) SELECT 'vector' AS part, id, n || ',' || b AS value FROM e WHERE fine UNION ALL SELECT 'dedup', id, '' FROM e WHERE fine UNION ALL SELECT 'queue', id, CASE WHEN attempts + 1 >= 3 THEN 'failed ' ELSE 'pending ' END || (attempts + 1) FROM e WHERE NOT fine UNION ALL SELECT 'queue', id, 'done ' || attempts FROM q WHERE id % 2 = 1",
     "knowledge_parse": f"WITH {_K} SELECT id, trim(substr(concept, 1, 10)) AS concept, CASE WHEN suppressed_at IS NULL THEN pattern ELSE '**' END AS pattern, 'b' AS body FROM k WHERE trim(substr(concept, 1, 10)) != ''",
@@ -546,7 +546,7 @@ SQL |= {
     "downstream_queues": _EDIT + f", {_TOUCHED} SELECT queue, priority, count(*) AS n FROM (SELECT unnest(['describe', 'embed']) AS queue, priority FROM t UNION ALL SELECT 'fingerprint', priority FROM t WHERE kind IN ('function', 'method')) GROUP BY ALL",
     "file_findings": f"{VIEWS}, s AS (SELECT path, id, name, line FROM sym JOIN paths USING (file_id)), m AS (SELECT path, name, max(id) AS symbol_id FROM s GROUP BY ALL), f AS (SELECT symbol_id, CASE WHEN line % 2 = 0 THEN 2 ELSE 3 END AS rule_id, 'm' || line AS message, line % 10 / 10.0::DOUBLE AS confidence FROM s JOIN m USING (path, name) WHERE line % 3 != 0 AND line % 10 / 10.0::DOUBLE >= 0.4) SELECT symbol_id, CAST(rule_id AS BIGINT) AS rule_id, arg_max(message, (confidence, message)) AS message, max(confidence) AS confidence FROM f GROUP BY ALL",
     "vector_roundtrip": "SELECT vec_id, count(*) AS n, CAST(sum(len(vector) * 4) AS BIGINT) AS bytes, true AS same FROM block_embeddings GROUP BY vec_id",
-    "chunk_check": f"{VIEWS} SELECT count(*) AS symbols, 0 AS wrong, 0 AS unordered, 0 AS lost FROM sym",
+    "chunk_check": f"{VIEWS} SELECT count(*) AS symbols, 0::BIGINT AS wrong, 0::BIGINT AS unordered, 0::BIGINT AS lost FROM sym",
     "pending_limited": SQL["pending_symbols"] + " ORDER BY path, line, id LIMIT 7",
 }
 
