@@ -182,7 +182,7 @@ def oracle_sql() -> dict:
         "p3_pairs": "WITH " + _P3 + "SELECT t AS src_table, a AS hash_a, b AS hash_b, s AS similarity FROM pair",
         "p3_groups": _P3_GROUPS,
         "p4_conversations": _P4_TURNS,
-        "p5_check": "SELECT count(DISTINCT (id, content)) AS texts, 0 AS too_long, 0 AS overlap_too_long, 0 AS gaps, 0 AS wrong_text, 0 AS wrong_line, 0 AS not_whole_lines FROM code_blocks WHERE length(content) > 2000",
+        "p5_check": "SELECT count(DISTINCT (id, content)) AS texts, 0::BIGINT AS too_long, 0::BIGINT AS overlap_too_long, 0::BIGINT AS gaps, 0::BIGINT AS wrong_text, 0::BIGINT AS wrong_line, 0::BIGINT AS not_whole_lines FROM code_blocks WHERE length(content) > 2000",
         "p6_neighbours": _P6_ALL,
         "p8_leaks": _P8_LONGEST,
         "p4_found": _P4_FOUND,
