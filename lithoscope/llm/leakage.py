@@ -179,7 +179,7 @@ def _longest(*found):
     return doc[top], item[top], a[top], b[top], size[top]
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, span: int = 13, block_chars: int = 16_000_000, shard_chars: int = 12_000_000) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, span: int = 13, block_chars: int = 8_000_000, shard_chars: int = 12_000_000) -> DataFrame:
     """`doc_id, item_id, doc_word, item_word, n_words`, one row per document and leaked item.
 
     A document holds a case of an item if `span` consecutive words of the item
