@@ -277,28 +277,69 @@ def _verify(opened: DataFrame, docs: DataFrame, texts: DataFrame, t: float, size
     """Compare each text with the members of the groups that it opens.
 
     Only texts that ask or are asked are read into sets again. Sets move once per
-    opened group, and pairs are compared where they meet. A large group is split: its
-    members over keys of about GROUP_ROWS, and each that asks goes to all of them.
+    opened group, and pairs are compared where they meet. A large group is cut into
+    blocks of about GROUP_ROWS askers and members; a block is one matrix product.
     """
     members = docs.select("id", "grp").join(opened.select("grp").distinct(), "grp", "left_semi")
     parts = members.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("grp", F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("parts"))
     parts = materialise(parts, "large-groups")  # few rows: groups of more than GROUP_ROWS members
     sets = materialise(full_sets(_wanted(texts, opened.select("id").unionByName(members.select("id"))), size, least_words, t), "sets")
-    asks = opened.join(parts, "grp", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    asks = asks.join(sets.select("id", F.col("hash").alias("ha"), F.col("tokens").alias("a")), "id")
-    asked = sets.join(parts, "grp", "left").select("grp", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), F.col("id").alias("other"), F.col("n").alias("m"), F.col("hash").alias("hb"), F.col("tokens").alias("b"))
-    both = asks.join(asked, ["grp", "part"]).where(
+    asker, asked = sets.select("id", F.col("hash").alias("ha"), F.col("tokens").alias("a")), sets.select("grp", F.col("id").alias("other"), F.col("n").alias("m"), F.col("hash").alias("hb"), F.col("tokens").alias("b"))
+    both = opened.join(parts, "grp", "left_anti").join(asker, "id").join(asked, "grp").where(
         ((F.col("own") < F.col("grp")) | (F.col("id") < F.col("other"))) & (F.col("ha") != F.col("hb")) & (F.col("m") >= F.col("n") * t) & (F.col("n") >= F.col("m") * t)
     )
     common = F.size(F.array_intersect("a", "b"))
-    likeness = common / (F.col("n") + F.col("m") - common)
+    found = both.select("ha", "hb", (common / (F.col("n") + F.col("m") - common)).alias("similarity"))
+    if not parts.isEmpty():
+        found = found.unionByName(_blocks(opened, parts, asker, asked, t))
     return (
-        both.select(F.least("ha", "hb").alias("hash_a"), F.greatest("ha", "hb").alias("hash_b"), likeness.alias("similarity"))
-        .where(F.col("similarity") >= t - 1e-12)
+        found.where(F.col("similarity") >= t - 1e-12)
+        .select(F.least("ha", "hb").alias("hash_a"), F.greatest("ha", "hb").alias("hash_b"), "similarity")
         .distinct()
     )
 
 
+def _blocks(opened: DataFrame, parts: DataFrame, asker: DataFrame, asked: DataFrame, t: float) -> DataFrame:
+    """`ha, hb, similarity` of the pairs of large groups."""
+    opened = opened.join(parts, "grp")
+    rows = opened.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("lots"))
+    split = lambda key, n: F.pmod(F.xxhash64(key, F.lit(7)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = opened.join(rows, "grp").select("id", "n", "own", "grp", split("id", F.col("lots")).alias("lot"), each("parts").alias("part")).join(asker, "id")
+    right = asked.join(parts, "grp").join(rows, "grp").select("grp", "other", "m", "hb", "b", each("lots").alias("lot"), split("other", F.col("parts")).alias("part"))
+
+    def compare(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame({"ha": pd.Series(dtype=str), "hb": pd.Series(dtype=str), "similarity": pd.Series(dtype=float)})
+        grp, n, m = key[0], x["n"].to_numpy(np.int64)[:, None], y["m"].to_numpy(np.int64)[None, :]
+        common = common_tokens(x["a"].tolist(), y["b"].tolist())
+        like = common / (n + m - common)
+        ok = (like >= t - 1e-12) & ((x["own"].to_numpy()[:, None] < grp) | (x["id"].to_numpy()[:, None] < y["other"].to_numpy()[None, :]))
+        ok &= (m >= n * t) & (n >= m * t)
+        ha, hb = x["ha"].to_numpy(), y["hb"].to_numpy()
+        i, j = np.nonzero(ok)
+        i, j = i[ha[i] != hb[j]], j[ha[i] != hb[j]]
+        return pd.DataFrame({"ha": ha[i], "hb": hb[j], "similarity": like[i, j]})
+
+    return left.groupBy("grp", "lot", "part").cogroup(right.groupBy("grp", "lot", "part")).applyInPandas(compare, "ha string, hb string, similarity double")
+
+
+def common_tokens(a: list, b: list, width: int = 8192) -> np.ndarray:
+    """How many tokens each set of a has in common with each of b; the token columns are taken `width` at a time."""
+    flat = np.concatenate([np.asarray(x, np.int64) for x in (*a, *b)])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    _, code = np.unique(flat, return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    out = np.zeros((len(a), len(b)))
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        at = slice(*np.searchsorted(code, [lo, lo + width]))
+        cells = np.zeros((len(a) + len(b), width), np.float32)
+        cells[owner[at], code[at] - lo] = 1
+        out += cells[: len(a)] @ cells[len(a) :].T
+    return out
+
+
 def groups(texts: DataFrame, id_: str, key: str, pairs: DataFrame) -> DataFrame:
     """`id, hash, class, n_links` of each row of texts, given its similar pairs (hash_a, hash_b).
 
